@@ -360,10 +360,11 @@ def q_ordinal_maxcat(spark: SparkSession, sf: str) -> DataFrame:
 def _dummies_sql(drop_first: bool, dummy_na: bool) -> str:
     rank = "row_number() over (partition by col order by v)"
     keep = "where rk > 1" if drop_first else ""
-    na = "union all select distinct 'c2', null, 999999 from fx" if dummy_na else ""
+    na = "union all select 'c1', null, 999999 union all select 'c2', null, 999999" if dummy_na else ""
     return f"""with {FX_SQL},
  lv as (select col, v, {rank} rk from (select distinct 'c1' col, c1 v from fx where c1 is not null
-        union all select distinct 'c2', c2 from fx where c2 is not null) u {na}),
+        union all select distinct 'c2', c2 from fx where c2 is not null) u
+        {na}),
  k as (select * from lv {keep})
  select id, col || '_' || coalesce(v, 'nan') feature,
    case when v is null then (case col when 'c1' then fx.c1 else fx.c2 end) is null
