@@ -453,3 +453,179 @@ def q_label_first_seen(spark: SparkSession, sf: str) -> DataFrame:
     train, test = fx_split(spark, sf)
     codes, _ = first_seen_codes([(train, "id"), (test, "id")], "c3")
     return codes
+
+
+# --------------------------------------------------------------------------- step 3/4: generated and selected features
+
+from ..operators.autoprep import encoding_choice, prepare, scaler_variances  # noqa: E402
+from ..operators.poly import PolynomialFeatures  # noqa: E402
+from ..operators.select import RFE, SelectFromModel, SelectKBest, VarianceThreshold  # noqa: E402
+from .fixtures import FX_NUM_SQL, fx_num  # noqa: E402
+
+POLY_IN = ["l_quantity", "l_discount", "l_tax"]
+KBEST_IN = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "k"]
+
+
+def _poly_sql(interaction_only: bool, include_bias: bool) -> str:
+    pf = PolynomialFeatures(degree=2, interaction_only=interaction_only, include_bias=include_bias)
+    cols = []
+    for t in pf.terms(POLY_IN):
+        e = " * ".join(POLY_IN[i] for i in t) if t else "1.0"
+        cols.append(f'round({e}, 6) "{pf.name(POLY_IN, t)}"')
+    return f"with {FX_NUM_SQL} select l_orderkey, l_linenumber, {', '.join(cols)} from fxn"
+
+
+def _poly_query(interaction_only: bool, include_bias: bool):
+    def q(spark: SparkSession, sf: str) -> DataFrame:
+        pf = PolynomialFeatures(degree=2, interaction_only=interaction_only, include_bias=include_bias)
+        out = pf.transform(fx_num(spark, sf), POLY_IN, keep=["l_orderkey", "l_linenumber"])
+        return _rounded(out, [c for c in out.columns if c not in ("l_orderkey", "l_linenumber")])
+    return q
+
+
+register("poly_d2", _poly_sql(False, True))(_poly_query(False, True))
+register("poly_interaction", _poly_sql(True, False))(_poly_query(True, False))
+
+
+def _kbest_sql(k: int) -> str:
+    unp = " union all ".join(f"select '{c}' feature, {i} idx, label, {c} x from fxn" for i, c in enumerate(KBEST_IN))
+    return f"""with {FX_NUM_SQL}, u as ({unp}),
+ g as (select feature, idx, label, count(*) n, avg(x) m, var_pop(x) v from u group by all),
+ t as (select feature, sum(n) nn, count(*) k, sum(n * m) / sum(n) gm, sum(n * v) ssw from g group by feature),
+ b as (select g.feature, g.idx, any_value(t.nn) nn, any_value(t.k) k, any_value(t.ssw) ssw,
+         sum(g.n * (g.m - t.gm) * (g.m - t.gm)) ssb from g join t using (feature) group by g.feature, g.idx),
+ f as (select feature, idx, case when ssw = 0 or k = 1 or nn = k then null
+         else (ssb / (k - 1)) / (ssw / (nn - k)) end f_score from b)
+ select feature, round(f_score, 6) f_score, row_number() over (order by f_score desc nulls last, idx) rank,
+   row_number() over (order by f_score desc nulls last, idx) <= {k} selected from f"""
+
+
+@register("select_kbest_f", _kbest_sql(2))
+def q_select_kbest(spark: SparkSession, sf: str) -> DataFrame:
+    out = SelectKBest(k=2).fit(fx_num(spark, sf), KBEST_IN, "label")
+    return out.select("feature", r6(F.col("f_score")).alias("f_score"), F.col("rank").cast("bigint").alias("rank"),
+                      "selected")
+
+
+@register("variance_threshold", f"""with {FX_NUM_SQL} """ + " union all ".join(
+    f"select '{c}' feature, var_pop({c})::REAL variance, var_pop({c}) > 0.2 selected from fxn" for c in KBEST_IN))
+def q_variance_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    out = VarianceThreshold(threshold=0.2).fit(fx_num(spark, sf), KBEST_IN)
+    # float32 keeps ~7 significant digits: a relative rounding for variances of any magnitude
+    return out.select("feature", F.col("variance").cast("float").alias("variance"), "selected")
+
+
+@register("select_from_model")
+def q_select_from_model(spark: SparkSession, sf: str) -> DataFrame:
+    d = fx(spark, sf).filter(~F.col("is_test")).na.drop(subset=NUM)
+    return SelectFromModel(threshold="mean").fit(d, NUM, "target")
+
+
+@register("rfe")
+def q_rfe(spark: SparkSession, sf: str) -> DataFrame:
+    d = fx(spark, sf).filter(~F.col("is_test")).na.drop(subset=NUM)
+    return RFE(n_features_to_select=1, step=1).fit(d, NUM, "target")
+
+
+def _scaler_stats_sql(src: str, prefix: str) -> str:
+    return ", ".join(
+        f"avg({c}) {prefix}a_{c}, stddev_pop({c}) {prefix}s_{c}, min({c}) {prefix}lo_{c}, max({c}) {prefix}hi_{c}, "
+        f"quantile_cont({c}, 0.5) {prefix}md_{c}, quantile_cont({c}, 0.25) {prefix}p_{c}, "
+        f"quantile_cont({c}, 0.75) {prefix}q_{c}" for c in NUM) + f" from {src}"
+
+
+def _scaled_sql(c: str, kind: str, prefix: str) -> str:
+    z = lambda d: f"case when {d} < {EPS} then 1 else {d} end"
+    if kind == "standard":
+        return f"({c} - {prefix}a_{c}) / {z(prefix + 's_' + c)}"
+    if kind == "minmax":
+        return f"({c} - {prefix}lo_{c}) / {z(f'{prefix}hi_{c} - {prefix}lo_{c}')}"
+    return f"({c} - {prefix}md_{c}) / {z(f'{prefix}q_{c} - {prefix}p_{c}')}"
+
+
+def _best_scaler_ctes() -> str:
+    fill = ", ".join(f"coalesce({c}, (select avg({c}) from train)) {c}" for c in NUM)
+    ys = ", ".join(f"{_scaled_sql(c, k, '')} {k}_{c}" for k in ("standard", "minmax", "robust") for c in NUM)
+    vs = ", ".join(f"avg({k}_{c}) {k}_m_{c}, var_pop({k}_{c}) {k}_v_{c}"
+                   for k in ("standard", "minmax", "robust") for c in NUM)
+    rows = []
+    for o, k in enumerate(("standard", "minmax", "robust")):
+        ev = " + ".join(f"({k}_v_{c} + {k}_m_{c} * {k}_m_{c})" for c in NUM)
+        em = " + ".join(f"{k}_m_{c}" for c in NUM)
+        rows.append(f"select {o} ord, '{k}' scaler, ({ev}) / {len(NUM)} - (({em}) / {len(NUM)}) * "
+                    f"(({em}) / {len(NUM)}) variance from v")
+    return f"""filled as (select {fill} from train),
+ fs as (select {_scaler_stats_sql('filled', '')}),
+ y as (select {ys} from filled, fs),
+ v as (select {vs} from y),
+ sv as ({' union all '.join(rows)}),
+ ranked as (select *, row_number() over (order by variance desc nulls last, ord) = 1 and variance is not null chosen
+            from sv)"""
+
+
+@register("best_scaler", f"with {FX_SQL}, {_best_scaler_ctes()} "
+          "select ord, scaler, round(variance, 6) variance, chosen from ranked")
+def q_best_scaler(spark: SparkSession, sf: str) -> DataFrame:
+    train, _ = fx_split(spark, sf)
+    out = scaler_variances(train, NUM)
+    return out.select(F.col("ord").cast("int").alias("ord"), "scaler", r6(F.col("variance")).alias("variance"),
+                      "chosen")
+
+
+CATS = ["c1", "c2", "c3"]
+
+
+def _encode_choice_sql() -> str:
+    parts = [f"select '{c}' column_name, count(distinct coalesce({c}, 'missing')) n_distinct, count(*) n_rows "
+             "from train" for c in CATS]
+    return f"""with {FX_SQL}, e as ({' union all '.join(parts)})
+ select column_name, n_distinct, n_rows, round(n_distinct / n_rows, 6) ratio,
+   case when n_distinct / n_rows < 0.05 then 'onehot' else 'label' end encoding from e"""
+
+
+@register("encode_choice", _encode_choice_sql())
+def q_encode_choice(spark: SparkSession, sf: str) -> DataFrame:
+    train, _ = fx_split(spark, sf)
+    out = encoding_choice(train, CATS)
+    return out.select(F.col("column").alias("column_name"), "n_distinct", "n_rows", r6(F.col("ratio")).alias("ratio"),
+                      "encoding")
+
+
+def _prepare_sql() -> str:
+    num_rows = []
+    for c in NUM:
+        e = (f"case (select scaler from ranked where chosen) when 'standard' then {_scaled_sql(c, 'standard', 't')} "
+             f"when 'minmax' then {_scaled_sql(c, 'minmax', 't')} else {_scaled_sql(c, 'robust', 't')} end")
+        num_rows.append(f"select side, id, '{c}' feature, round({e}, 6) value from both_, ts")
+    cat_rows = []
+    for c in CATS:
+        v = f"coalesce({c}, 'missing')"
+        gate = f"(select encoding from enc where column_name = '{c}')"
+        cat_rows.append(f"""select side, id, '{c}_' || lv feature,
+            case when {v} = lv then 1.0 else 0.0 end value
+          from both_ cross join (select distinct {v} lv from both_) l where {gate} = 'onehot'""")
+        cat_rows.append(f"""select side, id, '{c}' feature, cast(code as double) value from both_
+          join (select v, dense_rank() over (order by k) - 1 code from
+                (select {v} v, min(side * 10000000000 + id) k from both_ group by 1) f) codes on {v} = codes.v
+          where {gate} = 'label'""")
+    enc = " union all ".join(
+        f"select '{c}' column_name, case when count(distinct coalesce({c}, 'missing')) / count(*) < 0.05 "
+        f"then 'onehot' else 'label' end encoding from train" for c in CATS)
+    return f"""with {FX_SQL}, {_best_scaler_ctes()},
+ ts as (select {_scaler_stats_sql('train', 't')}),
+ enc as ({enc}),
+ both_ as (select 0 side, * from train union all select 1 side, * from test)
+ {' union all '.join(num_rows + cat_rows)}"""
+
+
+@register("prepare_apply", _prepare_sql())
+def q_prepare_apply(spark: SparkSession, sf: str) -> DataFrame:
+    """A1-A4 end to end: scaler choice + per-column encoding, both sides, long form."""
+    train, test = fx_split(spark, sf)
+    train, test = train.drop("is_test", "target"), test.drop("is_test", "target")
+    tr, te, _ = prepare(train, test, id_col="id")
+    feats = [c for c in tr.columns if c != "id"]
+    a = long_form(tr.withColumn("side", F.lit(0)), ["side", "id"], feats)
+    b = long_form(te.withColumn("side", F.lit(1)), ["side", "id"], feats)
+    u = a.unionByName(b)
+    return u.select("side", "id", "feature", r6(F.col("value")).alias("value"))
