@@ -83,8 +83,8 @@ def compare_runs(original: DataFrame, optimized: DataFrame, key: str, metrics: l
     return j.withColumn("improved", F.col(f"optimized_{metrics[0]}") > F.col(f"original_{metrics[0]}"))
 
 
-@register("compare_runs", f"""with {FX_PRED_CLASS_SQL}, d as (select fxc.*, lang || '::' || source run_key,
-   case when n_chars % 2 = 0 then 1 else 0 end y_opt from fxc join documents using (doc_id)),
+@register("compare_runs", f"""with {FX_PRED_CLASS_SQL}, d as (select fxc.*, fxc.lang || '::' || documents.source run_key,
+   case when documents.n_chars % 2 = 0 then 1 else 0 end y_opt from fxc join documents using (doc_id)),
  o as ({CLASS_SQL.format(by="run_key,", src="d", group="group by run_key")}),
  p as ({CLASS_SQL.format(by="run_key,", src="(select run_key, y_true, y_opt y_pred from d) dd",
                          group="group by run_key")})
