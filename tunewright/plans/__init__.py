@@ -1,4 +1,4 @@
 """Registered queries; importing the plan modules fills the registry."""
 
-from . import evaluate, prep  # noqa: F401
+from . import evaluate, prep, trials  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401

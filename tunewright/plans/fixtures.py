@@ -191,3 +191,42 @@ fxt as (
          case when p_size % 2 = 0 then (p_partkey % 97) / 97.0 end accuracy
   from part)
 """
+
+
+# Extra entries appended to every log line by event_id % 8, covering each
+# canonicalisation rule and two unparseable values.
+LOG_EXTRA = (
+    "tf_val_accuracy",
+    "model_score",
+    "rf_accuracy_score",
+    "xgb_f1",
+    "lr_mean_squared_error",
+    "svr_mae",
+    "bad_value",
+    "nan_value",
+)
+
+
+def fx_log_rich(spark: SparkSession, sf_dir: str, regression_only: bool = False) -> DataFrame:
+    """fx_log with a second entry per line (newline or blank separated) for every rule."""
+    base = fx_log(spark, sf_dir, regression_only)
+    k = F.col("line_no") % 8
+    name = F.element_at(F.array(*[F.lit(n) for n in LOG_EXTRA]), (k + 1).cast("int"))
+    value = (F.when(k == 6, F.lit("0.9.1")).when(k == 7, F.lit("nan"))
+             .otherwise((F.col("line_no") % 97 / 100.0).cast("decimal(6,2)").cast("string")))
+    sep = F.when(k == 3, F.lit(" ")).otherwise(F.lit("\n"))
+    text = F.concat(F.col("text"), sep, F.lit("METRIC_LOG: "), name, F.lit(" = "), value)
+    return base.select("run_id", "line_no", "ts", text.alias("text"))
+
+
+def fx_log_rich_sql(regression_only: bool = False) -> str:
+    names = ", ".join(f"'{n}'" for n in LOG_EXTRA)
+    return fx_log_sql(regression_only) + f""",
+fxlr as (
+  select run_id, line_no, ts,
+         text || case when line_no % 8 = 3 then ' ' else chr(10) end || 'METRIC_LOG: '
+           || [{names}][line_no % 8 + 1] || ' = '
+           || case when line_no % 8 = 6 then '0.9.1' when line_no % 8 = 7 then 'nan'
+                   else cast(cast(line_no % 97 / 100.0 as decimal(6,2)) as varchar) end text
+  from fxl)
+"""
