@@ -1,4 +1,4 @@
 """Registered queries; importing the plan modules fills the registry."""
 
-from . import catalog, corpus, evaluate, prep, trials  # noqa: F401
+from . import catalog, corpus, evaluate, prep, sweep, trials  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
