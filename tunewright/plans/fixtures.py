@@ -230,3 +230,19 @@ fxlr as (
                    else cast(cast(line_no % 97 / 100.0 as decimal(6,2)) as varchar) end text
   from fxl)
 """
+
+
+def fx_log_rich_columns(events: DataFrame) -> DataFrame:
+    """fx_log_rich computed from an events DataFrame (batch or stream)."""
+    name = F.lit(LOG_NAME_OTHER)
+    for ev, nm in reversed(LOG_NAME_BY_EVENT):
+        name = F.when(F.col("event_type") == ev, F.lit(nm)).otherwise(name)
+    base = F.concat(F.lit("METRIC_LOG: "), name, F.lit(" = "), F.col("value").cast("decimal(12,2)").cast("string"))
+    k = F.col("event_id") % 8
+    extra = F.element_at(F.array(*[F.lit(n) for n in LOG_EXTRA]), (k + 1).cast("int"))
+    value = (F.when(k == 6, F.lit("0.9.1")).when(k == 7, F.lit("nan"))
+             .otherwise((F.col("event_id") % 97 / 100.0).cast("decimal(6,2)").cast("string")))
+    sep = F.when(k == 3, F.lit(" ")).otherwise(F.lit("\n"))
+    text = F.concat(base, sep, F.lit("METRIC_LOG: "), extra, F.lit(" = "), value)
+    return events.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("line_no"), "ts",
+                         text.alias("text"))
