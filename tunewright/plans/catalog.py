@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 CATALOG_SCHEMA = ("map<string, map<string, struct<allowed_values: array<variant>, default: variant, "
                   "range: variant, type: string, note: string>>>")
+# Same document with candidates as raw JSON text: keeps number spelling such as 0.0.
+RAW_SCHEMA = "map<string, map<string, struct<allowed_values: array<string>>>>"
 NO_PARAMS_MARKER = "No parameters required for initialization"
 # Catalog strings that name a kind of argument rather than a value.
 PLACEHOLDERS = ("scalar", "dict", "list", "type", "array", "str", "function", "Series")
@@ -144,20 +146,25 @@ def catalog_dict() -> dict:
 def parse_catalog(text_df: DataFrame, text_col: str = "value") -> DataFrame:
     """Rows (method, method_ord, param, param_ord, has_values, no_params, ord, value_json, value_type,
     value_text, default_json, is_placeholder); parameters without candidates keep one row with ord NULL."""
-    cat = text_df.select(F.posexplode(F.from_json(F.col(text_col), CATALOG_SCHEMA)).alias("method_ord", "method", "params"))
-    par = cat.select("method_ord", "method",
+    raw = F.from_json(F.col(text_col), RAW_SCHEMA)
+    cat = text_df.select(F.posexplode(F.from_json(F.col(text_col), CATALOG_SCHEMA)).alias("method_ord", "method", "params"),
+                         raw.alias("raw"))
+    par = cat.select("method_ord", "method", "raw",
                      F.posexplode("params").alias("param_ord", "param", "info"))
+    raw_vals = F.col("raw")[F.col("method")][F.col("param")]["allowed_values"]
     vals = par.select("method", "method_ord", "param", "param_ord",
                       F.col("info.allowed_values").isNotNull().alias("has_values"),
                       F.to_json(F.col("info.default")).alias("default_json"),
-                      F.posexplode_outer("info.allowed_values").alias("ord", "v"))
-    vj = F.to_json(F.col("v"))
+                      F.posexplode_outer(F.arrays_zip(F.col("info.allowed_values").alias("v"),
+                                                      raw_vals.alias("t"))).alias("ord", "z"))
+    vals = vals.select("*", F.col("z.v").alias("v"), F.col("z.t").alias("t")).drop("z")
     vtype = F.when(F.col("v").isNotNull(), F.schema_of_variant(F.col("v")))
+    vj = F.when(vtype.startswith("STRING"), F.to_json(F.col("v"))).otherwise(F.coalesce(F.col("t"), F.lit("null")))
     no_params = F.exists(F.coalesce(F.col("_all"), F.array().cast("array<string>")),
                          lambda x: x == F.lit(json.dumps(NO_PARAMS_MARKER)))
     out = vals.select("*", vj.alias("value_json"), vtype.alias("value_type"))
     allv = out.groupBy("method", "param").agg(F.collect_list("value_json").alias("_all"))  # per parameter: its few values
-    out = out.join(allv, ["method", "param"]).withColumn("no_params", no_params).drop("_all")
+    out = out.join(allv, ["method", "param"]).withColumn("no_params", no_params).drop("_all", "v", "t", "raw")
     return out.select("method", "method_ord", "param", "param_ord", "has_values", "no_params",
                       F.col("ord").cast("int").alias("ord"), "value_json", "value_type",
                       python_text(F.col("value_json"), F.col("value_type")).alias("value_text"),
