@@ -246,3 +246,32 @@ def test_load_cells_string_and_list_sources(spark, tmp_path):
     (tmp_path / "sub" / "a.ipynb").write_text(json.dumps(nb))
     rows = sorted((r.cell_index, r.source) for r in load_cells(spark, str(tmp_path)).collect())
     assert rows == [(1, "x = 1\ny = 2"), (2, "z = 3")]
+
+
+def test_load_model_records_both_shapes(spark, tmp_path):
+    from tunewright.sources.models import load_model_records
+    rec = {"notebook": "dir/titanic.ipynb", "models": [
+        {"type": "SVC", "parameters": {"args": [], "kwargs": {"C": 1.0, "kernel": "rbf"}}, "score": "score"}]}
+    (tmp_path / "a.json").write_text(json.dumps([rec]))
+    (tmp_path / "b.json").write_text(json.dumps({"notebooks": [rec]}))
+    for f in ("a.json", "b.json"):
+        r = load_model_records(spark, str(tmp_path / f)).collect()
+        assert len(r) == 1 and r[0].stem == "titanic" and r[0].kwargs == {"C": "1.0", "kernel": "rbf"}
+
+
+def test_sinks_write_and_read(spark, tmp_path):
+    from tunewright.sources.sinks import append_trials, write_prepared
+    df = spark.createDataFrame([(1, 0.5)], "id int, x double")
+    write_prepared(df, df, {"numeric_scaler": "robust"}, str(tmp_path / "prep"))
+    p = spark.read.json(str(tmp_path / "prep" / "transformation_params")).collect()
+    assert [(r.name, r.value) for r in p] == [("numeric_scaler", "robust")]
+    append_trials(df, str(tmp_path / "t"))
+    append_trials(df, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
+def test_spec_override_replaces_or_appends(spark):
+    from tunewright.operators.pipeline import override_param, params_text
+    df = spark.createDataFrame([({"a": "1", "b": "2"},), ({},)], "p map<string,string>")
+    out = [r.t for r in df.select(params_text(override_param(F.col("p"), "a", "9")).alias("t")).collect()]
+    assert out == ["a=9, b=2", "a=9"]

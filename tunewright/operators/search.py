@@ -243,3 +243,10 @@ def random_search(train: DataFrame, valid: DataFrame, features: Sequence[str], l
     tr.unpersist()
     va.unpersist()
     return SearchResult(trials, summary, best, original, optimized)
+
+
+def submission(model, test: DataFrame, features: Sequence[str], id_col: str) -> DataFrame:
+    """P10 / M6: (id, Prediction) of the test table from a fitted Spark ML model."""
+    from pyspark.ml.feature import VectorAssembler
+    va = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
+    return model.transform(va.transform(test)).select(col(id_col), F.col("prediction").alias("Prediction"))

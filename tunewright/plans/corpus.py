@@ -429,3 +429,116 @@ def q_modifiable_params(spark: SparkSession, sf: str) -> DataFrame:
     u = usage_table(_events(spark, sf))
     out = modifiable_params(u, catalog_rows(spark))
     return out.select("notebook", "cell_index", "method", "param", "param_ord")
+
+
+# ----------------------------------------------------------------------------- A8, A9, X11
+
+from ..operators.pipeline import override_param, params_text  # noqa: E402
+from ..sources.cells import fx_cells_io, fx_cells_io_sql  # noqa: E402
+
+READ_CSV = r"(?m)^\s*([A-Za-z_][A-Za-z0-9_]*)\s*=\s*[A-Za-z_][A-Za-z0-9_.]*\.read_csv\(\s*['\"]([^'\"]*)['\"]"
+SPLIT4 = r"([A-Za-z0-9_]+),\s*([A-Za-z0-9_]+),\s*([A-Za-z0-9_]+),\s*([A-Za-z0-9_]+)\s*=\s*train_test_split"
+MODEL_ASSIGN = r"([A-Za-z0-9_]+)\s*=\s*[A-Za-z]+\("
+# Model-name fragments that mark a model cell, and evaluation calls.
+ROLE_MODEL_WORDS = ("LinearRegression", "RandomForest", "XGBRegressor", "DecisionTree")
+ROLE_EVAL_WORDS = ("mean_squared_error", "r2_score", "accuracy_score")
+# Fallback table names.
+COMMON_TRAIN = ("train", "df_train", "train_df", "X_train")
+COMMON_TEST = ("test", "df_test", "test_df", "X_test")
+
+
+def discover_tables(cells: DataFrame) -> DataFrame:
+    """Per notebook the last read_csv target whose name says train (else test), with its path."""
+    src = F.col("source")
+    names = F.regexp_extract_all(src, F.lit(READ_CSV), 1)
+    paths = F.regexp_extract_all(src, F.lit(READ_CSV), 2)
+    ev = cells.filter(src.contains("read_csv")).select(
+        "notebook", "cell_index", F.posexplode(F.arrays_zip(names.alias("n"), paths.alias("p"))).alias("pos", "e"))
+    low = F.lower(F.col("e.n"))
+    role = F.when(low.contains("train"), "train").when(low.contains("test"), "test")
+    ev = ev.withColumn("role", role).filter(F.col("role").isNotNull())
+    order = F.struct("cell_index", "pos")
+    g = ev.groupBy("notebook").agg(
+        F.max_by(F.col("e.n"), F.when(F.col("role") == "train", order)).alias("train_var"),
+        F.max_by(F.col("e.p"), F.when(F.col("role") == "train", order)).alias("train_path"),
+        F.max_by(F.col("e.n"), F.when(F.col("role") == "test", order)).alias("test_var"),
+        F.max_by(F.col("e.p"), F.when(F.col("role") == "test", order)).alias("test_path"))
+    return g
+
+
+def split_roles(cells: DataFrame) -> DataFrame:
+    """Per notebook the X/y train/test names, the model variable, its fit cell and evaluation cell."""
+    src = F.col("source")
+    has_model = F.lit(False)
+    for w in ROLE_MODEL_WORDS:
+        has_model = has_model | src.contains(w)
+    c = cells.select(
+        "notebook", "cell_index", "source",
+        F.when(src.contains("train_test_split") & src.rlike(SPLIT4),
+               F.array(*[F.regexp_extract(src, SPLIT4, i) for i in (1, 2, 3, 4)])).alias("split"),
+        F.when(src.rlike(MODEL_ASSIGN) & has_model, F.regexp_extract(src, MODEL_ASSIGN, 1)).alias("model_set"))
+    w = (Window.partitionBy("notebook").orderBy("cell_index")  # one notebook's cells
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    c = c.withColumn("model", F.last("model_set", ignorenulls=True).over(w))
+    evals = F.lit(False)
+    for e in ROLE_EVAL_WORDS:
+        evals = evals | src.contains(e)
+    fit = F.col("model").isNotNull() & F.expr("instr(source, concat(model, '.fit')) > 0")
+    return c.groupBy("notebook").agg(
+        F.max_by("split", F.when(F.col("split").isNotNull(), F.col("cell_index"))).alias("split"),
+        F.max_by("model_set", F.when(F.col("model_set").isNotNull(), F.col("cell_index"))).alias("model"),
+        F.max(F.when(fit, F.col("cell_index"))).alias("model_fit_cell"),
+        F.max(F.when(F.col("model").isNotNull() & evals, F.col("cell_index"))).alias("evaluation_cell"),
+    ).select("notebook", F.col("split")[0].alias("x_train"), F.col("split")[1].alias("x_test"),
+             F.col("split")[2].alias("y_train"), F.col("split")[3].alias("y_test"), "model", "model_fit_cell",
+             "evaluation_cell")
+
+
+@register("discover_tables", "with " + fx_cells_io_sql() + r""",
+ ev as (select notebook, cell_index, regexp_extract(source, '^\s*([A-Za-z_][A-Za-z0-9_]*)\s*=', 1) n,
+          regexp_extract(source, 'read_csv\(\s*[''"]([^''"]*)[''"]', 1) p from cio where contains(source, 'read_csv')),
+ r as (select *, case when contains(lower(n), 'train') then 'train' when contains(lower(n), 'test') then 'test' end
+         role from ev)
+ select notebook, arg_max(n, case when role = 'train' then cell_index end) train_var,
+   arg_max(p, case when role = 'train' then cell_index end) train_path,
+   arg_max(n, case when role = 'test' then cell_index end) test_var,
+   arg_max(p, case when role = 'test' then cell_index end) test_path
+ from r where role is not null group by notebook""")
+def q_discover_tables(spark: SparkSession, sf: str) -> DataFrame:
+    return discover_tables(fx_cells_io(spark, sf))
+
+
+@register("split_roles", "with " + fx_cells_io_sql() + r""",
+ c as (select notebook, cell_index, source,
+   case when regexp_matches(source, '([A-Za-z0-9_]+),\s*([A-Za-z0-9_]+),\s*([A-Za-z0-9_]+),\s*([A-Za-z0-9_]+)\s*=\s*train_test_split')
+        then regexp_extract(source, '([A-Za-z0-9_]+),\s*([A-Za-z0-9_]+),\s*([A-Za-z0-9_]+),\s*([A-Za-z0-9_]+)\s*=\s*train_test_split', ['a','b','c','d']) end sp,
+   case when regexp_matches(source, '([A-Za-z0-9_]+)\s*=\s*[A-Za-z]+\(')
+         and (contains(source, 'LinearRegression') or contains(source, 'RandomForest')
+              or contains(source, 'XGBRegressor') or contains(source, 'DecisionTree'))
+        then regexp_extract(source, '([A-Za-z0-9_]+)\s*=\s*[A-Za-z]+\(', 1) end model_set from cio),
+ m as (select *, last_value(model_set ignore nulls) over (partition by notebook order by cell_index
+         rows between unbounded preceding and current row) model from c)
+ select notebook, arg_max(sp.a, case when sp is not null then cell_index end) x_train,
+   arg_max(sp.b, case when sp is not null then cell_index end) x_test,
+   arg_max(sp.c, case when sp is not null then cell_index end) y_train,
+   arg_max(sp.d, case when sp is not null then cell_index end) y_test,
+   arg_max(model_set, case when model_set is not null then cell_index end) model,
+   max(case when model is not null and contains(source, model || '.fit') then cell_index end) model_fit_cell,
+   max(case when model is not null and (contains(source, 'mean_squared_error') or contains(source, 'r2_score')
+            or contains(source, 'accuracy_score')) then cell_index end) evaluation_cell
+ from m group by notebook""")
+def q_split_roles(spark: SparkSession, sf: str) -> DataFrame:
+    return split_roles(fx_cells_io(spark, sf))
+
+
+@register("spec_override", "with " + CALLS_SQL + """
+ select notebook, cell_index, func, case func when 'StandardScaler' then 'with_mean=False, with_std=False'
+   when 'fillna' then 'value=1' when 'LogisticRegression' then 'C=n, with_std=False' else 'with_std=False' end params
+ from call_ev where func <> 'drop'""")
+def q_spec_override(spark: SparkSession, sf: str) -> DataFrame:
+    """X11: set with_std=False on every recorded call spec (fillna: value=1), replacing or appending."""
+    ev = _events(spark, sf).filter((F.col("scan") == "calls") & (F.col("kind") == "call")
+                                   & ~is_test_line(F.col("line")) & (F.col("func") != "drop"))
+    p = F.when(F.col("func") == "fillna", override_param(F.col("args"), "value", "1")) \
+        .otherwise(override_param(F.col("args"), "with_std", "False"))
+    return ev.select("notebook", "cell_index", "func", params_text(p).alias("params"))

@@ -629,3 +629,29 @@ def q_prepare_apply(spark: SparkSession, sf: str) -> DataFrame:
     b = long_form(te.withColumn("side", F.lit(1)), ["side", "id"], feats)
     u = a.unionByName(b)
     return u.select("side", "id", "feature", r6(F.col("value")).alias("value"))
+
+
+# --------------------------------------------------------------------------- F20: ColumnTransformer
+
+from ..operators.pipeline import ColumnTransformer  # noqa: E402
+
+
+@register("column_transformer", f"""with {FX_SQL},
+ s as (select avg(f1) a1, stddev_pop(f1) s1, avg(f3) a3, stddev_pop(f3) s3, quantile_cont(f2, 0.5) m2 from train),
+ k1 as (select v, dense_rank() over (order by v) - 1 code from (select distinct c1 v from train where c1 is not null)),
+ k2 as (select v, dense_rank() over (order by v) - 1 code from (select distinct c2 v from train where c2 is not null))
+ select round((f1 - a1) / s1, 6) f1, round((f3 - a3) / s3, 6) f3, round(coalesce(f2, m2), 6) f2,
+   cast(k1.code as double) c1, case when fx.c2 is null then null else coalesce(cast(k2.code as double), -1.0) end c2,
+   id, target
+ from fx cross join s left join k1 on fx.c1 = k1.v left join k2 on fx.c2 = k2.v""")
+def q_column_transformer(spark: SparkSession, sf: str) -> DataFrame:
+    """scale f1, f3; impute f2 by median; ordinal-code c1, c2; pass id and target through."""
+    d = fx(spark, sf).select("id", "f1", "f2", "f3", "c1", "c2", "target")
+    ct = ColumnTransformer([
+        ("num", StandardScaler(), ["f1", "f3"]),
+        ("imp", SimpleImputer(strategy="median"), ["f2"]),
+        ("cat", OrdinalEncoder(handle_unknown="use_encoded_value", unknown_value=-1), ["c1", "c2"]),
+    ], remainder="passthrough")
+    train = fx(spark, sf).filter(~F.col("is_test")).select(*d.columns)
+    out = ct.fit(train).transform(d)
+    return _rounded(out, NUM)

@@ -290,3 +290,20 @@ def q_search_lr(spark: SparkSession, sf: str) -> DataFrame:
            [("fx::LogisticRegression", "optimized", m, float(p[m])) for m in p]
     return spark.createDataFrame(rows, "run_key string, version string, metric string, value double").withColumn(
         "best_setting", F.lit(res.best_setting))
+
+
+@register("submission")
+def q_submission(spark: SparkSession, sf: str) -> DataFrame:
+    """P10 / M6: best estimator of the search (here: LR on train-imputed, label-coded fx) predicts the test ids."""
+    from ..operators.encode import LabelEncoder
+    from ..operators.impute import TrainStatImputer
+    from ..operators.search import assemble, make_estimator, submission
+    train, test = fx_split(spark, sf)
+    imp = TrainStatImputer(exclude=("id", "target", "is_test")).fit(train)
+    tr, te = imp.transform(train), imp.transform(test)
+    for c in ("c1", "c2"):
+        le = LabelEncoder().fit([tr, te], c)
+        tr, te = le.transform(tr), le.transform(te)
+    feats = ["f1", "f2", "f3", "c1", "c2"]
+    model = make_estimator("LogisticRegression", {}).fit(assemble(tr, feats, "target"))
+    return submission(model, te, feats, "id")

@@ -82,3 +82,45 @@ cells as (
          || chr(10) || case p_partkey % 8 {cases} end source
   from part)
 """
+
+
+# Variable names of the generated data-loading cells, chosen by p_size % 3.
+TRAIN_NAMES = ("train", "df_train", "train_df")
+TEST_NAMES = ("test", "df_test", "test_df")
+
+
+def fx_cells_io(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Data-loading / split / fit / evaluate cells from ``part`` (notebook = partkey % 40, 6 kinds by partkey % 6)."""
+    p = read_table(spark, sf_dir, "part")
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    tr = F.element_at(F.array(*[F.lit(n) for n in TRAIN_NAMES]), (F.col("p_size") % 3 + 1).cast("int"))
+    te = F.element_at(F.array(*[F.lit(n) for n in TEST_NAMES]), (F.col("p_size") % 3 + 1).cast("int"))
+    kind = k % 6
+    src = (F.when(kind == 0, F.concat(tr, F.lit(' = pd.read_csv("'), F.col("p_brand"), F.lit('.csv")')))
+           .when(kind == 1, F.concat(te, F.lit(' = pd.read_csv("'), F.col("p_type"), F.lit('.csv")')))
+           .when(kind == 2, F.concat(F.lit("X_tr"), size, F.lit(", X_te"), size, F.lit(", y_tr"), size,
+                                     F.lit(", y_te"), size, F.lit(" = train_test_split(X, y, test_size=0.2)")))
+           .when(kind == 3, F.concat(F.lit("reg"), size, F.lit(" = RandomForestRegressor(n_estimators="), size,
+                                     F.lit(")")))
+           .when(kind == 4, F.concat(F.lit("reg"), (F.col("p_size") % 5).cast("string"), F.lit(".fit(X, y)")))
+           .otherwise(F.lit("print(r2_score(y, p))")))
+    return p.select(F.concat(F.lit("io"), (k % 40).cast("string"), F.lit(".ipynb")).alias("notebook"),
+                    k.alias("cell_index"), src.alias("source"))
+
+
+def fx_cells_io_sql() -> str:
+    tr = "[" + ", ".join(f"'{n}'" for n in TRAIN_NAMES) + "][p_size % 3 + 1]"
+    te = "[" + ", ".join(f"'{n}'" for n in TEST_NAMES) + "][p_size % 3 + 1]"
+    s = "cast(p_size as varchar)"
+    return f"""
+cio as (select 'io' || cast(p_partkey % 40 as varchar) || '.ipynb' notebook, p_partkey cell_index,
+  case p_partkey % 6
+    when 0 then {tr} || ' = pd.read_csv("' || p_brand || '.csv")'
+    when 1 then {te} || ' = pd.read_csv("' || p_type || '.csv")'
+    when 2 then 'X_tr' || {s} || ', X_te' || {s} || ', y_tr' || {s} || ', y_te' || {s}
+                || ' = train_test_split(X, y, test_size=0.2)'
+    when 3 then 'reg' || {s} || ' = RandomForestRegressor(n_estimators=' || {s} || ')'
+    when 4 then 'reg' || cast(p_size % 5 as varchar) || '.fit(X, y)'
+    else 'print(r2_score(y, p))' end source
+  from part)
+"""

@@ -19,7 +19,8 @@ def load_model_records(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("wholetext", "true").text(path)
     as_list = F.from_json("value", f"array<{NOTEBOOK}>")
     as_obj = F.from_json("value", f"struct<notebooks: array<{NOTEBOOK}>>").getField("notebooks")
-    nbs = raw.select(F.explode(F.coalesce(as_list, as_obj)).alias("nb"))
+    # an object parsed with the list schema comes back as a one-element list, so test the object form first
+    nbs = raw.select(F.explode(F.coalesce(as_obj, as_list)).alias("nb"))
     models = nbs.select(F.col("nb.notebook").alias("notebook"), F.posexplode("nb.models").alias("model_pos", "m"))
     return models.select(file_stem(F.col("notebook")).alias("stem"), "notebook", "model_pos",
                          F.col("m.type").alias("model_type"), F.col("m.parameters.args").alias("args"),
