@@ -50,64 +50,58 @@ def parse_metric_log(df: DataFrame, text: str = "text", keys: tuple[str, ...] =
                     F.expr("try_cast(trim(e.v) as double)").alias("value"))
 
 
-def _split_parts(name: Column) -> tuple[Column, Column, Column]:
-    pm = F.regexp_extract(name, SPLIT_PATTERN, 1)
-    pmetric = F.regexp_extract(name, SPLIT_PATTERN, 2)
-    is_split = pmetric.isin(*METRICS)
-    model0 = F.when(is_split, pm).otherwise(F.lit("model"))
-    metric0 = F.when(is_split, pmetric).otherwise(name)
-    return model0, metric0, is_split
-
-
 def canonical_entries(parsed: DataFrame, keys: tuple[str, ...] = ("run_id", "line_no")) -> DataFrame:
-    """Canonical rows (keys..., pos, sub, model, metric, value, is_global).
+    """Canonical rows (keys..., pos, sub, model, metric, value, is_global, tf_hit).
 
     Every entry also emits an insertion row (metric NULL) for the split model name so
     the order in which models first appear is kept (``sub`` orders rows of one entry).
-    Unparseable values produce no metric rows.
+    Unparseable values produce no rows.  The name split and the rule flags are
+    materialised as columns first, so each regex runs once per entry.
     """
     name = F.col("name")
-    model0, m, _ = _split_parts(name)
-    v = F.col("value")
-    cand = []
-    # insertion of the split model name (always, like the dict setdefault)
-    cand.append(F.struct(F.lit(0).alias("sub"), model0.alias("model"), F.lit(None).cast("string").alias("metric"),
-                         F.lit(None).cast("double").alias("value"), F.lit(False).alias("is_global")))
-    rule = None
-    for needle, metric in NAME_RULES:
-        cond = m.contains(needle)
-        rule = cond if rule is None else rule | cond
-    # branch 2: sklearn-style names (first matching needle wins)
+    split = parsed.select(*keys, "pos", "name", "value",
+                          F.regexp_extract(name, SPLIT_PATTERN, 1).alias("_pm"),
+                          F.regexp_extract(name, SPLIT_PATTERN, 2).alias("_pmt"))
+    is_split = F.col("_pmt").isin(*METRICS)
+    named = split.select(*keys, "pos", "value",
+                         F.when(is_split, F.col("_pm")).otherwise(F.lit("model")).alias("model0"),
+                         F.when(is_split, F.col("_pmt")).otherwise(name).alias("m"))
+    m = F.col("m")
     sk_metric = F.lit(None).cast("string")
     for needle, metric in reversed(NAME_RULES):
         sk_metric = F.when(m.contains(needle), F.lit(metric)).otherwise(sk_metric)
     tf_rest = F.substring(m, 4, 1 << 30)
-    is_tf = ~rule & m.startswith("tf_")
-    tf_acc = is_tf & (tf_rest.contains("accuracy") | tf_rest.contains("acc")) & ~tf_rest.contains("val_")
-    is_score = ~rule & ~is_tf & m.contains("_score")
-    score_model = F.substring_index(m, "_score", 1)
-    score_metric = F.when(m.contains("accuracy"), F.lit("accuracy")).otherwise(F.lit("r2"))
-    is_bare = ~rule & ~is_tf & ~is_score & m.isin(*METRICS)
-    ok = v.isNotNull()
-    cand += [
-        F.when(ok & rule, F.struct(F.lit(1).alias("sub"), model0.alias("model"), sk_metric.alias("metric"),
-                                   v.alias("value"), F.lit(True).alias("is_global"))),
-        F.when(ok & rule & (sk_metric == "mse"),
-               F.struct(F.lit(2).alias("sub"), model0.alias("model"), F.lit("rmse").alias("metric"),
-                        F.sqrt(v).alias("value"), F.lit(True).alias("is_global"))),
-        F.when(ok & tf_acc, F.struct(F.lit(1).alias("sub"), F.lit("tensorflow").alias("model"),
-                                     F.lit("accuracy").alias("metric"), v.alias("value"),
-                                     F.lit(True).alias("is_global"))),
-        F.when(ok & is_score, F.struct(F.lit(1).alias("sub"), score_model.alias("model"),
-                                       score_metric.alias("metric"), v.alias("value"),
-                                       F.lit(False).alias("is_global"))),
-        F.when(ok & is_bare, F.struct(F.lit(1).alias("sub"), model0.alias("model"), m.alias("metric"),
-                                      v.alias("value"), F.lit(True).alias("is_global"))),
+    flags = named.select(
+        *keys, "pos", "value", "model0", "m", sk_metric.alias("sk"),
+        (m.startswith("tf_") & (tf_rest.contains("accuracy") | tf_rest.contains("acc"))
+         & ~tf_rest.contains("val_")).alias("_tfacc"),
+        m.startswith("tf_").alias("_tf"), m.contains("_score").alias("_sc"),
+        F.substring_index(m, "_score", 1).alias("score_model"),
+        F.when(m.contains("accuracy"), F.lit("accuracy")).otherwise(F.lit("r2")).alias("score_metric"),
+        m.isin(*METRICS).alias("_bare"))
+    v, sk = F.col("value"), F.col("sk")
+    rule = sk.isNotNull()
+    is_tf = ~rule & F.col("_tf")
+    tf_acc = is_tf & F.col("_tfacc")
+    is_score = ~rule & ~F.col("_tf") & F.col("_sc")
+    is_bare = ~rule & ~F.col("_tf") & ~F.col("_sc") & F.col("_bare")
+
+    def row(sub, model, metric, value, is_global, tf_hit=False):
+        return F.struct(F.lit(sub).alias("sub"), model.alias("model"), metric.alias("metric"),
+                        value.alias("value"), F.lit(is_global).alias("is_global"), F.lit(tf_hit).alias("tf_hit"))
+
+    none_s, none_d = F.lit(None).cast("string"), F.lit(None).cast("double")
+    cand = [
+        row(0, F.col("model0"), none_s, none_d, False),  # insertion of the split model name
+        F.when(rule, row(1, F.col("model0"), sk, v, True)),
+        F.when(rule & (sk == "mse"), row(2, F.col("model0"), F.lit("rmse"), F.sqrt(v), True)),
+        F.when(tf_acc, row(1, F.lit("tensorflow"), F.lit("accuracy"), v, True, True)),
+        F.when(is_score, row(1, F.col("score_model"), F.col("score_metric"), v, False)),
+        F.when(is_bare, row(1, F.col("model0"), m, v, True)),
     ]
     arr = F.filter(F.array(*cand), lambda e: e.isNotNull())
-    out = parsed.select(*keys, "pos", F.explode(arr).alias("e"), tf_acc.alias("tf_hit"))
-    return out.select(*keys, "pos", "e.sub", "e.model", "e.metric", "e.value", "e.is_global",
-                      (F.col("tf_hit") & (F.col("e.sub") == 1)).alias("tf_hit"))
+    out = flags.filter(v.isNotNull()).select(*keys, "pos", F.explode(arr).alias("e"))
+    return out.select(*keys, "pos", "e.sub", "e.model", "e.metric", "e.value", "e.is_global", "e.tf_hit")
 
 
 def safe_value_name(value_text: Column) -> Column:

@@ -73,8 +73,14 @@ OP_NAMES = (("Add", "Addition"), ("Sub", "Subtraction"), ("Mult", "Multiplicatio
 
 
 def scan_events(cells: DataFrame) -> DataFrame:
-    """One Python pass over (notebook, cell_index, source)."""
-    return cells.select("notebook", "cell_index", "source").mapInPandas(scan_cells, EVENT_SCHEMA)
+    """One Python pass over (notebook, cell_index, source), hash-partitioned by notebook.
+
+    Every later rule reads this one exchange, so the plan reuses it (the Python scan
+    runs once per query) and the per-notebook windows and aggregates need no
+    further shuffle.
+    """
+    events = cells.select("notebook", "cell_index", "source").mapInPandas(scan_cells, EVENT_SCHEMA)
+    return events.repartition("notebook")
 
 
 def is_test_line(line: Column) -> Column:
