@@ -77,26 +77,30 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         return [(k, s) for k, s in state.items()
                 if s["value"] is None and ((s["cnt"] > finish_rows) == big)]
 
-    # Histogram passes: each shrinks every open bracket to one bucket.
+    # Histogram passes: each shrinks every open bracket to one bucket.  Targets that share
+    # a column and a bracket (all ranks of a column in the first pass) share a histogram.
     while True:
         todo = open_targets(True)
         if not todo:
             break
+        brackets: dict[tuple, int] = {}
+        for (i, r), s in todo:
+            brackets.setdefault((i, s["L"], s["U"]), len(brackets))
         tid_cols = []
-        for t, ((i, r), s) in enumerate(todo):
+        for (i, lo, hi), t in brackets.items():
             x = col(cols[i]).cast("double")
-            width = (s["U"] - s["L"]) / bins
-            b = F.least(F.floor((x - F.lit(s["L"])) / F.lit(width)).cast("int"), F.lit(bins - 1))
-            tid_cols.append(F.when(x.between(s["L"], s["U"]),
-                                   F.struct(F.lit(t).alias("t"), b.alias("b"), x.alias("x"))))
+            width = (hi - lo) / bins
+            b = F.least(F.floor((x - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(bins - 1))
+            tid_cols.append(F.when(x.between(lo, hi), F.struct(F.lit(t).alias("t"), b.alias("b"), x.alias("x"))))
         hist = (df.select(F.explode(F.filter(F.array(*tid_cols), lambda e: e.isNotNull())).alias("e"))
                 .groupBy(F.col("e.t").alias("t"), F.col("e.b").alias("b"))
                 .agg(F.count(F.lit(1)).alias("n"), F.min("e.x").alias("mn"), F.max("e.x").alias("mx"))
-                .collect())  # bounded: at most bins rows per open target
+                .collect())  # bounded: at most bins rows per open bracket
         by_t: dict[int, list] = {}
         for row in hist:
             by_t.setdefault(row["t"], []).append(row)
-        for t, ((i, r), s) in enumerate(todo):
+        for (i, r), s in todo:
+            t = brackets[(i, s["L"], s["U"])]
             need = r - s["below"]
             acc = 0
             for row in sorted(by_t.get(t, []), key=lambda z: z["b"]):
@@ -108,22 +112,28 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     break
                 acc += row["n"]
 
-    # Final pass: rank the rows left in each small bracket.
+    # Final pass: rank the rows left in each small bracket (one sort per distinct bracket).
     todo = open_targets(False)
     if todo:
+        brackets = {}
+        for (i, r), s in todo:
+            brackets.setdefault((i, s["L"], s["U"]), (len(brackets), set()))[1].add(r - s["below"])
         tid_cols = []
-        for t, ((i, r), s) in enumerate(todo):
+        for (i, lo, hi), (t, _) in brackets.items():
             x = col(cols[i]).cast("double")
-            tid_cols.append(F.when(x.between(s["L"], s["U"]), F.struct(F.lit(t).alias("t"), x.alias("x"))))
-        w = Window.partitionBy("t").orderBy("x")
-        want = F.create_map(*[v for t, ((i, r), s) in enumerate(todo) for v in (F.lit(t), F.lit(r - s["below"]))])
+            tid_cols.append(F.when(x.between(lo, hi), F.struct(F.lit(t).alias("t"), x.alias("x"))))
+        w = Window.partitionBy("t").orderBy("x")  # each bracket holds at most finish_rows rows
+        want = F.create_map(*[v for t, ranks in brackets.values()
+                              for v in (F.lit(t), F.array(*[F.lit(k) for k in sorted(ranks)]))])
         picked = (df.select(F.explode(F.filter(F.array(*tid_cols), lambda e: e.isNotNull())).alias("e"))
                   .select("e.t", "e.x")
                   .withColumn("rk", F.row_number().over(w) - 1)
-                  .filter(F.col("rk") == F.element_at(want, F.col("t")))
-                  .collect())  # one row per open target
-        for row in picked:
-            todo[row["t"]][1]["value"] = row["x"]
+                  .filter(F.array_contains(F.element_at(want, F.col("t")), F.col("rk")))
+                  .collect())  # one row per wanted rank
+        found = {(row["t"], row["rk"]): row["x"] for row in picked}
+        for (i, r), s in todo:
+            t = brackets[(i, s["L"], s["U"])][0]
+            s["value"] = found[(t, r - s["below"])]
 
     out: dict[str, dict[float, float | None]] = {}
     for i, c in enumerate(cols):

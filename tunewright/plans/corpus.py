@@ -73,14 +73,19 @@ OP_NAMES = (("Add", "Addition"), ("Sub", "Subtraction"), ("Mult", "Multiplicatio
 
 
 def scan_events(cells: DataFrame) -> DataFrame:
-    """One Python pass over (notebook, cell_index, source), hash-partitioned by notebook.
+    """One Python pass over (notebook, cell_index, source), hash-partitioned by notebook
+    before the scan, so the Python work is spread over all tasks.
 
-    Every later rule reads this one exchange, so the plan reuses it (the Python scan
-    runs once per query) and the per-notebook windows and aggregates need no
-    further shuffle.
+    The events are checkpointed (reliably, to the shared checkpoint folder): every
+    rule after this reads them without re-running Python, an executor loss does not
+    repeat the scan, and the notebook partitioning is kept, so the per-notebook
+    windows and aggregates need no further shuffle.
     """
-    events = cells.select("notebook", "cell_index", "source").mapInPandas(scan_cells, EVENT_SCHEMA)
-    return events.repartition("notebook")
+    # An explicit count: AQE would otherwise coalesce this small-in-bytes but
+    # Python-heavy input into very few tasks.
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_notebook = cells.select("notebook", "cell_index", "source").repartition(n, "notebook")
+    return by_notebook.mapInPandas(scan_cells, EVENT_SCHEMA).checkpoint(eager=True)
 
 
 def is_test_line(line: Column) -> Column:
