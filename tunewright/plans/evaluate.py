@@ -100,3 +100,47 @@ def q_compare_runs(spark: SparkSession, sf: str) -> DataFrame:
     orig = _round_all(classification_metrics(d, "y_true", "y_pred", by=["run_key"]), ["run_key", "n"])
     opt = _round_all(classification_metrics(d, "y_true", "y_opt", by=["run_key"]), ["run_key", "n"])
     return compare_runs(orig, opt, "run_key", ["accuracy", "f1"])
+
+
+# ----------------------------------------------------------------------------- J9: k nearest neighbours
+
+from ..operators.knn import knn_neighbors, knn_vote  # noqa: E402
+from ..sources.tables import read_table  # noqa: E402
+
+EMB_SPLIT_SQL = """
+emb as (select vec_id, embedding, label,
+          ('0x' || substr(md5(cast(vec_id as varchar)), 1, 8))::BIGINT % 100 < 20 is_query from embeddings),
+tr as (select * from emb where not is_query), qs as (select * from emb where is_query),
+pd as (select qs.vec_id query_id, tr.vec_id neighbor_id, tr.label,
+         sqrt(list_sum(list_transform(list_zip(qs.embedding, tr.embedding),
+              lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE)))) dist
+       from qs cross join tr),
+nn as (select * from (select *, row_number() over (partition by query_id order by dist, neighbor_id) "rank"
+       from pd) where "rank" <= 5)
+"""
+
+
+def _emb_split(spark: SparkSession, sf: str):
+    e = read_table(spark, sf, "embeddings")
+    is_q = md5_bucket(F.col("vec_id")) % 100 < 20
+    return e.filter(~is_q), e.filter(is_q)
+
+
+@register("knn_neighbors", "with " + EMB_SPLIT_SQL + """
+ select query_id, "rank", neighbor_id, round(dist, 6) dist from nn""")
+def q_knn_neighbors(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact 5 nearest training embeddings of every held-out embedding (pivot-pruned)."""
+    train, queries = _emb_split(spark, sf)
+    nb = knn_neighbors(train, queries, 5, id_col="vec_id", vec_col="embedding")
+    return nb.select("query_id", F.col("rank").cast("bigint").alias("rank"), "neighbor_id",
+                     r6(F.col("dist")).alias("dist"))
+
+
+@register("knn_vote", "with " + EMB_SPLIT_SQL + """,
+ v as (select query_id, label, count(*) score from nn group by all)
+ select query_id, arg_max(label, score * 1000 - label) prediction from v group by query_id""")
+def q_knn_vote(spark: SparkSession, sf: str) -> DataFrame:
+    """J9 classifier: uniform vote of the 5 nearest neighbours (ties -> smallest label)."""
+    train, queries = _emb_split(spark, sf)
+    nb = knn_neighbors(train, queries, 5, id_col="vec_id", vec_col="embedding")
+    return knn_vote(nb, train, "vec_id", "label").select("query_id", F.col("prediction").cast("int"))
