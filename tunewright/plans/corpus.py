@@ -214,8 +214,40 @@ def model_records(events: DataFrame) -> DataFrame:
     m = models.join(resolved, ["notebook", "cell_index", "dfs"], "left")
     kwargs = F.map_zip_with(F.col("args"), F.coalesce(F.col("_res"), F.create_map().cast("map<string,string>")),
                             lambda k, a, r: F.coalesce(r, a))
-    args = F.when((F.col("model_type") == "Sequential") & F.col("first_const").isNotNull(),
-                  F.array(F.to_json(F.array(F.col("first_const")))).getItem(0)).otherwise(F.to_json("pos_args"))
+    # `.add(layer)` and `.compile(...)` attach to the current (latest) model of the notebook
+    attach = ev.filter((F.col("op") == "attr") & (
+        (F.col("func") == "add") & F.col("layer").isNotNull() | (F.col("func") == "compile"))).select(
+        "notebook", "cell_index", "dfs", F.lit(1).alias("is_ev"), "func", "layer",
+        F.col("args").alias("cargs"), F.lit(None).cast("long").alias("mid_c"), F.lit(None).cast("int").alias("mid_d"),
+        F.lit(None).cast("string").alias("mtype"))
+    cur = models.select("notebook", "cell_index", "dfs", F.lit(0).alias("is_ev"), F.lit(None).cast("string")
+                        .alias("func"), F.lit(None).cast("string").alias("layer"),
+                        F.lit(None).cast("map<string,string>").alias("cargs"), F.col("cell_index").alias("mid_c"),
+                        F.col("dfs").alias("mid_d"), F.col("model_type").alias("mtype"))
+    wn0 = (Window.partitionBy("notebook").orderBy("cell_index", "dfs", "is_ev")  # one notebook
+           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    att = (cur.unionByName(attach)
+           .withColumn("m_c", F.last("mid_c", ignorenulls=True).over(wn0))
+           .withColumn("m_d", F.last("mid_d", ignorenulls=True).over(wn0))
+           .withColumn("m_t", F.last("mtype", ignorenulls=True).over(wn0))
+           .filter((F.col("is_ev") == 1) & F.col("m_c").isNotNull()))
+    order = F.struct("cell_index", "dfs")
+    layers = (att.filter((F.col("func") == "add") & (F.col("m_t") == "Sequential"))
+              .groupBy(F.col("notebook"), F.col("m_c").alias("cell_index"), F.col("m_d").alias("dfs"))
+              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), "layer"))),
+                                            lambda e: e["layer"]), ", ").alias("_layers")))  # one model's layers
+    comp = (att.filter(F.col("func") == "compile")
+            .groupBy(F.col("notebook"), F.col("m_c").alias("cell_index"), F.col("m_d").alias("dfs"))
+            .agg(F.max_by(F.map_filter("cargs", lambda k, v: k.isin("optimizer", "metrics")), order).alias("_comp")))
+    m = m.join(layers, ["notebook", "cell_index", "dfs"], "left").join(comp, ["notebook", "cell_index", "dfs"], "left")
+    kwargs = F.map_concat(F.map_filter(kwargs, lambda k, v: ~k.isin("optimizer", "metrics") | F.col("_comp").isNull()),
+                          F.coalesce(F.col("_comp"), F.create_map().cast("map<string,string>")))
+    base_list = F.regexp_replace(F.regexp_replace(F.col("first_const"), r"^\[", ""), r"\]$", "")
+    seq_args = F.concat(F.lit("["), F.concat_ws(", ", F.when(base_list != "", base_list), F.col("_layers")),
+                        F.lit("]"))
+    args = F.when((F.col("model_type") == "Sequential") & (F.col("first_const").isNotNull() | F.col("_layers")
+                                                           .isNotNull()),
+                  F.to_json(F.array(seq_args))).otherwise(F.to_json("pos_args"))
     models = m.select("notebook", "cell_index", "dfs", "model_type", "target", kwargs.alias("kwargs"),
                       args.alias("args_json"))
     # model of var.score(...): latest model assigned to that variable (as-of by variable)
@@ -553,3 +585,29 @@ def q_spec_override(spark: SparkSession, sf: str) -> DataFrame:
     p = F.when(F.col("func") == "fillna", override_param(F.col("args"), "value", "1")) \
         .otherwise(override_param(F.col("args"), "with_std", "False"))
     return ev.select("notebook", "cell_index", "func", params_text(p).alias("params"))
+
+
+from ..sources.cells import FX_CELLS_NN_SQL, fx_cells_nn  # noqa: E402
+
+
+@register("model_layers", "with " + FX_CELLS_NN_SQL + """,
+ m as (select notebook, cell_index, p_size,
+         coalesce(lead(cell_index) over (partition by notebook order by cell_index), 9223372036854775807) nxt
+       from cnn where kind = 0),
+ a as (select m.notebook, m.cell_index, string_agg(case when c.kind = 1 then 'Dense(' || cast(c.p_size % 7 + 1 as varchar)
+         || ')' else 'Dropout(0.5)' end, ', ' order by c.cell_index) layers
+       from m join cnn c on c.notebook = m.notebook and c.cell_index > m.cell_index and c.cell_index < m.nxt
+       where c.kind in (1, 4) group by all),
+ k as (select distinct m.notebook, m.cell_index from m join cnn c on c.notebook = m.notebook
+       and c.cell_index > m.cell_index and c.cell_index < m.nxt where c.kind = 2)
+ select m.notebook, m.cell_index, 'Sequential' model_type,
+   '["[' || concat_ws(', ', 'Dense(' || cast(m.p_size as varchar) || ', activation=''relu'')', a.layers) || ']"]'
+     args_json,
+   case when k.cell_index is not null then '{"optimizer":"adam","metrics":["accuracy"]}' else '{}' end kwargs_json
+ from m left join a using (notebook, cell_index) left join k using (notebook, cell_index)""")
+def q_model_layers(spark: SparkSession, sf: str) -> DataFrame:
+    """Sequential models with their list and .add() layers, and compile settings."""
+    m = model_records(scan_events(fx_cells_nn(spark, sf)))
+    kw = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries("kwargs"), lambda e: F.concat(
+        F.lit('"'), e["key"], F.lit('":'), e["value"])), ","), F.lit("}"))
+    return m.select("notebook", "cell_index", "model_type", "args_json", kw.alias("kwargs_json"))

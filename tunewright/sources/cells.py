@@ -124,3 +124,24 @@ cio as (select 'io' || cast(p_partkey % 40 as varchar) || '.ipynb' notebook, p_p
     else 'print(r2_score(y, p))' end source
   from part)
 """
+
+
+def fx_cells_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keras-style cells from ``part`` (notebook = partkey % 30, 5 kinds by partkey % 5)."""
+    p = read_table(spark, sf_dir, "part")
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    kind = k % 5
+    src = (F.when(kind == 0, F.concat(F.lit("model = Sequential([Dense("), size, F.lit(", activation='relu')])")))
+           .when(kind == 1, F.concat(F.lit("model.add(Dense("), (F.col("p_size") % 7 + 1).cast("string"), F.lit("))")))
+           .when(kind == 2, F.lit("model.compile(optimizer='adam', metrics=['accuracy'])"))
+           .when(kind == 3, F.concat(F.lit("history = model.fit(X, y, epochs="), (F.col("p_size") % 5 + 1)
+                                     .cast("string"), F.lit(")")))
+           .otherwise(F.lit("model.add(Dropout(0.5))")))
+    return p.select(F.concat(F.lit("nn"), (k % 30).cast("string"), F.lit(".ipynb")).alias("notebook"),
+                    k.alias("cell_index"), src.alias("source"), kind.alias("kind"), F.col("p_size"))
+
+
+FX_CELLS_NN_SQL = """
+cnn as (select 'nn' || cast(p_partkey % 30 as varchar) || '.ipynb' notebook, p_partkey cell_index,
+  p_partkey % 5 kind, p_size from part)
+"""
