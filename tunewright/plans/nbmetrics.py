@@ -118,9 +118,9 @@ def output_values(outputs: DataFrame, facts: DataFrame) -> DataFrame:
     return free.unionByName(tf).unionByName(casc)
 
 
-def model_metrics(outputs: DataFrame, facts: DataFrame) -> DataFrame:
+def model_metrics(outputs: DataFrame, facts: DataFrame, values: DataFrame | None = None) -> DataFrame:
     """X6 + X7: last value per (notebook, model, metric); rmse from mse, r2 from r2_train."""
-    v = output_values(outputs, facts)
+    v = values if values is not None else output_values(outputs, facts)
     last = v.groupBy("notebook", "model", "metric").agg(F.max_by("value", F.struct("cell_index", "sub")).alias("value"))
     wide = last.groupBy("notebook", "model").pivot(
         "metric", ["accuracy", "precision", "recall", "f1", "mse", "rmse", "r2", "mae", "oob_score", "r2_train"]
@@ -315,3 +315,74 @@ def q_output_metrics(spark: SparkSession, sf: str) -> DataFrame:
     facts = metric_facts(scan_events(cells))
     out = model_metrics(cells.select("notebook", "cell_index", "text"), facts)
     return out.select("notebook", "model", "metric", r6(F.col("value")).alias("value"))
+
+
+def notebook_metrics(outputs: DataFrame, facts: DataFrame, cells: DataFrame) -> DataFrame:
+    """Notebook result: history accuracy, TensorFlow accuracy, then the best model by the output
+    rule (K2: f1 else accuracy highest; regression: lowest of mse, rmse, mae, -r2); ties keep the
+    model that appeared first."""
+    vals = output_values(outputs, facts).checkpoint(eager=True)  # read twice below
+    mm = model_metrics(outputs, facts, vals)
+    wide = mm.groupBy("notebook", "model").pivot("metric", list(METRIC_KEYS)).agg(F.first("value"))
+    # first appearance: code facts of a cell come before the values its output creates
+    seen_f = facts.groupBy("notebook", "model").agg(F.min(F.struct("cell_index", F.lit(0).alias("ph"),
+                                                                    "dfs")).alias("seen"))
+    seen_v = vals.groupBy("notebook", "model").agg(F.min(F.struct("cell_index", F.lit(1).alias("ph"),
+                                                                   F.col("sub").alias("dfs"))).alias("seen"))
+    seen = seen_f.unionByName(seen_v).groupBy("notebook", "model").agg(F.min("seen").alias("seen"))
+    w = wide.join(seen, ["notebook", "model"], "left")
+    cls = w.groupBy("notebook").agg(F.max((F.col("accuracy").isNotNull() | F.col("f1").isNotNull()).cast("int"))
+                                    .alias("_cls"))
+    w = w.join(cls, "notebook")
+    score = F.when(F.col("_cls") == 1, F.coalesce("f1", "accuracy")).otherwise(
+        -F.coalesce("mse", "rmse", "mae", -F.col("r2")))
+    key = F.struct(F.col("_score"), F.struct(-F.col("seen.cell_index"), -F.col("seen.ph"), -F.col("seen.dfs")))
+    best = (w.withColumn("_score", score).filter(F.col("_score").isNotNull())
+            .groupBy("notebook").agg(F.max_by(F.struct("model", *METRIC_KEYS[:8]), key).alias("b")))
+    tf = mm.filter((F.col("model") == "tensorflow") & (F.col("metric") == "accuracy")).select(
+        "notebook", F.col("value").alias("_tfacc"))
+    hist = history_accuracy(cells)
+    nbs = cells.select("notebook").distinct()
+    j = nbs.join(hist, "notebook", "left").join(tf, "notebook", "left").join(best, "notebook", "left")
+    out = [F.coalesce(F.col("b.accuracy"), F.col("_tfacc"), F.col("accuracy")).alias("accuracy")]
+    out += [F.col(f"b.{k}").alias(k) for k in ("precision", "recall", "f1", "mse", "rmse", "r2", "mae")]
+    return j.select("notebook", F.coalesce(F.col("b.model"), F.lit("tensorflow")).alias("best_model"), *out)
+
+
+def _notebook_metrics_sql() -> str:
+    base = _output_metrics_sql()
+    head, tail = base.split(" select notebook, model, metric, round(value, 6) value from u where value is not null")
+    hist = _hist_sql().split("with " + fx_cells_metrics_sql() + ",", 1)[1]
+    hist_ctes, hist_sel = hist.rsplit(" select notebook, round(coalesce(acc, val_acc), 6) accuracy", 1)
+    piv = ", ".join(f"max(case when metric = '{k}' then value end) \"{k}\"" for k in METRIC_KEYS)
+    keys8 = ", ".join(f'"{k}"' for k in METRIC_KEYS[:8])
+    return head + f""",
+ um as (select * from u where value is not null),
+ wm as (select notebook, model, {piv} from um group by all),
+ sf as (select notebook, model, min(cell_index * 100000) s from facts group by all),
+ sv as (select notebook, model, min(cell_index * 100000 + 50000 + sub) s from vals where value is not null group by all),
+ seen as (select notebook, model, min(s) s from (select * from sf union all select * from sv) group by all),
+ cls as (select notebook, bool_or(accuracy is not null or f1 is not null) c from wm group by all),
+ sc as (select wm.*, seen.s, case when cls.c then coalesce(f1, accuracy) else -coalesce(mse, rmse, mae, -r2) end score
+        from wm join cls using (notebook) left join seen using (notebook, model)),
+ best as (select * from (select *, row_number() over (partition by notebook order by score desc, s) rk from sc
+          where score is not null) where rk = 1),
+ tfa as (select notebook, value tfacc from um where model = 'tensorflow' and metric = 'accuracy'),
+ {hist_ctes.strip().lstrip(',').strip()},
+ ha as (select notebook, coalesce(acc, val_acc) hacc from la full join lb using (notebook)),
+ nbs as (select distinct notebook from cm)
+ select nbs.notebook, coalesce(best.model, 'tensorflow') best_model,
+   round(coalesce(best.accuracy, tfacc, hacc), 6) accuracy, round(best."precision", 6) "precision",
+   round(best.recall, 6) recall, round(best.f1, 6) f1, round(best.mse, 6) mse, round(best.rmse, 6) rmse,
+   round(best.r2, 6) r2, round(best.mae, 6) mae
+ from nbs left join ha using (notebook) left join tfa using (notebook) left join best using (notebook)"""
+
+
+@register("notebook_metrics", _notebook_metrics_sql())
+def q_notebook_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """The metric record of every notebook from its code and outputs (history, TensorFlow, best model)."""
+    cells = fx_cells_metrics(spark, sf)
+    facts = metric_facts(scan_events(cells))
+    out = notebook_metrics(cells.select("notebook", "cell_index", "text"), facts, cells)
+    return out.select("notebook", "best_model", *[r6(F.col(k)).alias(k) for k in
+                                                  ("accuracy", "precision", "recall", "f1", "mse", "rmse", "r2", "mae")])
