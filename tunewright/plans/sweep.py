@@ -307,3 +307,33 @@ def q_submission(spark: SparkSession, sf: str) -> DataFrame:
     feats = ["f1", "f2", "f3", "c1", "c2"]
     model = make_estimator("LogisticRegression", {}).fit(assemble(tr, feats, "target"))
     return submission(model, te, feats, "id")
+
+
+@register("raw_vs_prepared")
+def q_raw_vs_prepared(spark: SparkSession, sf: str) -> DataFrame:
+    """M7: the recorded model fitted and scored on both table versions (raw: train-stat imputation +
+    label codes; prepared: best scaler + encoding choice), split by id hash, metrics side by side."""
+    from ..operators.autoprep import prepare, split
+    from ..operators.encode import LabelEncoder
+    from ..operators.impute import TrainStatImputer
+    from ..operators.metrics import classification_metrics
+    from ..operators.search import assemble, make_estimator
+    d = fx_split(spark, sf)[0].drop("is_test").unionByName(fx_split(spark, sf)[1].drop("is_test"))
+    fit_part, valid = split(d, "id", 0.2, salt="valid")
+    rows = []
+    imp = TrainStatImputer(exclude=("id", "target")).fit(fit_part)
+    raw_tr, raw_va = imp.transform(fit_part), imp.transform(valid)
+    for c in ("c1", "c2", "c3"):
+        le = LabelEncoder().fit([raw_tr, raw_va], c)
+        raw_tr, raw_va = le.transform(raw_tr), le.transform(raw_va)
+    prep_tr, prep_va, _ = prepare(fit_part, valid, id_col="id", target="target")
+    prep_tr, prep_va = prep_tr.na.fill(0.0), prep_va.na.fill(0.0)
+    for name, tr, va in (("raw", raw_tr, raw_va), ("prepared", prep_tr, prep_va)):
+        feats = [c for c in tr.columns if c not in ("id", "target")]
+        tr_c = tr.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in feats], "target")
+        va_c = va.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in feats], "target")
+        model = make_estimator("LogisticRegression", {}).fit(assemble(tr_c, feats, "target"))
+        pred = model.transform(assemble(va_c, feats, "target"))
+        m = classification_metrics(pred, "label", "prediction", positive=1.0).first()
+        rows += [(name, k, float(m[k])) for k in ("accuracy", "precision", "recall", "f1")]
+    return spark.createDataFrame(rows, "dataset string, metric string, value double")
