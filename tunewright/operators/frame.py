@@ -83,6 +83,38 @@ def _scan_fill(df: DataFrame, cols: Sequence[str], order_by: str, partition_by:
     return out.select(*df.columns)
 
 
+def _fill_first_n(df: DataFrame, value, limit: int, order_by: str, partition_by: str | None, cols: Sequence[str],
+                  chunk_width: int) -> DataFrame:
+    """Fill only the first ``limit`` NULLs of each column (per partition) in ``order_by`` order.
+
+    The cut-off is the ``limit``-th smallest order key among NULL rows: first the
+    smallest ``limit`` keys of every chunk (a window over one chunk), then the smallest
+    ``limit`` of those per group, so no window ever holds a whole group.
+    """
+    values = dict(value) if isinstance(value, Mapping) else {c: value for c in cols}
+    targets = [c for c in cols if c in values and c not in (order_by, partition_by)]
+    o = col(order_by).cast("long")
+    p = col(partition_by) if partition_by else F.lit(0)
+    base = df.withColumn("_p", p).withColumn("_o", o).withColumn("_k", F.floor(F.col("_o") / F.lit(chunk_width)))
+    cut_cols = []
+    for j, c in enumerate(targets):
+        nulls = base.filter(col(c).isNull()).select("_p", "_k", "_o")
+        w_chunk = Window.partitionBy("_p", "_k").orderBy("_o")
+        head = nulls.withColumn("_r", F.row_number().over(w_chunk)).filter(F.col("_r") <= limit)
+        w_group = Window.partitionBy("_p").orderBy("_o")  # at most limit rows per chunk of the group
+        cut = (head.select("_p", "_o").withColumn("_r", F.row_number().over(w_group)).filter(F.col("_r") <= limit)
+               .groupBy("_p").agg(F.max("_o").alias(f"_cut{j}")))
+        cut_cols.append(cut)
+    out = base
+    for cut in cut_cols:
+        out = out.join(cut, "_p", "left")
+    new = {}
+    for j, c in enumerate(targets):
+        fill = F.lit(values[c])
+        new[c] = F.when(col(c).isNull() & (F.col("_o") <= F.col(f"_cut{j}")), fill).otherwise(col(c))
+    return replace_columns(out, new).select(*df.columns)
+
+
 def fillna(df: DataFrame, value=None, method: str | None = None, axis: int = 0, limit: int | None = None,
            order_by: str | None = None, partition_by: str | None = None, subset: Sequence[str] | None = None,
            chunk_width: int = 1 << 20, inplace: bool = False) -> DataFrame:
@@ -91,7 +123,9 @@ def fillna(df: DataFrame, value=None, method: str | None = None, axis: int = 0,
         if value is None:
             raise ValueError("must specify a fill value or method")
         if limit is not None:
-            raise NotImplementedError("limit without method needs a row order; use method")
+            if order_by is None:
+                raise ValueError("value fill with a limit needs order_by")
+            return _fill_first_n(df, value, limit, order_by, partition_by, cols, chunk_width)
         if axis in (1, "columns"):
             raise NotImplementedError("value fill along columns equals axis=0 for scalars")
         if isinstance(value, Mapping):

@@ -60,18 +60,22 @@ def knn_neighbors(train: DataFrame, queries: DataFrame, k: int, id_col: str = "i
                           F.struct((a["n"] + F.element_at(cnt_arr, e["c"] + 1)).alias("n"),
                                    F.concat(a["cs"], F.array(e["c"])).alias("cs"))))
     seeds = q.select("_qid", "_qv", "_qd", F.explode(acc["cs"]).alias("cell"))
-    cand0 = seeds.join(cells, "cell").select("_qid", _dist(F.col("_qv"), F.col("_v")).alias("dist"), "_tid")
-    wq = Window.partitionBy("_qid").orderBy("dist", "_tid")  # rows of one query's seed cells
-    tau = (cand0.withColumn("rk", F.row_number().over(wq)).filter(F.col("rk") <= k)
+    cand0 = seeds.join(cells, "cell").select("_qid", "cell", _dist(F.col("_qv"), F.col("_v")).alias("dist"),
+                                             "_tid")
+    # top k per (query, cell) first, then per query over at most k rows per candidate cell
+    wqc = Window.partitionBy("_qid", "cell").orderBy("dist", "_tid")
+    wq = Window.partitionBy("_qid").orderBy("dist", "_tid")
+    per_cell = lambda d: d.withColumn("_rc", F.row_number().over(wqc)).filter(F.col("_rc") <= k)
+    tau = (per_cell(cand0).withColumn("rk", F.row_number().over(wq)).filter(F.col("rk") <= k)
            .groupBy("_qid").agg(F.max("dist").alias("tau")))
     # candidate cells by the triangle inequality
     qt = q.join(tau, "_qid")
     keep = F.filter(F.sequence(F.lit(0), F.lit(P - 1)),
                     lambda c: (F.element_at("_qd", c + 1) - F.element_at(rad_arr, c + 1)) <= F.col("tau"))
     pairs = qt.select("_qid", "_qv", "tau", F.explode(keep).alias("cell")).join(cells, "cell")
-    d = pairs.select("_qid", "_tid", _dist(F.col("_qv"), F.col("_v")).alias("dist"), "tau")
+    d = pairs.select("_qid", "cell", "_tid", _dist(F.col("_qv"), F.col("_v")).alias("dist"), "tau")
     d = d.filter(F.col("dist") <= F.col("tau"))
-    top = d.withColumn("rank", F.row_number().over(wq)).filter(F.col("rank") <= k)
+    top = per_cell(d).withColumn("rank", F.row_number().over(wq)).filter(F.col("rank") <= k)
     return top.select(F.col("_qid").alias("query_id"), "rank", F.col("_tid").alias("neighbor_id"), "dist")
 
 

@@ -231,6 +231,18 @@ register("fill_limit_chunked", _ffill_sql(False, 2))(_ffill_query("ffill", 2, 16
 register("fill_bfill_chunked", _ffill_sql(True, 1))(_ffill_query("bfill", 1, 16))
 
 
+@register("fill_value_limit", f"""with {FX_FRAME_SQL},
+ r as (select *, case when v1 is null then row_number() over (partition by user_id, v1 is null order by event_id) end r1,
+               case when v2 is null then row_number() over (partition by user_id, v2 is null order by event_id) end r2
+       from fxf)
+ select event_id, user_id, case when v1 is null and r1 <= 2 then 0.0 else v1 end v1,
+   case when v2 is null and r2 <= 2 then 'none' else v2 end v2 from r""")
+def q_fill_value_limit(spark: SparkSession, sf: str) -> DataFrame:
+    """fillna(value, limit=2): only the first two NULLs of each column per user are filled."""
+    return fillna(fx_frame(spark, sf), value={"v1": 0.0, "v2": "none"}, limit=2, order_by="event_id",
+                  partition_by="user_id", chunk_width=16)
+
+
 @register("fill_axis1", f"with {FX_SQL} select id, f1, coalesce(f2, f1) f2, coalesce(f3, f2, f1) f3 from fx")
 def q_fill_axis1(spark: SparkSession, sf: str) -> DataFrame:
     return fillna(fx(spark, sf).select("id", *NUM), method="ffill", axis=1, subset=NUM)
