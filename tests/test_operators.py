@@ -275,3 +275,19 @@ def test_spec_override_replaces_or_appends(spark):
     df = spark.createDataFrame([({"a": "1", "b": "2"},), ({},)], "p map<string,string>")
     out = [r.t for r in df.select(params_text(override_param(F.col("p"), "a", "9")).alias("t")).collect()]
     assert out == ["a=9, b=2", "a=9"]
+
+
+@pytest.mark.parametrize("limit,chunk", [(1, 3), (5, 7), (50, 1000)])
+def test_value_fill_limit_matches_pandas_with_hot_partition(spark, limit, chunk):
+    rng = random.Random(13)
+    rows = []
+    for i in range(300):
+        key = 0 if i % 4 else rng.randint(1, 3)
+        rows.append((i, key, None if rng.random() < 0.4 else float(i)))
+    df = spark.createDataFrame(rows, "o long, k long, v double")
+    got = {r.o: r.v for r in fillna(df, value={"v": -1.0}, limit=limit, order_by="o", partition_by="k",
+                                    chunk_width=chunk).collect()}
+    pdf = pd.DataFrame(rows, columns=["o", "k", "v"]).sort_values("o")
+    exp = pdf.groupby("k")["v"].transform(lambda s: s.fillna(-1.0, limit=limit))
+    for o, v in zip(pdf["o"], exp):
+        assert (got[o] is None and (v is None or math.isnan(v))) or got[o] == v
