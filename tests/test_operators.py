@@ -291,3 +291,14 @@ def test_value_fill_limit_matches_pandas_with_hot_partition(spark, limit, chunk)
     exp = pdf.groupby("k")["v"].transform(lambda s: s.fillna(-1.0, limit=limit))
     for o, v in zip(pdf["o"], exp):
         assert (got[o] is None and (v is None or math.isnan(v))) or got[o] == v
+
+
+def test_stream_rerun_appends_nothing_twice(spark, tmp_path):
+    from tunewright.streaming.jobs import log_lines_stream, stream_trials
+    from tunewright.plans.streams import EVENTS_SCHEMA
+    sf = "/root/testdata/sf0.001"
+    out, ck = str(tmp_path / "t"), str(tmp_path / "ck")
+    stream_trials(spark, log_lines_stream(spark, sf, EVENTS_SCHEMA), out, ck)
+    n1 = spark.read.parquet(out).count()
+    stream_trials(spark, log_lines_stream(spark, sf, EVENTS_SCHEMA), out, ck)  # same checkpoint: no new files
+    assert n1 > 0 and spark.read.parquet(out).count() == n1
