@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from ..session import reliable_checkpoint
 
 from ..sources.tables import col
 from .base import Model, replace_columns
@@ -37,7 +38,7 @@ def dense_codes(values: DataFrame, value_col: str, order_cols: Sequence[str] | N
               .sortWithinPartitions(*[col(c) for c in order_cols])
               .select("*", F.spark_partition_id().alias("_pid"),
                       F.monotonically_increasing_id().alias("_mid")))
-    ranked = ranked.checkpoint(eager=True)
+    ranked = reliable_checkpoint(ranked)
     sizes = sorted((r["_pid"], r["n"]) for r in ranked.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect())
     offsets, total = [], 0
     for pid, n in sizes:

@@ -21,6 +21,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from ..session import reliable_checkpoint
 
 
 def _dist(v: Column, p) -> Column:
@@ -44,7 +45,7 @@ def knn_neighbors(train: DataFrame, queries: DataFrame, k: int, id_col: str = "i
 
     cells = tr.select("_tid", "_v", pdist(F.col("_v")).alias("_d")).select(
         "_tid", "_v", nearest(F.col("_d")).alias("cell"), F.array_min("_d").alias("_dc"))
-    cells = cells.checkpoint(eager=True)  # fixed cell ids, reused by both joins
+    cells = reliable_checkpoint(cells)  # fixed cell ids, reused by both joins
     stats = {r["cell"]: (r["cnt"], r["radius"]) for r in
              cells.groupBy("cell").agg(F.count(F.lit(1)).alias("cnt"), F.max("_dc").alias("radius")).collect()}
     cnt_arr = F.array(*[F.lit(stats.get(c, (0, 0.0))[0]) for c in range(P)])

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from ..session import reliable_checkpoint
 
 from ..functions.codescan import EVENT_SCHEMA, MAGIC_COMMANDS, scan_cells
 from ..sources.cells import fx_cells, fx_cells_sql
@@ -85,7 +86,7 @@ def scan_events(cells: DataFrame) -> DataFrame:
     # Python-heavy input into very few tasks.
     n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by_notebook = cells.select("notebook", "cell_index", "source").repartition(n, "notebook")
-    return by_notebook.mapInPandas(scan_cells, EVENT_SCHEMA).checkpoint(eager=True)
+    return reliable_checkpoint(by_notebook.mapInPandas(scan_cells, EVENT_SCHEMA))
 
 
 def is_test_line(line: Column) -> Column:

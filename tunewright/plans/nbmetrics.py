@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from ..session import reliable_checkpoint
 
 from ..functions.text import OOB_SCORE, R2_PREFIXES, R2_TEST, R2_TRAIN, RMSE, VALIDATION_ACCURACY
 from ..sources.tables import read_table
@@ -321,7 +322,7 @@ def notebook_metrics(outputs: DataFrame, facts: DataFrame, cells: DataFrame) ->
     """Notebook result: history accuracy, TensorFlow accuracy, then the best model by the output
     rule (K2: f1 else accuracy highest; regression: lowest of mse, rmse, mae, -r2); ties keep the
     model that appeared first."""
-    vals = output_values(outputs, facts).checkpoint(eager=True)  # read twice below
+    vals = reliable_checkpoint(output_values(outputs, facts))  # read twice below
     mm = model_metrics(outputs, facts, vals)
     wide = mm.groupBy("notebook", "model").pivot("metric", list(METRIC_KEYS)).agg(F.first("value"))
     # first appearance: code facts of a cell come before the values its output creates

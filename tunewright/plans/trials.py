@@ -56,9 +56,7 @@ def best_model(canon: DataFrame, rule: str = "logs", run: str = "run_id") -> Dat
     glob = (canon.filter(F.col("is_global") & F.col("metric").isNotNull())
             .groupBy(run).pivot("metric", list(METRICS))
             .agg(F.max_by("value", _ord("line_no", "pos", "sub"))))
-    runs = canon.groupBy(run).agg(F.max(F.col("tf_hit").cast("int")).alias("_tf"),
-                                  F.first("is_classification", ignorenulls=True).alias("_x")
-                                  if "is_classification" in canon.columns else F.lit(None).alias("_x"))
+    runs = canon.groupBy(run).agg(F.max(F.col("tf_hit").cast("int")).alias("_tf"))
     j = runs.join(glob, run, "left").join(best, run, "left").join(task, run, "left")
     vals = {m: F.coalesce(F.col(f"b.{m}"), F.col(m)) for m in METRICS}
     vals["rmse"] = F.coalesce(vals["rmse"], F.sqrt(vals["mse"]))

@@ -53,3 +53,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}"
+
+
+def reliable_checkpoint(df):
+    """Eager, reliable checkpoint into the shared checkpoint folder (cuts lineage; survives
+    executor loss).  Works with any session: the folder is taken from the session first."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
