@@ -86,6 +86,11 @@ def scan_events(cells: DataFrame) -> DataFrame:
     # Python-heavy input into very few tasks.
     n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by_notebook = cells.select("notebook", "cell_index", "source").repartition(n, "notebook")
+    # Ship the scan code with the task: executors need not have this package installed.
+    from pyspark import cloudpickle
+
+    from ..functions import codescan
+    cloudpickle.register_pickle_by_value(codescan)
     return reliable_checkpoint(by_notebook.mapInPandas(scan_cells, EVENT_SCHEMA))
 
 
