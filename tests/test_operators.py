@@ -302,3 +302,23 @@ def test_stream_rerun_appends_nothing_twice(spark, tmp_path):
     n1 = spark.read.parquet(out).count()
     stream_trials(spark, log_lines_stream(spark, sf, EVENTS_SCHEMA), out, ck)  # same checkpoint: no new files
     assert n1 > 0 and spark.read.parquet(out).count() == n1
+
+
+def test_cell_scan_runs_without_the_package_installed(tmp_path):
+    """The scan function travels by value: a process that cannot import the package still runs it."""
+    import subprocess
+    import sys as _sys
+
+    from pyspark import cloudpickle
+
+    from tunewright.functions import codescan
+    cloudpickle.register_pickle_by_value(codescan)
+    blob = tmp_path / "scan.pkl"
+    blob.write_bytes(cloudpickle.dumps(codescan.scan_cells))
+    code = ("import pickle, sys, pandas as pd; f = pickle.load(open(sys.argv[1], 'rb')); "
+            "b = pd.DataFrame({'notebook': ['n'], 'cell_index': [0], 'source': ['df.drop(columns=[\"a\"])']}); "
+            "print(sum(len(x) for x in f(iter([b]))))")
+    out = subprocess.run([_sys.executable, "-c", code, str(blob)], cwd=str(tmp_path), capture_output=True, text=True,
+                         env={"PATH": "/usr/bin:/bin", "PYTHONPATH": ""}, timeout=120)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout.strip()) >= 1
