@@ -69,6 +69,7 @@ SCORING_KEYWORDS = (
     "mean_absolute_error", "r2_score", "precision_score", "recall_score", "cross_val_score",
     "balanced_accuracy_score", "classification_report",
 )
+# Markers of test-data lines, and names of binary operators in lineage details.
 TEST_MARKERS = ("test_data", "X_test")
 OP_NAMES = (("Add", "Addition"), ("Sub", "Subtraction"), ("Mult", "Multiplication"), ("Div", "Division"))
 
@@ -485,6 +486,7 @@ def q_modifiable_params(spark: SparkSession, sf: str) -> DataFrame:
 from ..operators.pipeline import override_param, params_text  # noqa: E402
 from ..sources.cells import fx_cells_io, fx_cells_io_sql  # noqa: E402
 
+# Patterns of table loading, the four-way split and a model assignment.
 READ_CSV = r"(?m)^\s*([A-Za-z_][A-Za-z0-9_]*)\s*=\s*[A-Za-z_][A-Za-z0-9_.]*\.read_csv\(\s*['\"]([^'\"]*)['\"]"
 SPLIT4 = r"([A-Za-z0-9_]+),\s*([A-Za-z0-9_]+),\s*([A-Za-z0-9_]+),\s*([A-Za-z0-9_]+)\s*=\s*train_test_split"
 MODEL_ASSIGN = r"([A-Za-z0-9_]+)\s*=\s*[A-Za-z]+\("
