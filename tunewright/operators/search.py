@@ -182,7 +182,7 @@ def make_estimator(model_type: str, params: dict, features: str = "features", la
 
 @dataclass
 class SearchResult:
-    trials: DataFrame      # (setting, fold, score)
+    trials: DataFrame      # (setting, mean_score, std_score)
     summary: DataFrame     # (setting, mean_score, std_score)
     best_setting: str
     original: dict
@@ -204,17 +204,44 @@ def assemble(df: DataFrame, features: Sequence[str], label: str, out: str = "fea
     return va.transform(df.select("*", col(label).cast("double").alias("label")))
 
 
+def _evaluator(objective: str):
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+    by_label = {"precision": "precisionByLabel", "recall": "recallByLabel", "f1": "fMeasureByLabel"}
+    if objective == "accuracy":
+        return MulticlassClassificationEvaluator(metricName="accuracy"), 1.0
+    if objective in by_label:  # binary scores of the positive class, like zero_division=0 scorers
+        return MulticlassClassificationEvaluator(metricName=by_label[objective], metricLabel=1.0), 1.0
+    if objective == "neg_mean_squared_error":
+        return RegressionEvaluator(metricName="mse"), -1.0
+    if objective == "neg_mean_absolute_error":
+        return RegressionEvaluator(metricName="mae"), -1.0
+    return RegressionEvaluator(metricName="r2"), 1.0
+
+
 def random_search(train: DataFrame, valid: DataFrame, features: Sequence[str], label: str, model_type: str,
                   original_kwargs: dict, settings: Sequence[tuple[str, dict]], objective: str = "accuracy",
-                  folds: int = 5, id_col: str = "id") -> SearchResult:
-    """M1 + M4 + M5: fit the original, cross-validate every setting on hash folds, refit the best."""
-    from .metrics import classification_metrics, regression_metrics
+                  folds: int = 5, id_col: str = "id", parallelism: int = 4) -> SearchResult:
+    """M1 + M4 + M5: fit the original, cross-validate every setting, refit the best, score both.
+
+    Folds are stratified by label for classification (hash order inside each class, no
+    single-partition window) and by id hash for regression.  Spark ML's CrossValidator
+    fits ``parallelism`` settings at a time; mean and population std of the fold scores
+    come from ``avgMetrics`` / ``stdMetrics``.
+    """
+    from pyspark.ml.tuning import CrossValidator
+
     from .autoprep import hash_bucket
+    from .metrics import classification_metrics, regression_metrics, stratified_folds
+    spark = train.sparkSession
     n = train.count()
-    tr = assemble(train, features, label).withColumn("fold", (hash_bucket(col(id_col), "fold") % folds).cast("int"))
-    tr = tr.select("features", "label", "fold").cache()
-    va = assemble(valid, features, label).select("features", "label").cache()
     is_cls = objective in ("accuracy", "precision", "recall", "f1")
+    base = assemble(train, features, label)
+    if is_cls:
+        base = stratified_folds(base, "label", id_col, folds)
+    else:
+        base = base.withColumn("fold", (hash_bucket(col(id_col), "fold") % folds).cast("int"))
+    tr = base.select("features", "label", "fold").cache()
+    va = assemble(valid, features, label).select("features", "label").cache()
 
     def metrics(pred):
         if is_cls:
@@ -224,25 +251,24 @@ def random_search(train: DataFrame, valid: DataFrame, features: Sequence[str], l
         return {k: float(r[k]) for k in ("mse", "mae", "r2")}
 
     params, _ = translate(model_type, original_kwargs, n)
-    orig_model = make_estimator(model_type, params).fit(tr)
-    original = metrics(orig_model.transform(va))
-    rows = []
-    for setting, p in settings:
+    original = metrics(make_estimator(model_type, params).fit(tr).transform(va))
+    est = make_estimator(model_type, {})
+    maps = []
+    for _, p in settings:
         sp, _ = translate(model_type, p, n)
-        for k in range(folds):
-            m = make_estimator(model_type, sp).fit(tr.filter(F.col("fold") != k))
-            rows.append((setting, k, _score(m.transform(tr.filter(F.col("fold") == k)), objective)))
-    spark = train.sparkSession
-    trials = spark.createDataFrame(rows, "setting string, fold int, score double")
-    summary = trials.groupBy("setting").agg(F.avg("score").alias("mean_score"),
-                                            F.stddev_pop("score").alias("std_score"))
-    best = summary.orderBy(F.col("mean_score").desc(), "setting").first()["setting"]
-    best_params = dict(settings)[best]
-    sp, _ = translate(model_type, best_params, n)
-    optimized = metrics(make_estimator(model_type, sp).fit(tr).transform(va))
+        maps.append({est.getParam(k): v for k, v in sp.items() if est.hasParam(k)})
+    evaluator, sign = _evaluator(objective)
+    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=evaluator, foldCol="fold", numFolds=folds,
+                        parallelism=parallelism, seed=42)
+    cv_model = cv.fit(tr)
+    rows = [(setting, sign * float(m), float(sd))
+            for (setting, _), m, sd in zip(settings, cv_model.avgMetrics, cv_model.stdMetrics)]
+    summary = spark.createDataFrame(rows, "setting string, mean_score double, std_score double")
+    best_i = max(range(len(rows)), key=lambda i: (rows[i][1], -i))  # first best, like the search itself
+    optimized = metrics(cv_model.bestModel.transform(va))
     tr.unpersist()
     va.unpersist()
-    return SearchResult(trials, summary, best, original, optimized)
+    return SearchResult(summary, summary, rows[best_i][0], original, optimized)
 
 
 def submission(model, test: DataFrame, features: Sequence[str], id_col: str) -> DataFrame:
