@@ -8,7 +8,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as E  # noqa: E402
-from tools.oracle_check import TABLES, rows_of  # noqa: E402
+from tools.oracle_check import TABLES, rows_of, type_mismatches  # noqa: E402
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SLOW = {"search_lr"}
@@ -36,6 +36,7 @@ def test_query_matches_oracle(spark, duck, name):
     res = duck.execute(sql)
     dcols = [d[0] for d in res.description]
     assert sorted(cols) == sorted(dcols)
+    assert type_mismatches(df.dtypes, res.description) == []
     assert rows_of(cols, rows) == rows_of(dcols, res.fetchall())
 
 

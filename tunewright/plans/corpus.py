@@ -188,7 +188,7 @@ def usage_table(events: DataFrame, defaults: DataFrame | None = None) -> DataFra
 
 def _cell_pos(df: DataFrame) -> DataFrame:
     w = Window.partitionBy("notebook", "cell_index").orderBy("part", "seq", "sub")
-    return df.withColumn("pos", F.row_number().over(w))
+    return df.withColumn("pos", F.row_number().over(w).cast("bigint"))
 
 
 def literal_asof(events: DataFrame) -> DataFrame:
@@ -353,7 +353,7 @@ def q_code_calls(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("notebook", "cell_index").orderBy("bfs")
     custom = F.array_join(F.transform(F.map_entries("args"), lambda e: F.concat(e["key"], F.lit("="), e["value"])),
                           ", ")
-    return ev.select("notebook", "cell_index", F.row_number().over(w).alias("call_pos"), "func",
+    return ev.select("notebook", "cell_index", F.row_number().over(w).cast("bigint").alias("call_pos"), "func",
                      custom.alias("custom_params"))
 
 

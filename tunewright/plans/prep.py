@@ -172,7 +172,7 @@ register("impute_mode", f"""with {FX_SQL},
     _impute_query("most_frequent", ["f2", "c2"]))
 register("impute_indicator", f"with {FX_SQL}, s as (select avg(f1) m1, avg(f2) m2 from train) "
          "select id, round(coalesce(f1, m1), 6) f1, round(coalesce(f2, m2), 6) f2, "
-         "case when f2 is null then 1.0 else 0.0 end missingindicator_f2 from fx, s")(
+         "case when f2 is null then 1.0::DOUBLE else 0.0::DOUBLE end missingindicator_f2 from fx, s")(
     _impute_query("mean", ["f1", "f2"], add_indicator=True))
 
 
@@ -303,7 +303,7 @@ def _onehot_sql(drop_first: bool) -> str:
           union all select distinct 'c2', c2 from train) u),
  k as (select * from cats {keep})
  select id, col || '_' || coalesce(v, 'None') feature,
-   case when (case col when 'c1' then fx.c1 else fx.c2 end) is not distinct from v then 1.0 else 0.0 end value
+   case when (case col when 'c1' then fx.c1 else fx.c2 end) is not distinct from v then 1.0::DOUBLE else 0.0::DOUBLE end value
  from fx cross join k"""
 
 
@@ -324,8 +324,8 @@ register("onehot_dropfirst", _onehot_sql(True))(_onehot_query(drop="first"))
  cnt as (select c1 v, count(*) n from train group by c1),
  top as (select v from cnt order by n desc, v limit 2),
  feats as (select 'c1_' || v feature, v from top union all select 'c1_infrequent_sklearn', null)
- select id, feature, case when feats.v is null then (case when c1 not in (select v from top) then 1.0 else 0.0 end)
-   when c1 = feats.v then 1.0 else 0.0 end value
+ select id, feature, case when feats.v is null then (case when c1 not in (select v from top) then 1.0::DOUBLE else 0.0::DOUBLE end)
+   when c1 = feats.v then 1.0::DOUBLE else 0.0::DOUBLE end value
  from fx cross join feats""")
 def q_onehot_maxcat(spark: SparkSession, sf: str) -> DataFrame:
     d = fx(spark, sf)
@@ -338,8 +338,8 @@ def q_onehot_maxcat(spark: SparkSession, sf: str) -> DataFrame:
  cnt as (select c1 v, count(*) n from train group by c1),
  freq as (select v from cnt where n >= 2405),
  feats as (select 'c1_' || v feature, v from freq union all select 'c1_infrequent_sklearn', null)
- select id, feature, case when feats.v is null then (case when c1 not in (select v from freq) then 1.0 else 0.0 end)
-   when c1 = feats.v then 1.0 else 0.0 end value
+ select id, feature, case when feats.v is null then (case when c1 not in (select v from freq) then 1.0::DOUBLE else 0.0::DOUBLE end)
+   when c1 = feats.v then 1.0::DOUBLE else 0.0::DOUBLE end value
  from fx cross join feats""")
 def q_onehot_minfreq(spark: SparkSession, sf: str) -> DataFrame:
     d = fx(spark, sf)
@@ -482,7 +482,7 @@ def _poly_sql(interaction_only: bool, include_bias: bool) -> str:
     pf = PolynomialFeatures(degree=2, interaction_only=interaction_only, include_bias=include_bias)
     cols = []
     for t in pf.terms(POLY_IN):
-        e = " * ".join(POLY_IN[i] for i in t) if t else "1.0"
+        e = " * ".join(POLY_IN[i] for i in t) if t else "1.0::DOUBLE"
         cols.append(f'round({e}, 6) "{pf.name(POLY_IN, t)}"')
     return f"with {FX_NUM_SQL} select l_orderkey, l_linenumber, {', '.join(cols)} from fxn"
 
@@ -614,7 +614,7 @@ def _prepare_sql() -> str:
         v = f"coalesce({c}, 'missing')"
         gate = f"(select encoding from enc where column_name = '{c}')"
         cat_rows.append(f"""select side, id, '{c}_' || lv feature,
-            case when {v} = lv then 1.0 else 0.0 end value
+            case when {v} = lv then 1.0::DOUBLE else 0.0::DOUBLE end value
           from both_ cross join (select distinct {v} lv from both_) l where {gate} = 'onehot'""")
         cat_rows.append(f"""select side, id, '{c}' feature, cast(code as double) value from both_
           join (select v, dense_rank() over (order by k) - 1 code from
