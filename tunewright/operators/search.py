@@ -240,8 +240,11 @@ def random_search(train: DataFrame, valid: DataFrame, features: Sequence[str], l
         base = stratified_folds(base, "label", id_col, folds)
     else:
         base = base.withColumn("fold", (hash_bucket(col(id_col), "fold") % folds).cast("int"))
-    tr = base.select("features", "label", "fold").cache()
-    va = assemble(valid, features, label).select("features", "label").cache()
+    # Iterative fits run one job per iteration over every partition of the cached data:
+    # size partitions by rows (about 500k each), not by the session's shuffle setting.
+    parts = max(1, -(-n // 500_000))
+    tr = base.select("features", "label", "fold").repartition(parts).cache()
+    va = assemble(valid, features, label).select("features", "label").repartition(parts).cache()
 
     def metrics(pred):
         if is_cls:
