@@ -182,35 +182,67 @@ def _trial_expr(method: str, params: dict, c: str, S: dict, cols: list[str], dia
     raise KeyError(method)
 
 
+def _affine(method: str, params: dict, c: str, st: dict) -> tuple[float, float, float] | None:
+    """(center, scale, offset) when the trial maps x to (x - center) / scale + offset, else None."""
+    def z(v):
+        return 1.0 if abs(v) < EPS10 else v
+    if method == "StandardScaler":
+        center = st[f"avg_{c}"] if params.get("with_mean", True) else 0.0
+        scale = z(st[f"std_{c}"]) if params.get("with_std", True) else 1.0
+        return center, scale, 0.0
+    if method == "MinMaxScaler" and not params.get("clip", False):
+        lo, hi = (float(v) for v in params.get("feature_range", [0.0, 1.0]))
+        return st[f"min_{c}"], z(st[f"max_{c}"] - st[f"min_{c}"]) / (hi - lo), lo
+    if method == "RobustScaler":
+        adj = 1.0
+        if params.get("unit_variance", False):
+            nd = statistics.NormalDist()
+            adj = nd.inv_cdf(0.75) - nd.inv_cdf(0.25)
+        center = st[f"q50_{c}"] if params.get("with_centering", True) else 0.0
+        scale = z(st[f"q75_{c}"] - st[f"q25_{c}"]) / adj if params.get("with_scaling", True) else 1.0
+        return center, scale, 0.0
+    return None  # clipping and row-wise normalisation need a pass over the data
+
+
 def sweep_variance(train: DataFrame, cols: list[str], trials=None, stem: str = "fx") -> DataFrame:
     """M8 with the A1 objective: total variance of the mean-filled, transformed matrix per trial.
 
-    Fits share one aggregate (+ one exact-quantile search); all trials are evaluated by a
-    single aggregate over one scan of the filled table.
+    Fits share one aggregate (+ one exact-quantile search).  A trial that is an affine map
+    of each column gets its mean and variance in closed form from the column's own
+    (mean, variance); only clipped and row-normalised trials add aggregate columns, all of
+    them in one aggregate over one scan of the filled table.
     """
     trials = trials or scaler_trials()
     means = train.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols]).first()
     filled = train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(means[c]).cast("double")).alias(c)
                             for c in cols])
     stats_row = filled.agg(*[e for c in cols for e in (
-        F.avg(c).alias(f"avg_{c}"), F.stddev_pop(c).alias(f"std_{c}"), F.min(c).alias(f"min_{c}"),
-        F.max(c).alias(f"max_{c}"))]).first()
+        F.avg(c).alias(f"avg_{c}"), F.stddev_pop(c).alias(f"std_{c}"), F.var_pop(c).alias(f"var_{c}"),
+        F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"))]).first()
     q = exact_quantiles(filled, cols, [0.25, 0.5, 0.75])
-    S = {k: F.lit(stats_row[k]).cast("double") for k in stats_row.asDict()}
+    st = dict(stats_row.asDict())
     for c in cols:
         for p, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75")):
-            S[f"{name}_{c}"] = F.lit(q[c][p]).cast("double")
-    aggs = []
+            st[f"{name}_{c}"] = q[c][p]
+    S = {k: F.lit(v).cast("double") for k, v in st.items()}
+    aggs, moments = [], {}
     for t, (m, p, v, params) in enumerate(trials):
         for c in cols:
-            y = _trial_expr(m, params, c, S, cols, "spark")
-            aggs += [F.avg(y).alias(f"m_{t}_{c}"), F.var_pop(y).alias(f"v_{t}_{c}")]
-    one = filled.agg(*aggs)
+            aff = None if st[f"avg_{c}"] is None else _affine(m, params, c, st)
+            if aff is not None:
+                center, scale, offset = aff
+                moments[(t, c)] = (F.lit((st[f"avg_{c}"] - center) / scale + offset),
+                                   F.lit(st[f"var_{c}"] / (scale * scale)))
+            else:
+                y = _trial_expr(m, params, c, S, cols, "spark")
+                aggs += [F.avg(y).alias(f"m_{t}_{c}"), F.var_pop(y).alias(f"v_{t}_{c}")]
+                moments[(t, c)] = (F.col(f"m_{t}_{c}"), F.col(f"v_{t}_{c}"))
+    one = filled.agg(*aggs) if aggs else train.sparkSession.range(1)
     k = float(len(cols))
     rows = []
     for t, (m, p, v, params) in enumerate(trials):
-        ev = sum((F.col(f"v_{t}_{c}") + F.col(f"m_{t}_{c}") ** 2 for c in cols), F.lit(0.0)) / k
-        em = sum((F.col(f"m_{t}_{c}") for c in cols), F.lit(0.0)) / k
+        ev = sum((moments[(t, c)][1] + moments[(t, c)][0] ** 2 for c in cols), F.lit(0.0)) / k
+        em = sum((moments[(t, c)][0] for c in cols), F.lit(0.0)) / k
         tid = trial_id(F.lit(stem), F.lit(m), F.lit(p), F.lit(v))
         rows.append(F.struct(F.lit(t).alias("trial"), tid.alias("trial_id"), F.lit(m).alias("method"),
                              F.lit(p).alias("param"), F.lit(v).alias("value"), (ev - em * em).alias("variance")))
