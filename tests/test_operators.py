@@ -322,3 +322,21 @@ def test_cell_scan_runs_without_the_package_installed(tmp_path):
                          env={"PATH": "/usr/bin:/bin", "PYTHONPATH": ""}, timeout=120)
     assert out.returncode == 0, out.stderr
     assert int(out.stdout.strip()) >= 1
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.integers(-5, 5).map(float), st.floats(-1e3, 1e3, allow_nan=False)),
+                min_size=1, max_size=60),
+       st.sampled_from([0.0, 0.1, 0.25, 0.5, 0.75, 1.0]))
+def test_exact_quantiles_property(spark, vals, p):
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = exact_quantiles(df, ["x"], [p], bins=4, finish_rows=5)["x"][p]
+    arr = [v for v in vals if v is not None]
+    if not arr:
+        assert got is None
+    else:
+        assert got == pytest.approx(float(np.percentile(arr, p * 100)), rel=1e-9, abs=1e-9)
