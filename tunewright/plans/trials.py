@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.logs import METRICS, canonical_entries, parse_metric_log
+from ..session import reliable_checkpoint
 from .fixtures import FX_TRIALS_SQL, fx_log, fx_log_rich, fx_log_rich_sql, fx_log_sql, fx_trials
 from .registry import r6, register
 
@@ -34,9 +35,24 @@ def metrics_wide(last: DataFrame, run: str = "run_id") -> DataFrame:
 
 
 def best_model(canon: DataFrame, rule: str = "logs", run: str = "run_id") -> DataFrame:
-    """K1 (rule='logs') / K2 (rule='outputs'): best model per run and the run's metric record."""
-    wide = metrics_wide(last_values(canon, run), run)
-    first_seen = canon.groupBy(run, "model").agg(F.min(_ord("line_no", "pos", "sub")).alias("first_seen"))
+    """K1 (rule='logs') / K2 (rule='outputs'): best model per run and the run's metric record.
+
+    Every input the rule needs (last value per model and metric, first appearance of a
+    model, last run-level value, the TensorFlow flag) comes out of one aggregate over the
+    log entries, so the logs are read and shuffled once; the rest works on that result.
+    """
+    order = _ord("line_no", "pos", "sub")
+    glob_ord = F.when(F.col("is_global") & F.col("metric").isNotNull(), order)
+    g = canon.groupBy(run, "model", "metric").agg(
+        F.max_by("value", order).alias("last"), F.min(order).alias("first"),
+        F.max_by("value", glob_ord).alias("glast"), F.max(glob_ord).alias("gord"),
+        F.max(F.col("tf_hit").cast("int")).alias("tf"))
+    # One row per (run, model, metric): small next to the logs.  Checkpointing it keeps the
+    # branches below from each re-reading the logs (they prune different columns of g).
+    g = reliable_checkpoint(g)
+    wide = (g.filter(F.col("metric").isNotNull()).groupBy(run, "model")
+            .pivot("metric", list(METRICS)).agg(F.first("last")))
+    first_seen = g.groupBy(run, "model").agg(F.min("first").alias("first_seen"))
     w = wide.join(first_seen, [run, "model"])
     is_cls = F.max((F.col("accuracy").isNotNull() | F.col("f1").isNotNull()).cast("int"))
     task = w.groupBy(run).agg((is_cls == 1).alias("is_classification"))
@@ -53,10 +69,9 @@ def best_model(canon: DataFrame, rule: str = "logs", run: str = "run_id") -> Dat
     key = F.struct(F.col("score"), F.struct(-F.col("first_seen.line_no"), -F.col("first_seen.pos"),
                                             -F.col("first_seen.sub")))
     best = scored.groupBy(run).agg(F.max_by(F.struct("model", *METRICS), key).alias("b"))
-    glob = (canon.filter(F.col("is_global") & F.col("metric").isNotNull())
-            .groupBy(run).pivot("metric", list(METRICS))
-            .agg(F.max_by("value", _ord("line_no", "pos", "sub"))))
-    runs = canon.groupBy(run).agg(F.max(F.col("tf_hit").cast("int")).alias("_tf"))
+    glob = (g.filter(F.col("gord").isNotNull()).groupBy(run).pivot("metric", list(METRICS))
+            .agg(F.max_by("glast", "gord")))
+    runs = g.groupBy(run).agg(F.max("tf").alias("_tf"))
     j = runs.join(glob, run, "left").join(best, run, "left").join(task, run, "left")
     vals = {m: F.coalesce(F.col(f"b.{m}"), F.col(m)) for m in METRICS}
     vals["rmse"] = F.coalesce(vals["rmse"], F.sqrt(vals["mse"]))
