@@ -52,7 +52,7 @@ def knn_neighbors(train: DataFrame, queries: DataFrame, k: int, id_col: str = "i
     rad_arr = F.array(*[F.lit(float(stats.get(c, (0, 0.0))[1])) for c in range(P)])
 
     q = queries.select(F.col(id_col).alias("_qid"), F.col(vec_col).alias("_qv"))
-    q = q.select("_qid", "_qv", pdist(F.col("_qv")).alias("_qd"))
+    q = reliable_checkpoint(q.select("_qid", "_qv", pdist(F.col("_qv")).alias("_qd")))  # read by both passes
     # seed cells: nearest cells first until they hold k rows
     order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(P - 1)),
                                      lambda c: F.struct(F.element_at("_qd", c + 1).alias("d"), c.alias("c"))))
