@@ -340,3 +340,26 @@ def test_exact_quantiles_property(spark, vals, p):
         assert got is None
     else:
         assert got == pytest.approx(float(np.percentile(arr, p * 100)), rel=1e-9, abs=1e-9)
+
+
+def test_scaler_variances_closed_form_matches_numpy(spark):
+    from tunewright.operators.autoprep import scaler_variances
+    rows = [(1.0, 5.0, None), (2.0, 5.0, 4.0), (3.0, 5.0, 10.0), (None, 5.0, 1.0)]
+    df = spark.createDataFrame(rows, "a double, k double, b double")
+    got = {r.scaler: (r.variance, r.chosen) for r in scaler_variances(df, ["a", "k", "b"]).collect()}
+    X = pd.DataFrame(rows, columns=["a", "k", "b"]).astype(float)
+    X = X.fillna(X.mean())
+
+    def z(v):
+        return 1.0 if abs(v) < 1e-14 else v
+    exp = {
+        "standard": ((X - X.mean()) / X.std(ddof=0).map(z)).to_numpy(),
+        "minmax": ((X - X.min()) / (X.max() - X.min()).map(z)).to_numpy(),
+        "robust": ((X - X.median()) / (X.quantile(0.75) - X.quantile(0.25)).map(z)).to_numpy(),
+    }
+    for s, m in exp.items():
+        assert got[s][0] == pytest.approx(float(np.var(m)), rel=1e-9)
+    best = max(exp, key=lambda s: (np.var(exp[s]), -list(exp).index(s)))
+    assert got[best][1] and sum(c for _, c in got.values()) == 1
+    empty = spark.createDataFrame([(None, 1.0)], "e double, x double")
+    assert all(not r.chosen and r.variance is None for r in scaler_variances(empty, ["e", "x"]).collect())

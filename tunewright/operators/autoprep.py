@@ -1,16 +1,16 @@
 """Automatic preparation (A1-A4, A7): scaler choice, encoding choice, hash split.
 
 ``best_scaler`` ranks standard / minmax / robust by the population variance of
-all scaled cells (NULLs filled with the column mean first).  That variance over
-the whole matrix comes in closed form from per-column means and variances, so
-the whole comparison is one fused aggregate after the fits.
+all scaled cells (NULLs filled with the column mean first).  Every scaler is an
+affine map per column, so that variance comes in closed form from one aggregate
+(mean, variance, min, max, non-null count) and the robust quantiles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import categorical_columns, col, find_target, numeric_columns
@@ -34,35 +34,50 @@ def split(df: DataFrame, id_col: str, frac: float = 0.2, salt: str = "") -> tupl
 
 
 def scaler_variances(train: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
-    """(scaler, variance, chosen): total variance of the mean-filled, scaled matrix per scaler."""
+    """(ord, scaler, variance, chosen): total variance of the mean-filled, scaled matrix per scaler.
+
+    Filling with the mean keeps the mean, min and max of a column and scales its
+    population variance by non-null/rows; each scaler is an affine map per column, so
+    the scaled moments follow from one aggregate plus the robust quantiles of the
+    filled column (three passes in all).  Total variance over all cells =
+    mean(var + mean^2) - mean(mean)^2 across columns.
+    """
+    from ..functions.stats import exact_quantiles
+    from .base import safe_scale
     cols = list(cols)
-    means = train.agg(*[F.avg(col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    filled = train.select(*[F.coalesce(col(c).cast("double"), F.lit(means[f"m{i}"]).cast("double")).alias(c)
-                            for i, c in enumerate(cols)])
-    models = {
-        "standard": StandardScaler().fit(filled, cols),
-        "minmax": MinMaxScaler().fit(filled, cols),
-        "robust": RobustScaler(approx=approx).fit(filled, cols),
-    }
-    aggs = []
-    for s in SCALER_ORDER:
-        m = models[s]
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for i, c in enumerate(cols):
+        x = col(c).cast("double")
+        aggs += [F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}"), F.count(x).alias(f"c{i}"),
+                 F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}")]
+    row = train.agg(*aggs).first()
+    n = row["_n"]
+    empty = any(row[f"c{i}"] == 0 for i in range(len(cols))) or not cols
+    variances: dict[str, float | None] = {s: None for s in SCALER_ORDER}
+    if not empty:
+        filled = train.select(*[F.coalesce(col(c).cast("double"), F.lit(row[f"m{i}"])).alias(c)
+                                for i, c in enumerate(cols)])
+        q = exact_quantiles(filled, cols, [0.25, 0.5, 0.75], approx=approx)
+        params = {s: [] for s in SCALER_ORDER}
+        moments = []
         for i, c in enumerate(cols):
-            y = m.expr(c)
-            aggs += [F.avg(y).alias(f"{s}_m{i}"), F.var_pop(y).alias(f"{s}_v{i}")]
-    per_col = filled.agg(*aggs)
-    p = float(len(cols))
-    rows = []
-    for k, s in enumerate(SCALER_ORDER):
-        ev = sum((F.col(f"{s}_v{i}") + F.col(f"{s}_m{i}") * F.col(f"{s}_m{i}") for i in range(len(cols))),
-                 F.lit(0.0)) / F.lit(p)
-        em = sum((F.col(f"{s}_m{i}") for i in range(len(cols))), F.lit(0.0)) / F.lit(p)
-        rows.append(F.struct(F.lit(k).alias("ord"), F.lit(s).alias("scaler"), (ev - em * em).alias("variance")))
-    long = per_col.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-    w = Window.orderBy(F.col("variance").desc_nulls_last(), "ord")  # three rows
-    return (long.withColumn("_rk", F.row_number().over(w))
-            .withColumn("chosen", (F.col("_rk") == 1) & F.col("variance").isNotNull())
-            .drop("_rk"))
+            mean, var_f = row[f"m{i}"], row[f"v{i}"] * row[f"c{i}"] / n
+            moments.append((mean, var_f))
+            params["standard"].append((mean, safe_scale(var_f ** 0.5)))
+            params["minmax"].append((row[f"a{i}"], safe_scale(row[f"b{i}"] - row[f"a{i}"])))
+            params["robust"].append((q[c][0.5], safe_scale(q[c][0.75] - q[c][0.25])))
+        for s in SCALER_ORDER:
+            ys = [((mean - center) / scale, var_f / (scale * scale))
+                  for (mean, var_f), (center, scale) in zip(moments, params[s])]
+            ev = sum(v + m * m for m, v in ys) / len(ys)
+            em = sum(m for m, _ in ys) / len(ys)
+            variances[s] = ev - em * em
+    best = None
+    for s in SCALER_ORDER:  # strictly greater wins: ties keep the earlier scaler
+        if variances[s] is not None and (best is None or variances[s] > variances[best]):
+            best = s
+    rows = [(k, s, variances[s], s == best) for k, s in enumerate(SCALER_ORDER)]
+    return train.sparkSession.createDataFrame(rows, "ord int, scaler string, variance double, chosen boolean")
 
 
 def best_scaler(train: DataFrame, cols: Sequence[str]) -> str | None:
