@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tunewright.session import reliable_checkpoint
 
 #: bytes of text that one vectorised step handles at most (one longer text is a step of its own)
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 # Odd 64-bit multipliers of the word and shingle hashes.
 BYTE_BASE = 0x9E3779B97F4A7C15
