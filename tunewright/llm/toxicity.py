@@ -12,8 +12,8 @@ regression is fitted on a bounded sample of labelled texts (``SAMPLE`` rows, tho
 Scoring is one pass over all texts with the weights (at most ``FEATURES`` numbers) sent along; texts never move.
 
 Defined results: null text counts as empty and gets the score of a text without features; null labels and labels
-without a document are not learnt from; of repeated labels the larger counts; without both classes in the sample
-every score is the share of toxic labels (0.0 without labels); extra columns are ignored by ``score`` and carried
+without a document are not learnt from; of repeated labels the larger counts; with one class in the sample
+every score is 0.0 or 1.0, its label, without labels 0.0; extra columns are ignored by ``score`` and carried
 by ``drop_toxic``.
 """
 
@@ -105,7 +105,8 @@ class ToxicityModel:
         return self.bias + np.bincount(row, self.weights[place], len(column))
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-np.clip(self.log_odds(column), -500, 500)))
+        with np.errstate(over="ignore"):
+            return 1.0 / (1.0 + np.exp(-self.log_odds(column)))
 
 
 def _csr(rows: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, rows: i
     n, bad = float(size["n"]), float(size["bad"] or 0)
     share = bad / n if n else 0.0
     if not 0 < bad < n:
-        return ToxicityModel(np.empty(0, np.uint64), np.empty(0), 30.0 if share else -745.0)
+        return ToxicityModel(np.empty(0, np.uint64), np.empty(0), np.inf if share else -np.inf)
     found = sample.mapInArrow(count, "feature long, n long, bad long").groupBy("feature").agg(
         F.sum("n").cast("double").alias("n"), F.sum("bad").cast("double").alias("bad")).where("n >= 3")
     gap = F.col("bad") * F.lit(n) - F.col("n") * F.lit(bad)

@@ -86,7 +86,7 @@ class ArchiveWriter:
     def __init__(self, folder: str):
         self.path = f"{folder}/{uuid.uuid4().hex}.warc.zst"
         fs, name = pafs.FileSystem.from_uri(self.path)
-        self.out = fs.open_output_stream(name)
+        self.out = fs.open_output_stream(name, compression=None)  # the frames are made here
         self.waiting: list[bytes] = []
         self.held = self.records = self.payload = 0
         self.press: zstd.ZstdCompressor | None = None
@@ -256,7 +256,7 @@ def parse_record(record: bytes) -> dict:
 def read_archive(path: str) -> Iterator[dict]:
     """The records of one archive, streamed."""
     fs, name = pafs.FileSystem.from_uri(path)
-    with fs.open_input_stream(name) as stream:
+    with fs.open_input_stream(name, compression=None) as stream:
         source, unpress, first = _Input(stream), zstd.ZstdDecompressor(), True
         while (frame := source.frame()) is not None:
             if frame[:4] == SKIP_MAGIC.to_bytes(4, "little") and first:
