@@ -34,7 +34,7 @@ from tunewright.llm.common import steps, text_or_empty
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
            r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: encoded words that a Python worker remembers, and the bytes from which a word is merged by a heap
-WORDS, LONG_WORD = 400_000, 4_096
+WORDS, LONG_WORD = 200_000, 4_096
 NONE = np.int64(1 << 40)
 
 

@@ -2,8 +2,8 @@
 
 A source with weight w of the wanted total gets the mean repetition rate w * total / rows.  Every row draws its
 count by inverting the Poisson distribution of that mean at a point hashed from (seed, doc_id, text), so a
-recomputed task draws the same; the row is exploded by its count and the copies are put in an order hashed from
-(seed, row, copy), a range exchange over the whole output.
+recomputed task draws the same; the row is exploded by its count and every copy goes to the partition and the place
+in it that a hash of (seed, row, copy) names, one exchange of the whole output.
 
 Means above ``PART`` are drawn as a sum of independent parts, so exp(-mean) never underflows and a row's table of
 probabilities stays short.
@@ -64,7 +64,8 @@ def replicate(docs: DataFrame, weights: DataFrame | None = None, total: int | No
               seed: str = "mix", out: tuple[str, str, str] = ("rate", "copy", "n_copies")) -> DataFrame:
     """The rows of ``docs``, each as often as drawn, globally shuffled, with rate, copy (from 1) and n_copies."""
     rate, copy, n_copies = out
-    parts, cdf, mine, order = fresh(docs, "mix_parts", "mix_cdf", "mix_source", "mix_order")
+    parts, cdf, mine, order, digest = fresh(
+        docs, "mix_parts", "mix_cdf", "mix_source", "mix_order", "mix_digest")
     rates = source_rates(docs, weights, total, power).where("rate > 0")
     rates = rates.select(F.col("source").alias(mine), F.col("rate").alias(rate)).withColumn(
         parts, F.ceil(F.col(rate) / F.lit(PART)).cast("int")).withColumn(
@@ -73,15 +74,12 @@ def replicate(docs: DataFrame, weights: DataFrame | None = None, total: int | No
         rates = F.broadcast(rates)
     rows = docs.join(rates, docs["source"].eqNullSafe(F.col(mine)))
 
-    row = [F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")),
-           F.md5(text_or_empty(F.col("text")).cast("binary"))]
-
-    def draw(part: Column) -> Column:
-        u = unit(*row, part.cast("string"))
-        return F.size(F.filter(F.col(cdf), lambda c: c < u))
-
-    count = F.aggregate(F.sequence(F.lit(1), F.col(parts)), F.lit(0), lambda acc, j: acc + draw(j))
+    rows = rows.withColumn(digest, F.md5(text_or_empty(F.col("text")).cast("binary")))
+    row = [F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.col(digest)]
+    points = F.transform(F.sequence(F.lit(1), F.col(parts)), lambda part: unit(*row, part.cast("string")))
+    count = F.aggregate(points, F.lit(0), lambda acc, u: acc + F.size(F.filter(F.col(cdf), lambda c: c < u)))
     rows = rows.withColumn(n_copies, count).where(F.col(n_copies) > 0)
     rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n_copies))))
     rows = rows.withColumn(order, F.md5(F.concat_ws("|", *row, F.lit("order"), F.col(copy).cast("string"))))
-    return rows.orderBy(order).drop(order, parts, cdf, mine)
+    rows = rows.drop(parts, cdf, mine, digest)
+    return rows.repartition(order).sortWithinPartitions(order).drop(order)

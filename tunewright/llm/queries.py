@@ -31,7 +31,15 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+#: rows of an Arrow batch at most: texts are long, and a task holds some batches at a time
+BATCH_ROWS = 1_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; the session's Arrow batches are kept small from then on."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows, "10000")) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
