@@ -152,7 +152,7 @@ def test_ffill_matches_pandas_with_hot_partition(spark, limit, chunk):
         rows.append((i, key, None if rng.random() < 0.5 else float(i)))
     df = spark.createDataFrame(rows, "o long, k long, v double")
     got = {r.o: r.v for r in fillna(df, method="ffill", order_by="o", partition_by="k", limit=limit,
-                                    chunk_width=chunk).collect()}
+                                    chunks=chunk).collect()}
     pdf = pd.DataFrame(rows, columns=["o", "k", "v"]).sort_values("o")
     exp = pdf.groupby("k")["v"].ffill(limit=limit)
     for o, v in zip(pdf["o"], exp):
@@ -286,7 +286,7 @@ def test_value_fill_limit_matches_pandas_with_hot_partition(spark, limit, chunk)
         rows.append((i, key, None if rng.random() < 0.4 else float(i)))
     df = spark.createDataFrame(rows, "o long, k long, v double")
     got = {r.o: r.v for r in fillna(df, value={"v": -1.0}, limit=limit, order_by="o", partition_by="k",
-                                    chunk_width=chunk).collect()}
+                                    chunks=chunk).collect()}
     pdf = pd.DataFrame(rows, columns=["o", "k", "v"]).sort_values("o")
     exp = pdf.groupby("k")["v"].transform(lambda s: s.fillna(-1.0, limit=limit))
     for o, v in zip(pdf["o"], exp):
@@ -316,7 +316,7 @@ def test_cell_scan_runs_without_the_package_installed(tmp_path):
     blob = tmp_path / "scan.pkl"
     blob.write_bytes(cloudpickle.dumps(codescan.scan_cells))
     code = ("import pickle, sys, pandas as pd; f = pickle.load(open(sys.argv[1], 'rb')); "
-            "b = pd.DataFrame({'notebook': ['n'], 'cell_index': [0], 'source': ['df.drop(columns=[\"a\"])']}); "
+            "b = pd.DataFrame({'notebook': ['n'], 'cell_index': [0], 'calls': ['df.drop(columns=[\"a\"])'], 'models': [''], 'values': ['']}); "
             "print(sum(len(x) for x in f(iter([b]))))")
     out = subprocess.run([_sys.executable, "-c", code, str(blob)], cwd=str(tmp_path), capture_output=True, text=True,
                          env={"PATH": "/usr/bin:/bin", "PYTHONPATH": ""}, timeout=120)
@@ -324,6 +324,88 @@ def test_cell_scan_runs_without_the_package_installed(tmp_path):
     assert int(out.stdout.strip()) >= 1
 
 
+def test_fill_follows_fractional_and_text_order_keys(spark):
+    rows = [(0.1, "a", 1.0), (0.2, "b", None), (0.3, "c", 5.0), (0.4, "d", None), (0.9, "e", None)]
+    df = spark.createDataFrame(rows, "k double, s string, v double")
+    for key in ("k", "s"):
+        for method, want in (("ffill", [1.0, 1.0, 5.0, 5.0, 5.0]), ("bfill", [1.0, 5.0, 5.0, None, None])):
+            got = fillna(df, method=method, order_by=key, subset=["v"], chunks=4)
+            assert [r.v for r in sorted(got.collect())] == want
+
+
+def test_pad_fills_matches_only(spark):
+    from tunewright.operators.frame import replace
+    df = spark.createDataFrame([(1, "x"), (2, "a"), (3, "x"), (4, None), (5, "x"), (6, "x"), (7, "b")], "i int, v string")
+    got = [r.v for r in sorted(replace(df, "x", None, method="pad", order_by="i").collect())]
+    assert got == ["x", "a", "a", None, None, None, "b"]
+
+
+def test_first_seen_codes_with_text_ids(spark):
+    from tunewright.operators.encode import first_seen_codes
+    df = spark.createDataFrame([("id_b", "x"), ("id_a", "y"), ("id_c", None)], "id string, c string")
+    codes, n = first_seen_codes([(df, "id")], "c")
+    assert n == 3 and {r.c: r.code for r in codes.collect()} == {"y": 0, "x": 1, "missing": 2}
+
+
+def test_rfe_ranks_count_rounds(spark):
+    from tunewright.operators.select import RFE
+    rng = random.Random(3)
+    rows = [tuple(rng.gauss(0, 1) for _ in range(10)) for _ in range(200)]
+    names = [f"f{i}" for i in range(10)]
+    df = spark.createDataFrame([(*r, int(sum(r[:4]) + 0.1 * r[5] > 0)) for r in rows],
+                               ", ".join(f"{n} double" for n in names) + ", y int")
+    for step, ranks in ((3, {1: 4, 2: 3, 3: 3}), (2, {1: 4, 2: 2, 3: 2, 4: 2}), (0.3, {1: 4, 2: 3, 3: 3})):
+        got = {}
+        for r in RFE(n_features_to_select=4, step=step).fit(df, names, "y").collect():
+            got[r.ranking] = got.get(r.ranking, 0) + 1
+        assert got == ranks
+
+
+def test_stream_loses_no_line_of_many_files(spark, tmp_path):
+    from tunewright.plans.streams import EVENTS_SCHEMA
+    from tunewright.streaming.jobs import log_lines_stream, read_last_values, stream_last_values, stream_trials
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.orderBy("ts", ascending=False).repartition(5).write.parquet(str(tmp_path / "many" / "events.parquet"))
+    got = []
+    for i, folder in enumerate(("/root/testdata/sf0.001", str(tmp_path / "many"))):
+        lines = log_lines_stream(spark, folder, EVENTS_SCHEMA)
+        stream_trials(spark, lines, f"{tmp_path}/t{i}", f"{tmp_path}/c{i}")
+        stream_last_values(spark, lines, f"{tmp_path}/l{i}", f"{tmp_path}/d{i}")
+        t = spark.read.parquet(f"{tmp_path}/t{i}").drop("epoch")
+        got.append((sorted(map(str, t.collect())), sorted(map(str, read_last_values(spark, f"{tmp_path}/l{i}").collect()))))
+    assert got[0] == got[1] and len(got[0][0]) > 100
+
+
+def test_deep_cells_are_scanned_or_reported(spark):
+    from tunewright.plans.corpus import scan_events
+    deep = "x = " + "+".join(["1"] * 1500) + "\nm = SVC(C=2)"
+    bad = "x = " + "(" * 3000 + "1" + ")" * 3000
+    cells = spark.createDataFrame([("nb", 0, deep), ("nb", 1, bad), ("nb", 2, None), ("nb", 3, "a\x00b")],
+                                  "notebook string, cell_index long, source string")
+    ev = scan_events(cells).collect()
+    assert any(r.func == "SVC" and r.cell_index == 0 for r in ev)
+    assert {(r.cell_index, r.scan) for r in ev if r.kind == "error"} >= {(1, "calls"), (1, "models"), (3, "values")}
+
+
+def test_load_cells_keeps_equal_names_and_list_literals_apart(spark, tmp_path):
+    from tunewright.sources.cells import load_cells
+    for folder, source in (("a", "[f(x) for x in y]"), ("b", '["p"]'), ("c", ["z = 1\n", "w"])):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.ipynb").write_text(json.dumps({"cells": [{"cell_type": "code", "source": source}]}))
+    rows = load_cells(spark, str(tmp_path)).collect()
+    assert {r.name for r in rows} == {"x.ipynb"}
+    assert {r.notebook: r.source for r in rows} == {
+        "a/x.ipynb": "[f(x) for x in y]", "b/x.ipynb": '["p"]', "c/x.ipynb": "z = 1\nw"}
+
+
+def test_report_keeps_trials_with_unknown_keys(spark):
+    from tunewright.plans.trials import ranked_report
+    rows = [("m", None, "1", i, 0.1 * i, 1.0, 1.0, 1.0, 1.0) for i in range(3)] + [("m", "p", "1", 9, 0.5, 1.0, 1.0, 1.0, 1.0)]
+    t = spark.createDataFrame(rows, "method string, parameter string, value string, ord long, accuracy double, f1 double, "
+                                    "mse double, rmse double, r2 double")
+    assert sorted((r.ord, r["rank"]) for r in ranked_report(t).collect()) == [(0, 3), (1, 2), (2, 1), (9, 1)]
+
+
 from hypothesis import given, settings  # noqa: E402
 from hypothesis import strategies as st  # noqa: E402
 

@@ -9,6 +9,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as E  # noqa: E402
 from tools.oracle_check import TABLES, rows_of, type_mismatches  # noqa: E402
+from tunewright.plans import ORACLE, QUERIES  # noqa: E402
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SLOW = {"search_lr"}
@@ -23,13 +24,13 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, duck, name):
     if name in SLOW and not os.environ.get("RUN_SLOW"):
         pytest.skip("model search: run with RUN_SLOW=1")
-    df = E.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     cols, rows = df.columns, [tuple(r) for r in df.collect()]
-    sql = E.oracle_sql().get(name)
+    sql = ORACLE.get(name)
     if sql is None:
         assert rows is not None
         return

@@ -42,11 +42,12 @@ def dense_codes(values: DataFrame, value_col: str, order_cols: Sequence[str] | N
     sizes = sorted((r["_pid"], r["n"]) for r in ranked.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect())
     offsets, total = [], 0
     for pid, n in sizes:
-        offsets += [F.lit(pid), F.lit(total)]
+        offsets.append((pid, total))
         total += n
-    off = F.create_map(*offsets) if offsets else F.create_map(F.lit(0), F.lit(0))
-    code = F.element_at(off, F.col("_pid")) + (F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
-    coded = ranked.select(*[col(c) for c in values.columns], code.cast("long").alias("code"))
+    # one row per partition: a table of a bounded size, joined once
+    off = F.broadcast(spark.createDataFrame(offsets, "_pid int, _off long"))
+    code = F.col("_off") + (F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
+    coded = ranked.join(off, "_pid").select(*[col(c) for c in values.columns], code.cast("long").alias("code"))
     return coded, total
 
 
@@ -291,7 +292,7 @@ def first_seen_codes(frames: Sequence[tuple[DataFrame, str]], column: str, fill:
     vals = None
     for side, (f, order_by) in enumerate(frames):
         v = col(column) if fill is None else F.coalesce(col(column), F.lit(fill))
-        part = f.select(v.alias(column), F.lit(side).alias("_side"), col(order_by).cast("long").alias("_ord"))
+        part = f.select(v.alias(column), F.lit(side).alias("_side"), col(order_by).alias("_ord"))
         vals = part if vals is None else vals.unionByName(part)
     first = vals.groupBy(column).agg(F.min(F.struct("_side", "_ord")).alias("_first"))
     first = first.select(column, F.col("_first._side").alias("_side"), F.col("_first._ord").alias("_ord"))

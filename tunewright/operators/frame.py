@@ -3,11 +3,12 @@
 Row order has no meaning in a DataFrame, so every order-dependent option takes
 an explicit ``order_by`` column (and optionally ``partition_by``).
 
-Forward/backward fill is a *segmented scan* that stays parallel when one
-partition key holds a large share of the rows: rows are cut into chunks of the
-order key (``chunk_width``), every chunk is filled locally with a window, and the
-value that enters a chunk from earlier chunks comes from a one-row-per-chunk
-summary table.  No window ever spans more than one chunk of data.
+Forward/backward fill is a *segmented scan* that stays parallel when one partition key
+holds a large share of the rows: rows are range-partitioned by (partition, order key), every
+partition is a chunk and is filled locally with a window, and the value that enters a chunk
+from earlier chunks comes from a one-row-per-chunk summary table.  Chunks follow the rows, so
+sparse, dense, fractional and text order keys cost the same; equal keys are ordered by a hash
+of the row.
 """
 
 from __future__ import annotations
@@ -17,17 +18,26 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import reliable_checkpoint
 from ..sources.tables import col
 from .base import replace_columns
 
 
+def _positions(df: DataFrame, order_by: str, partition_by: str | None, backward: bool, chunks: int | None) -> DataFrame:
+    """``df`` with _p (partition), _k (chunk) and _o (position); fixed by a checkpoint."""
+    n = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p = F.coalesce(F.concat(F.lit("="), col(partition_by).cast("string")), F.lit("null")) if partition_by else F.lit("")
+    o = col(order_by).desc_nulls_last() if backward else col(order_by).asc_nulls_first()
+    plain = [col(f.name) for f in df.schema.fields if f.dataType.typeName() != "map"]
+    keys = [F.col("_p").asc(), o, F.xxhash64(*plain).asc()]
+    ranked = df.withColumn("_p", p).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    return reliable_checkpoint(ranked.select("*", F.spark_partition_id().alias("_k"),
+                                             F.monotonically_increasing_id().alias("_o")))
+
+
 def _scan_fill(df: DataFrame, cols: Sequence[str], order_by: str, partition_by: str | None,
-               limit: int | None, backward: bool, chunk_width: int) -> DataFrame:
-    o = col(order_by).cast("long")
-    key = -o if backward else o
-    p = col(partition_by) if partition_by else F.lit(0)
-    base = df.withColumn("_p", p).withColumn("_o", key).withColumn(
-        "_k", F.floor(F.col("_o") / F.lit(chunk_width)).cast("long"))
+               limit: int | None, backward: bool, chunks: int | None) -> DataFrame:
+    base = _positions(df, order_by, partition_by, backward, chunks)
     w_rows = Window.partitionBy("_p", "_k").orderBy("_o")
     w_run = w_rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = base.withColumn("_i", F.row_number().over(w_rows))
@@ -84,18 +94,16 @@ def _scan_fill(df: DataFrame, cols: Sequence[str], order_by: str, partition_by:
 
 
 def _fill_first_n(df: DataFrame, value, limit: int, order_by: str, partition_by: str | None, cols: Sequence[str],
-                  chunk_width: int) -> DataFrame:
+                  chunks: int | None) -> DataFrame:
     """Fill only the first ``limit`` NULLs of each column (per partition) in ``order_by`` order.
 
-    The cut-off is the ``limit``-th smallest order key among NULL rows: first the
-    smallest ``limit`` keys of every chunk (a window over one chunk), then the smallest
+    The cut-off is the ``limit``-th position among NULL rows: first the
+    ``limit`` first positions of every chunk (a window over one chunk), then the first
     ``limit`` of those per group, so no window ever holds a whole group.
     """
     values = dict(value) if isinstance(value, Mapping) else {c: value for c in cols}
     targets = [c for c in cols if c in values and c not in (order_by, partition_by)]
-    o = col(order_by).cast("long")
-    p = col(partition_by) if partition_by else F.lit(0)
-    base = df.withColumn("_p", p).withColumn("_o", o).withColumn("_k", F.floor(F.col("_o") / F.lit(chunk_width)))
+    base = _positions(df, order_by, partition_by, False, chunks)
     cut_cols = []
     for j, c in enumerate(targets):
         nulls = base.filter(col(c).isNull()).select("_p", "_k", "_o")
@@ -117,7 +125,7 @@ def _fill_first_n(df: DataFrame, value, limit: int, order_by: str, partition_by:
 
 def fillna(df: DataFrame, value=None, method: str | None = None, axis: int = 0, limit: int | None = None,
            order_by: str | None = None, partition_by: str | None = None, subset: Sequence[str] | None = None,
-           chunk_width: int = 1 << 20, inplace: bool = False) -> DataFrame:
+           chunks: int | None = None, inplace: bool = False) -> DataFrame:
     cols = list(subset) if subset is not None else list(df.columns)
     if method is None:
         if value is None:
@@ -125,7 +133,7 @@ def fillna(df: DataFrame, value=None, method: str | None = None, axis: int = 0,
         if limit is not None:
             if order_by is None:
                 raise ValueError("value fill with a limit needs order_by")
-            return _fill_first_n(df, value, limit, order_by, partition_by, cols, chunk_width)
+            return _fill_first_n(df, value, limit, order_by, partition_by, cols, chunks)
         if axis in (1, "columns"):
             raise NotImplementedError("value fill along columns equals axis=0 for scalars")
         if isinstance(value, Mapping):
@@ -143,7 +151,7 @@ def fillna(df: DataFrame, value=None, method: str | None = None, axis: int = 0,
         if order_by is None:
             raise ValueError("ffill/bfill need order_by")
         cols = [c for c in cols if c not in (order_by, partition_by)]
-        return _scan_fill(df, cols, order_by, partition_by, limit, backward, chunk_width)
+        return _scan_fill(df, cols, order_by, partition_by, limit, backward, chunks)
     raise ValueError(f"unknown method {method}")
 
 
@@ -211,12 +219,17 @@ def replace(df: DataFrame, to_replace=None, value=None, regex: bool = False, sub
             new[c] = e
         return replace_columns(df, new)
     if value is None and method is not None:
-        # deprecated pad/bfill form: matches become NULL, then fill in order
+        # deprecated pad/bfill form: a match takes the value of the last row that does not match (a NULL is
+        # such a value and stays), a match without one keeps its own
         targets = to_replace if isinstance(to_replace, (list, tuple)) else [to_replace]
-        nulled = replace_columns(df, {c: F.when(~col(c).isin(targets), col(c)) for c in cols
-                                      if c not in (order_by, partition_by)})
-        return fillna(nulled, method="bfill" if method == "bfill" else "ffill", order_by=order_by,
-                      partition_by=partition_by, limit=limit, subset=cols)
+        names = [c for c in cols if c not in (order_by, partition_by)]
+        hit = {c: F.coalesce(col(c).isin(targets), F.lit(False)) for c in names}
+        wrapped = replace_columns(df, {c: F.when(~hit[c], F.struct(col(c).alias("v"))) for c in names},
+                                  append=[(f"_own{i}", col(c)) for i, c in enumerate(names)])
+        filled = fillna(wrapped, method="bfill" if method in ("bfill", "backfill") else "ffill", order_by=order_by,
+                        partition_by=partition_by, limit=limit, subset=names)
+        return replace_columns(filled, {c: F.when(col(c).isNotNull(), col(c)["v"]).otherwise(F.col(f"_own{i}"))
+                                        for i, c in enumerate(names)}, drop=[f"_own{i}" for i in range(len(names))])
     if isinstance(to_replace, Mapping) and value is None:
         return df.na.replace(dict(to_replace), subset=cols)
     return df.na.replace(to_replace, value, subset=cols)

@@ -113,6 +113,9 @@ def sample_grid(records: DataFrame, grid: DataFrame, n_iter: int = 20, seed: int
 # ----------------------------------------------------------------------------- estimator registry (M2)
 
 
+MAX_DEPTH = 30  # of Spark ML's trees; also stands for an unlimited depth
+
+
 def _max_features(v):
     if v in (None, "None"):
         return "all"
@@ -130,7 +133,9 @@ def translate(model_type: str, params: dict, n_rows: int) -> tuple[dict, list[st
         if k == "n_estimators":
             out["numTrees" if "RandomForest" in model_type else "maxIter"] = int(v)
         elif k == "max_depth":
-            out["maxDepth"] = 30 if v is None else min(int(v), 30)
+            if v is not None and int(v) > MAX_DEPTH:
+                raise ValueError(f"max_depth {v}: trees are at most {MAX_DEPTH} deep")
+            out["maxDepth"] = MAX_DEPTH if v is None else int(v)
         elif k == "min_samples_leaf":
             out["minInstancesPerNode"] = int(v)
         elif k == "max_features":

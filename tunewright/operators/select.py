@@ -144,7 +144,7 @@ class RFE:
         step = max(1, int(self.step * n)) if isinstance(self.step, float) and self.step < 1 else int(self.step)
         data = _assemble(df, features, label).cache()
         alive = list(range(n))
-        ranking = {}
+        rounds: list[list[int]] = []
         while len(alive) > target:
             sliced = VectorSlicer(inputCol="_features", outputCol="_sub", indices=alive).transform(data)
             from pyspark.ml.classification import LogisticRegression
@@ -153,12 +153,10 @@ class RFE:
             score = [sum(coef[i][j] ** 2 for i in range(coef.shape[0])) for j in range(len(alive))]
             drop_n = min(step, len(alive) - target)
             worst = sorted(range(len(alive)), key=lambda j: (score[j], j))[:drop_n]
-            rank = len(alive) - target + 1
-            for j in worst:
-                ranking[alive[j]] = rank
+            rounds.append([alive[j] for j in worst])
             alive = [a for j, a in enumerate(alive) if j not in set(worst)]
         data.unpersist()
-        for a in alive:
-            ranking[a] = 1
+        # rank 1: kept; 2: gone in the last round; one more for every round before
+        ranking = {a: 1 for a in alive} | {a: r + 2 for r, gone in enumerate(reversed(rounds)) for a in gone}
         rows = [(features[i], int(ranking[i]), ranking[i] == 1) for i in range(n)]
         return df.sparkSession.createDataFrame(rows, "feature string, ranking int, selected boolean")

@@ -75,24 +75,26 @@ OP_NAMES = (("Add", "Addition"), ("Sub", "Subtraction"), ("Mult", "Multiplicatio
 
 
 def scan_events(cells: DataFrame) -> DataFrame:
-    """One Python pass over (notebook, cell_index, source), hash-partitioned by notebook
-    before the scan, so the Python work is spread over all tasks.
+    """One Python pass over (notebook, cell_index, source), dealt by cell, so that a large
+    notebook's cells are parsed by many tasks.
 
     The events are checkpointed (reliably, to the shared checkpoint folder): every
-    rule after this reads them without re-running Python, an executor loss does not
-    repeat the scan, and the notebook partitioning is kept, so the per-notebook
-    windows and aggregates need no further shuffle.
+    rule after this reads them without re-running Python, and an executor loss does not
+    repeat the scan.  Only the small event rows are shuffled by notebook.
     """
     # An explicit count: AQE would otherwise coalesce this small-in-bytes but
     # Python-heavy input into very few tasks.
     n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_notebook = cells.select("notebook", "cell_index", "source").repartition(n, "notebook")
+    source = F.coalesce("source", F.lit(""))
+    dealt = cells.select("notebook", "cell_index", clean_magics(F.btrim(source, F.lit(" \t\r\n"))).alias("calls"),
+                         blank_shell(source).alias("models"), source.alias("values")).repartition(
+        n, "notebook", "cell_index")
     # Ship the scan code with the task: executors need not have this package installed.
     from pyspark import cloudpickle
 
     from ..functions import codescan
     cloudpickle.register_pickle_by_value(codescan)
-    return reliable_checkpoint(by_notebook.mapInPandas(scan_cells, EVENT_SCHEMA))
+    return reliable_checkpoint(dealt.mapInPandas(scan_cells, EVENT_SCHEMA))
 
 
 def is_test_line(line: Column) -> Column:
@@ -453,7 +455,7 @@ def q_model_records(spark: SparkSession, sf: str) -> DataFrame:
  where variant = 7""")
 def q_parse_errors(spark: SparkSession, sf: str) -> DataFrame:
     """C11: a cell that does not parse becomes an error row instead of stopping the job."""
-    ev = _events(spark, sf).filter(F.col("kind") == "error")
+    ev = _events(spark, sf).filter((F.col("kind") == "error") & F.col("scan").isin("calls", "models"))
     return ev.select("notebook", "cell_index", "scan", F.split("error", ":").getItem(0).alias("error_kind"))
 
 

@@ -37,7 +37,7 @@ TF_PATTERNS = (r"accuracy[:\s=]+([0-9.]+)", r"acc[:\s=]+([0-9.]+)", r"Accuracy[:
                r"val[_\s]acc[:\s=]+([0-9.]+)", r"accuracy[^:]*:\s*([0-9.]+)", r"Accuracy[^:]*:\s*([0-9.]+)")
 HISTORY_PATTERNS = (r"Accuracy:?\s*([0-9.]+)", r"accuracy:?\s*([0-9.]+)", r"acc:?\s*([0-9.]+)")
 HISTORY_VAL_PATTERNS = (r"val_Accuracy:?\s*([0-9.]+)", r"val_accuracy:?\s*([0-9.]+)", r"val_acc:?\s*([0-9.]+)")
-# (metric, flags that enable it, patterns)
+# Fixed values: (metric, flags that enable it, patterns).
 CASCADES = (
     ("accuracy", ("accuracy_calc", "accuracy_in_print"), CLASS_PATTERNS),
     ("precision", ("precision_calc", "precision_in_print"), CLASS_PATTERNS),
@@ -49,11 +49,71 @@ CASCADES = (
 )
 
 
+# Name prefixes of metric variables and of %-format print strings, metrics looked for in a name.
+METRIC_VAR_PREFIXES = ("catb", "xgboost", "linear", "lasso", "ridge", "elastic_net", "svr", "knn", "gb", "en")
+PRINT_PREFIXES = ("catb", "xgboost", "linear", "lasso", "ridge", "svr", "knn")
+ERROR_METRICS, CLASS_METRICS = ("rmse", "mse", "r2"), ("accuracy", "precision", "recall", "f1")
+
+
+def _first(options) -> Column:
+    """The value of the first (condition, value) whose condition holds."""
+    return F.coalesce(*[F.when(c, F.lit(v)) for c, v in options])
+
+
 def metric_facts(events: DataFrame) -> DataFrame:
-    """(notebook, cell_index, dfs, model, key, value) from the metric-variable scan."""
-    return events.filter(F.col("scan") == "metricvars").select(
-        "notebook", "cell_index", "dfs", F.col("name").alias("model"), F.col("col").alias("key"),
-        F.col("func").alias("value"))
+    """(notebook, cell_index, dfs, model, key, value): the metric rules over the scan's value facts.
+
+    A rule is (condition, model, key, value); all rules of a fact are evaluated in one projection."""
+    ev = events.filter((F.col("scan") == "values") & (F.col("kind") != "error"))
+    t, low, yes = F.col("name"), F.lower("name"), F.lit("true")
+    func, by_name = F.col("func"), F.col("op") == "name"
+    key = F.lower("col")
+    text = F.lower("line")
+    assign, shown, called = (F.col("kind") == k for k in ("assign", "print_text", "print_call"))
+    history = assign & (F.col("layer") == "history")
+    key_acc, key_val = F.coalesce(key.contains("acc"), F.lit(False)), F.coalesce(key.contains("val_"), F.lit(False))
+    scoring = assign & by_name & (func == "cross_val_score") & F.coalesce(
+        F.col("args").getItem("scoring").contains("neg_mean_squared_error"), F.lit(False))
+    r2 = assign & low.contains("r2")
+    r2_model = F.when(t.contains("_"), F.substring_index(t, "_", 1)).otherwise("model")
+    prefix = _first([(t.startswith(f"{p}_"), p) for p in METRIC_VAR_PREFIXES])
+    plain = [(low.contains(m), m) for m in CLASS_METRICS]
+    metric = F.when(prefix.isNotNull(), _first(
+        [(t.contains(m), m) for m in ERROR_METRICS] + [(low.contains("mae"), "mae")] + plain)).otherwise(_first(plain))
+    model = F.coalesce(prefix, F.lit("model"))
+    is_metric = assign & metric.isNotNull()
+    rules = [
+        (assign & (F.col("op") == "attr") & (func == "fit"), "tensorflow", "history_var", t),
+        (history, "tensorflow", "created", yes),
+        (history & key_acc, "tensorflow", F.when(key_val, "val_accuracy_var").otherwise("accuracy_var"), t),
+        (history & ~(key_acc & key_val) & low.contains("acc"), "tensorflow",
+         F.when(low.contains("val_"), "val_accuracy_var").otherwise("accuracy_var"), t),
+        (scoring, "model", "uses_cv_rmse", yes),
+        (scoring, "model", "cv_rmse_var", t),
+        (r2 & low.contains("_train"), r2_model, "r2_train_var", t),
+        (r2 & ~low.contains("_train") & low.contains("_test"), r2_model, "r2_test_var", t),
+        (is_metric, model, F.concat(metric, F.lit("_calc")), yes),
+        (is_metric, model, "var_name", t),
+        (is_metric & (func == "mean_squared_error"), model, "has_direct_mse", yes),
+        (is_metric & (func == "sqrt"), model, "uses_sqrt", yes),
+        (is_metric & F.array_contains("pos_args", "log"), model, "uses_log", yes),
+        (shown & (F.col("op") == "const") & text.contains("oob score"), "model", "uses_oob_score", yes),
+        (called & (func == "accuracy_score"), "model", "accuracy_in_print", yes),
+        (called & (func == "r2_score"), "model", "r2_in_print", yes),
+    ]
+    for p in PRINT_PREFIXES:
+        on = shown & (F.col("op") == "mod") & text.contains(p)
+        rules += [(on, p, "created", yes), (on & text.contains("rmse"), p, "rmse_in_print", yes),
+                  (on & text.contains("mse"), p, "mse_in_print", yes),
+                  (on & (text.contains("r2") | text.contains("r squared")), p, "r2_in_print", yes)]
+
+    def lit(x) -> Column:
+        return F.lit(x) if isinstance(x, str) else x
+
+    facts = F.array(*[F.when(c, F.struct(lit(m).alias("model"), lit(k).alias("key"), lit(v).alias("value")))
+                      for c, m, k, v in rules])
+    return ev.select("notebook", "cell_index", "dfs", F.explode(F.filter(facts, lambda x: x.isNotNull())).alias("f")
+                     ).select("notebook", "cell_index", "dfs", "f.model", "f.key", "f.value")
 
 
 def _extract(text: Column, pat: Column) -> Column:

@@ -215,10 +215,10 @@ def _ffill_sql(backward: bool, limit: int | None) -> str:
             f"select event_id, user_id, {', '.join(out)} from b")
 
 
-def _ffill_query(method: str, limit: int | None, chunk_width: int = 1 << 20):
+def _ffill_query(method: str, limit: int | None, chunks: int | None = None):
     def q(spark: SparkSession, sf: str) -> DataFrame:
         return fillna(fx_frame(spark, sf), method=method, order_by="event_id", partition_by="user_id",
-                      limit=limit, chunk_width=chunk_width)
+                      limit=limit, chunks=chunks)
     return q
 
 
@@ -240,7 +240,7 @@ register("fill_bfill_chunked", _ffill_sql(True, 1))(_ffill_query("bfill", 1, 16)
 def q_fill_value_limit(spark: SparkSession, sf: str) -> DataFrame:
     """fillna(value, limit=2): only the first two NULLs of each column per user are filled."""
     return fillna(fx_frame(spark, sf), value={"v1": 0.0, "v2": "none"}, limit=2, order_by="event_id",
-                  partition_by="user_id", chunk_width=16)
+                  partition_by="user_id", chunks=16)
 
 
 @register("fill_axis1", f"with {FX_SQL} select id, f1, coalesce(f2, f1) f2, coalesce(f3, f2, f1) f3 from fx")
@@ -282,12 +282,13 @@ def q_replace_regex(spark: SparkSession, sf: str) -> DataFrame:
     return replace(fx_frame(spark, sf), {"[aeiou]": "*", "^s": "S"}, regex=True)
 
 
-@register("replace_pad", f"""with {FX_FRAME_SQL}, z as (select event_id, user_id,
-  case when v2 = 'view' then null else v2 end v2 from fxf)
-  select event_id, user_id, last_value(v2 ignore nulls) over (partition by user_id order by event_id
-  rows between unbounded preceding and current row) v2 from z""")
+@register("replace_pad", f"""with {FX_FRAME_SQL}, z as (select event_id, user_id, v2,
+  case when v2 is distinct from 'view' then event_id end free from fxf),
+  l as (select *, max(free) over (partition by user_id order by event_id) last from z)
+  select l.event_id, l.user_id, case when l.last is null then l.v2 else z.v2 end v2
+  from l left join z on z.user_id = l.user_id and z.event_id = l.last""")
 def q_replace_pad(spark: SparkSession, sf: str) -> DataFrame:
-    """Deprecated method='pad': matches (and gaps) take the previous value of the user."""
+    """Deprecated method='pad': matches take the last value of the user that does not match, gaps stay."""
     d = fx_frame(spark, sf).select("event_id", "user_id", "v2")
     return replace(d, "view", None, method="pad", order_by="event_id", partition_by="user_id")
 
@@ -336,14 +337,14 @@ def q_onehot_maxcat(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("onehot_minfreq", f"""with {FX_SQL},
  cnt as (select c1 v, count(*) n from train group by c1),
- freq as (select v from cnt where n >= 2405),
+ freq as (select v from cnt where n >= 0.2 * (select count(*) from train)),
  feats as (select 'c1_' || v feature, v from freq union all select 'c1_infrequent_sklearn', null)
  select id, feature, case when feats.v is null then (case when c1 not in (select v from freq) then 1.0::DOUBLE else 0.0::DOUBLE end)
    when c1 = feats.v then 1.0::DOUBLE else 0.0::DOUBLE end value
  from fx cross join feats""")
 def q_onehot_minfreq(spark: SparkSession, sf: str) -> DataFrame:
     d = fx(spark, sf)
-    model = OneHotEncoder(handle_unknown="ignore", min_frequency=2405).fit(d.filter(~F.col("is_test")), ["c1"])
+    model = OneHotEncoder(handle_unknown="ignore", min_frequency=0.2).fit(d.filter(~F.col("is_test")), ["c1"])
     out = model.transform(d.select("id", "c1"))
     return long_form(out, ["id"], [c for c in out.columns if c != "id"])
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.sinks import read_usage, write_usage
-from ..streaming.jobs import log_lines_stream, run_folder, stream_last_values, stream_trials
+from ..streaming.jobs import log_lines_stream, read_last_values, run_folder, stream_last_values, stream_trials
 from .corpus import USAGE_SQL, scan_events, usage_table
 from .registry import ORACLE, r6, register
 from ..sources.cells import fx_cells
@@ -28,11 +28,11 @@ def q_stream_trials(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("stream_last_metric", ORACLE["last_metric"])
 def q_stream_last_metric(spark: SparkSession, sf: str) -> DataFrame:
-    """ST2: stateful last value per (run, model, metric), complete mode."""
+    """ST2: stateful last value per (run, model, metric), update mode."""
     base = run_folder(spark, "stream-last")
     lines = log_lines_stream(spark, sf, EVENTS_SCHEMA)
     stream_last_values(spark, lines, f"{base}/table", f"{base}/checkpoint")
-    last = spark.read.parquet(f"{base}/table")
+    last = read_last_values(spark, f"{base}/table")
     return last.select("run_id", "model", "metric", r6(F.col("value")).alias("value"))
 
 

@@ -279,11 +279,20 @@ def ranked_report(trials: DataFrame, keys=("method", "parameter")) -> DataFrame:
     sort_key = F.lit(None).cast("double")
     for m, asc in reversed(RANK_KEYS):
         sort_key = F.when(F.col(f"all_{m}"), F.col(m) if asc else -F.col(m)).otherwise(sort_key)
-    with_key = trials.join(present, keys).withColumn("_sk", sort_key)
-    coded, _ = dense_codes(with_key.select(*keys, "_sk", "ord"), "ord", order_cols=[*keys, "_sk", "ord"])
+    with_key = _join_null_safe(trials, present, keys).withColumn("_sk", sort_key)
+    coded, _ = dense_codes(with_key.select(*trials.columns, "_sk"), "ord", order_cols=[*keys, "_sk", "ord"])
     start = coded.groupBy(*keys).agg(F.min("code").alias("_start"))
-    ranked = coded.join(start, keys).select(*keys, "ord", (F.col("code") - F.col("_start") + 1).alias("rank"))
-    return trials.join(ranked, [*keys, "ord"])
+    ranked = _join_null_safe(coded, start, keys)
+    return ranked.select(*trials.columns, (F.col("code") - F.col("_start") + 1).alias("rank"))
+
+
+def _join_null_safe(left: DataFrame, right: DataFrame, keys) -> DataFrame:
+    """Join on ``keys``, NULL equal to NULL; the keys are kept once."""
+    named = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(named, on).drop(*[f"_r_{k}" for k in keys])
 
 
 def _ranked_sql() -> str:
@@ -305,6 +314,20 @@ def q_report_ranked(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("method", "parameter", "value", F.col("rank").cast("bigint").alias("rank"))
 
 
+@register("report_ranked_nulls", f"""with {FX_TRIALS_SQL},
+ t as (select * replace (case when ord % 7 = 0 then null else parameter end as parameter) from fxt),
+ k as (select t.*, case when count(accuracy) over g = count(*) over g then -accuracy
+   when count(mse) over g = count(*) over g then mse end sk from t window g as (partition by method, parameter))
+ select method, parameter, value, ord, row_number() over (partition by method, parameter order by sk nulls first, ord) rank
+ from k""")
+def q_report_ranked_nulls(spark: SparkSession, sf: str) -> DataFrame:
+    """R2 with trials whose parameter is unknown: they are one sweep, none is lost."""
+    none = F.lit(None).cast("double")
+    t = fx_trials(spark, sf).withColumn("parameter", F.when(F.col("ord") % 7 != 0, F.col("parameter")))
+    t = t.withColumn("rmse", F.sqrt("mse")).withColumn("f1", none).withColumn("r2", none)
+    return ranked_report(t).select("method", "parameter", "value", "ord", F.col("rank").cast("bigint").alias("rank"))
+
+
 def _fmt(c: Column) -> Column:
     return F.when(c.isNotNull(), F.format_string("%.6f", c)).otherwise(F.lit("N/A"))
 

@@ -14,24 +14,27 @@ from pyspark.sql import functions as F
 from .tables import read_table
 
 NOTEBOOK_SCHEMA = "struct<cells: array<struct<cell_type: string, source: string, outputs: array<string>>>>"
-
-
-def _as_text(c):
-    """A JSON value read as string: a list of lines is re-parsed and joined."""
-    as_list = F.from_json(c, "array<string>")
-    return F.when(F.trim(c).startswith("["), F.array_join(as_list, "")).otherwise(c)
+#: the same cells with sources as lists of lines: a source that is one string reads as NULL
+LINES_SCHEMA = "struct<cells: array<struct<source: array<string>>>>"
 
 
 def load_cells(spark: SparkSession, path: str, code_only: bool = True) -> DataFrame:
+    """One row per cell: notebook (path below the folder, so equal file names stay apart), name (the file's),
+    path, cell_index, cell_type, source, outputs."""
     raw = (spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
            .option("pathGlobFilter", "*.ipynb").text(path)
            .select(F.input_file_name().alias("path"), F.col("value")))
-    nb = raw.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("notebook"), "path",
-                    F.from_json("value", NOTEBOOK_SCHEMA).alias("nb"))
-    cells = nb.select("notebook", "path", F.posexplode("nb.cells").alias("cell_index", "cell"))
-    out = cells.select("notebook", "path", F.col("cell_index").cast("long").alias("cell_index"),
-                       F.col("cell.cell_type").alias("cell_type"), _as_text(F.col("cell.source")).alias("source"),
-                       F.col("cell.outputs").alias("outputs"))
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    root = path.split("://")[-1].removeprefix("file:").rstrip("/") + "/"
+    below = F.when(F.instr("path", root) > 0, F.substring_index("path", root, -1)).otherwise(F.col("path"))
+    nb = raw.select(below.alias("notebook"), name.alias("name"), "path",
+                    F.arrays_zip(F.from_json("value", NOTEBOOK_SCHEMA)["cells"].alias("cell"),
+                                 F.from_json("value", LINES_SCHEMA)["cells"].alias("lines")).alias("cells"))
+    cells = nb.select("notebook", "name", "path", F.posexplode("cells").alias("cell_index", "c"))
+    out = cells.select("notebook", "name", "path", F.col("cell_index").cast("long").alias("cell_index"),
+                       F.col("c.cell.cell_type").alias("cell_type"),
+                       F.coalesce(F.array_join("c.lines.source", ""), F.col("c.cell.source")).alias("source"),
+                       F.col("c.cell.outputs").alias("outputs"))
     return out.filter(F.col("cell_type") == "code") if code_only else out
 
 

@@ -1,11 +1,12 @@
 """Streaming twins of the trial analytics (ST1, ST2).
 
-ST1 ingests metric-log lines incrementally: parse + canonicalise per micro-batch,
-deduplicate on the line key inside an event-time watermark (re-delivered lines are
-dropped), and append through ``foreachBatch`` into a parquet trial table.  ST2 keeps
-the last value of every (run, model, metric) as streaming state.  Both use a
-checkpoint location under the session's shared checkpoint folder, so a restarted
-or re-run job continues where it stopped.
+ST1 ingests metric-log lines incrementally: re-delivered lines are dropped by their key, the
+rest is parsed and canonicalised per micro-batch and written through ``foreachBatch``.  The keys
+seen so far are the stream's state, without a watermark: file order and lateness lose no line.
+ST2 keeps the last value of every (run, model, metric) as streaming state and writes the values
+that a batch changed.  Both write one folder per epoch and overwrite it, so a batch that is
+replayed after a failure replaces itself.  Checkpoints lie under the session's shared checkpoint
+folder, so a restarted job continues where it stopped.
 """
 
 from __future__ import annotations
@@ -21,44 +22,45 @@ from ..session import scratch_path
 KEYS = ("run_id", "line_no")
 
 
-def log_lines_stream(spark: SparkSession, folder: str, schema: str, file_glob: str = "events.parquet",
+def log_lines_stream(spark: SparkSession, folder: str, schema: str, table: str = "events.parquet",
                      files_per_trigger: int = 1) -> DataFrame:
-    """Metric-log lines derived from the ``events`` files of ``folder``, read as a file stream."""
+    """Metric-log lines derived from the table ``events`` of ``folder`` (one file, or a folder of part
+    files), read as a file stream."""
     from ..plans.fixtures import fx_log_rich_columns
-    raw = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-           .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
+    raw = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+           .parquet(f"{folder.rstrip('/')}/[{table[0]}]{table[1:]}"))  # a pattern may name a file or a folder
     return fx_log_rich_columns(raw)
 
 
-def stream_trials(spark: SparkSession, lines: DataFrame, out_path: str, checkpoint: str,
-                  watermark: str = "1 day") -> None:
-    """ST1: lines -> canonical metric rows appended to ``out_path`` (exactly once per line)."""
-    dedup = (lines.withColumn("ts", F.col("ts").cast("timestamp"))
-             .withWatermark("ts", watermark)
-             .dropDuplicatesWithinWatermark(list(KEYS)))
-    canon = canonical_entries(parse_metric_log(dedup, "text", KEYS), KEYS)
+def _write_epoch(out_path: str):
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
+    return write
 
-    def append(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("append").parquet(out_path)
 
-    q = (canon.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+def stream_trials(spark: SparkSession, lines: DataFrame, out_path: str, checkpoint: str) -> None:
+    """ST1: lines -> canonical metric rows below ``out_path``, every line once."""
+    canon = canonical_entries(parse_metric_log(lines.dropDuplicates(list(KEYS)), "text", KEYS), KEYS)
+    q = (canon.writeStream.foreachBatch(_write_epoch(out_path)).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
 def stream_last_values(spark: SparkSession, lines: DataFrame, out_path: str, checkpoint: str) -> None:
-    """ST2: streaming state = last value per (run, model, metric); each batch rewrites the result."""
+    """ST2: streaming state = last value per (run, model, metric); each batch writes what it changed."""
     canon = canonical_entries(parse_metric_log(lines, "text", KEYS), KEYS).filter(F.col("metric").isNotNull())
     last = canon.groupBy("run_id", "model", "metric").agg(
         F.max_by("value", F.struct("line_no", "pos", "sub")).alias("value"))
-
-    def overwrite(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
-
-    q = (last.writeStream.outputMode("complete").foreachBatch(overwrite)
+    q = (last.writeStream.outputMode("update").foreachBatch(_write_epoch(out_path))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
+def read_last_values(spark: SparkSession, out_path: str) -> DataFrame:
+    """The newest value of every (run, model, metric) that ``stream_last_values`` wrote."""
+    return spark.read.parquet(out_path).groupBy("run_id", "model", "metric").agg(
+        F.max_by("value", "epoch").alias("value"))
+
+
 def run_folder(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
