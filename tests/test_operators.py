@@ -347,6 +347,21 @@ def test_first_seen_codes_with_text_ids(spark):
     assert n == 3 and {r.c: r.code for r in codes.collect()} == {"y": 0, "x": 1, "missing": 2}
 
 
+def test_wide_encoders_turn_sparse_beyond_their_columns(spark):
+    df = spark.createDataFrame([(1, "b"), (2, "a"), (3, "c"), (4, None), (5, "a")], "i int, c string")
+    model = OneHotEncoder(handle_unknown="ignore", max_columns=2).fit(df, ["c"])
+    new = spark.createDataFrame([(1, "c"), (2, "z"), (3, None)], "i int, c string")
+    got = {r.i: (r.c.size, r.c["index"]) for r in model.transform(new).collect()}
+    assert got[1][0] == 4 and got[2][1] is None and got[3][1] in (0, 3)
+    with pytest.raises(ValueError):
+        OneHotEncoder(max_columns=2).fit(df, ["c"]).transform(new).collect()
+    few = OneHotEncoder(handle_unknown="ignore", max_columns=2, min_frequency=2).fit(df, ["c"]).transform(df)
+    assert {r.i: r.c["index"] for r in few.collect()} == {1: 1, 2: 0, 3: 1, 4: 1, 5: 0}
+    d = get_dummies(df, ["c"], max_columns=2)
+    assert d.columns == ["i", "c"] and {r.i: (r.c.size, r.c["index"]) for r in d.collect()} == {
+        1: (3, 1), 2: (3, 0), 3: (3, 2), 4: (3, None), 5: (3, 0)}
+
+
 def test_rfe_ranks_count_rounds(spark):
     from tunewright.operators.select import RFE
     rng = random.Random(3)

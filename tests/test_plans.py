@@ -7,7 +7,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from tunewright.plans import QUERIES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 # queries whose input is the syntax scan of code cells (checkpointed, so their plans read
@@ -20,9 +20,9 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - ML))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - ML))
 def test_plan_has_no_cartesian_and_no_python(spark, name):
-    plan = _plan(E.queries()[name](spark, SF))
+    plan = _plan(QUERIES[name](spark, SF))
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
     for node in PYTHON_NODES:
@@ -30,7 +30,7 @@ def test_plan_has_no_cartesian_and_no_python(spark, name):
 
 
 def test_scans_prune_columns_and_push_filters(spark):
-    df = E.queries()["drop_rows"](spark, SF)
+    df = QUERIES["drop_rows"](spark, SF)
     plan = _plan(df)
     assert "PushedFilters: [IsNotNull(l_returnflag), EqualTo(l_returnflag,R)" in plan
     assert "ReadSchema: struct<l_orderkey:bigint,l_returnflag:string>" in plan

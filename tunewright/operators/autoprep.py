@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import categorical_columns, col, find_target, numeric_columns
 from .base import replace_columns
-from .encode import dense_codes, first_seen_codes, join_codes
+from .encode import dense_codes, first_seen_codes, join_codes, sparse_onehot
 from .scale import MinMaxScaler, RobustScaler, StandardScaler
 
 SCALER_ORDER = ("standard", "minmax", "robust")
@@ -103,7 +103,8 @@ def prepare(train: DataFrame, test: DataFrame, id_col: str, target: str | None =
             fill: str = "missing", max_columns: int = 1000) -> tuple[DataFrame, DataFrame, dict]:
     """Whole automatic preparation: best scaler on numeric columns, per-column encoding choice.
 
-    One-hot columns are built from the union of train and test levels (``{col}_{value}``),
+    One-hot columns are built from the union of train and test levels (``{col}_{value}``); a column with more
+    than ``max_columns`` levels becomes one ``struct(size, index)``, its one-hot row in sparse form;
     label codes follow first appearance (train order, then test order, by ``id_col``).
     """
     target = target or find_target(train)
@@ -126,10 +127,12 @@ def prepare(train: DataFrame, test: DataFrame, id_col: str, target: str | None =
             filled_tr = replace_columns(tr, {c: F.coalesce(col(c).cast("string"), F.lit(fill))})
             filled_te = replace_columns(te, {c: F.coalesce(col(c).cast("string"), F.lit(fill))})
             if choice[c] == "onehot":
-                levels = [r[0] for r in filled_tr.select(c).unionByName(filled_te.select(c)).distinct()
-                          .orderBy(c).limit(max_columns + 1).collect()]
-                if len(levels) > max_columns:
-                    raise ValueError(f"{c}: more than {max_columns} levels")
+                both = filled_tr.select(c).unionByName(filled_te.select(c)).distinct()
+                levels = [r[0] for r in both.orderBy(c).limit(max_columns + 1).collect()]
+                if len(levels) > max_columns:  # too many columns: the same rows in sparse form
+                    codes, n = dense_codes(both, c)
+                    tr, te = sparse_onehot(filled_tr, c, codes, n), sparse_onehot(filled_te, c, codes, n)
+                    continue
                 expand = {c: [(f"{c}_{v}", (col(c) == F.lit(v))) for v in levels]}
                 tr = replace_columns(filled_tr, {}, expand=expand)
                 te = replace_columns(filled_te, {}, expand=expand)

@@ -1,8 +1,9 @@
 """Categorical encoders (F5 OneHotEncoder, F6 OrdinalEncoder, F18 get_dummies,
 F19 LabelEncoder) and the shared dense-code builder.
 
-Wide encoders (one-hot, dummies) turn categories into columns, so their category
-list is collected and guarded by ``max_columns``.  Code encoders (ordinal, label,
+Wide encoders (one-hot, dummies) turn categories into columns while a column has at most
+``max_columns`` of them; beyond that nothing is collected and the column becomes the same
+row in sparse form, ``struct(size, index)`` (index NULL: no category set).  Code encoders (ordinal, label,
 first-seen) never collect values: the distinct values get dense codes through a
 range-partitioned sort with per-partition offsets, and rows are coded by a join
 that is broadcast only when the counted size of the code table allows it.
@@ -64,11 +65,20 @@ def join_codes(df: DataFrame, column: str, codes: DataFrame, n_codes: int, out:
     return res.drop("_ck", "_cv")
 
 
+def sparse_onehot(df: DataFrame, column: str, codes: DataFrame, n_codes: int, shift: int = 0) -> DataFrame:
+    """Replace ``column`` by its one-hot row in sparse form; ``shift`` leading categories are dropped."""
+    coded = join_codes(df, column, codes, n_codes)
+    index = F.when(col(column) >= shift, col(column) - shift)
+    return replace_columns(coded, {column: F.struct(F.lit(n_codes - shift).cast("long").alias("size"),
+                                                    index.cast("long").alias("index"))})
+
+
 def _categories(df: DataFrame, column: str, max_columns: int, with_counts: bool = False):
+    """The sorted categories, or None if there are more than ``max_columns``."""
     rows = (df.groupBy(col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
             .orderBy(F.col("v").asc_nulls_last()).limit(max_columns + 1).collect())
     if len(rows) > max_columns:
-        raise ValueError(f"column {column} has more than {max_columns} categories")
+        return None
     return [(r["v"], r["n"]) for r in rows] if with_counts else [r["v"] for r in rows]
 
 
@@ -95,11 +105,15 @@ class OneHotEncoder:
     def fit(self, df: DataFrame, cols: Sequence[str]) -> "OneHotModel":
         n_rows = None
         per_col: dict[str, tuple[list, list]] = {}
+        sparse: dict[str, tuple[DataFrame, int]] = {}
         for c in cols:
             if isinstance(self.categories, dict):
                 cats = [(v, None) for v in self.categories[c]]
             else:
                 cats = _categories(df, c, self.max_columns, with_counts=True)
+            if cats is None:
+                sparse[c] = self._code_table(df, c)
+                continue
             frequent, infrequent = [v for v, _ in cats], []
             if self.min_frequency is not None or self.max_categories is not None:
                 if n_rows is None:
@@ -114,7 +128,22 @@ class OneHotEncoder:
                 infrequent = [v for v in frequent if v not in kept]
                 frequent = [v for v in frequent if v in kept]
             per_col[c] = (frequent, infrequent)
-        return OneHotModel(list(cols), per_col, self.drop, self.handle_unknown, self.dtype)
+        return OneHotModel(list(cols), per_col, self.drop, self.handle_unknown, self.dtype, sparse)
+
+    def _code_table(self, df: DataFrame, c: str) -> tuple[DataFrame, int]:
+        """Codes of a column with many categories; infrequent ones share the last code."""
+        counts = df.groupBy(col(c)).agg(F.count(F.lit(1)).alias("_n"))
+        thr = self.min_frequency or 0
+        if isinstance(thr, float) and thr < 1:
+            thr = thr * df.count()
+        frequent = counts.filter(F.col("_n") >= thr)
+        if self.max_categories is not None:
+            frequent = frequent.orderBy(F.col("_n").desc(), col(c)).limit(self.max_categories - 1)
+        codes, n = dense_codes(frequent.select(c), c)
+        if not thr and self.max_categories is None:
+            return codes, n
+        rest = counts.join(codes, counts[c].eqNullSafe(codes[c]), "left_anti").select(c, F.lit(n).cast("long").alias("code"))
+        return codes.unionByName(rest), n + (0 if rest.isEmpty() else 1)
 
 
 @dataclass
@@ -124,10 +153,11 @@ class OneHotModel(Model):
     drop: str | None = None
     handle_unknown: str = "error"
     dtype: str = "double"
+    sparse: dict[str, tuple[DataFrame, int]] = field(default_factory=dict)
 
     def feature_names(self) -> dict[str, list[tuple[str, object]]]:
         out = {}
-        for c in self.cols:
+        for c in self.per_col:
             frequent, infrequent = self.per_col[c]
             names = [(f"{c}_{_name(v)}", ("eq", v)) for v in frequent]
             if infrequent:
@@ -138,7 +168,10 @@ class OneHotModel(Model):
         return out
 
     def check_unknown(self, df: DataFrame) -> None:
-        for c in self.cols:
+        for c, (codes, _) in self.sparse.items():
+            if not df.join(codes, df[c].eqNullSafe(codes[c]), "left_anti").isEmpty():
+                raise ValueError(f"Found unknown categories in column {c} during transform")
+        for c in self.per_col:
             known = self.per_col[c][0] + self.per_col[c][1]
             bad = df.filter(~col(c).isin([v for v in known if v is not None]) &
                             ~(col(c).isNull() & F.lit(None in known))).limit(1).count()
@@ -161,6 +194,8 @@ class OneHotModel(Model):
                         cond = cond | col(c).isNull()
                 items.append((name, F.when(cond, 1.0).otherwise(0.0).cast(self.dtype)))
             expand[c] = items
+        for c, (codes, n) in self.sparse.items():
+            df = sparse_onehot(df, c, codes, n, int(self.drop == "first"))
         return replace_columns(df, {}, expand=expand)
 
 
@@ -179,7 +214,14 @@ def get_dummies(df: DataFrame, columns: Sequence[str] | None = None, prefix: str
         prefixes = list(prefix)
     append = []
     for c, p in zip(columns, prefixes):
-        levels = [v for v in _categories(df, c, max_columns) if v is not None]
+        levels = _categories(df, c, max_columns)
+        if levels is None:
+            values = df.select(col(c)).distinct()
+            codes, n = dense_codes(values if dummy_na else values.filter(col(c).isNotNull()), c, order_cols=None)
+            df = sparse_onehot(df, c, codes, n, int(drop_first))
+            append.append((p, col(c)))
+            continue
+        levels = [v for v in levels if v is not None]
         items = [(f"{p}{prefix_sep}{_name(v)}", col(c) == F.lit(v)) for v in levels]
         if dummy_na:
             items.append((f"{p}{prefix_sep}nan", col(c).isNull()))

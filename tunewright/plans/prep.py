@@ -668,3 +668,16 @@ def q_column_transformer(spark: SparkSession, sf: str) -> DataFrame:
     train = fx(spark, sf).filter(~F.col("is_test")).select(*d.columns)
     out = ct.fit(train).transform(d)
     return _rounded(out, NUM)
+
+
+@register("prepare_many_levels", """
+ with l as (select l_orderkey * 10 + l_linenumber id, 'p' || l_partkey c from lineitem),
+ k as (select c, row_number() over (order by c) - 1 code from (select distinct c from l) d)
+ select id, (select count(*) from k) size, code "index" from l join k using (c)""")
+def q_prepare_many_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Automatic preparation of a low-ratio column with more levels than columns are wanted."""
+    from ..operators.autoprep import prepare
+    rows = read_table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.concat(F.lit("p"), "l_partkey").alias("c"))
+    tr, te, _ = prepare(rows.filter(F.col("id") % 5 != 0), rows.filter(F.col("id") % 5 == 0), "id", max_columns=50)
+    return tr.unionByName(te).select("id", "c.size", "c.index")
