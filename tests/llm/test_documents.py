@@ -414,3 +414,30 @@ def test_steps_cut_by_bytes():
     batch = pa.record_batch([pa.array(["a" * 10, None, "b" * 50, "c"]), pa.array([1, 2, 3, 4])], names=["t", "i"])
     cut = list(common.steps(iter([batch]), "t", 20))
     assert [b.column("i").to_pylist() for b in cut] == [[1, 2], [3], [4]]
+
+
+def test_search_shard_against_plain_scores():
+    rng = np.random.default_rng(3)
+    n = 700
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, int(rng.integers(0, 60)) if i % 50 else 900)) for i in range(n)]
+    texts[100:140] = [texts[99]] * 40  # ties beyond k
+    row, term, tf, lens = search.terms_of(pa.array(texts))
+    place = search.side_by_side(row, term, tf, lens)
+    assert sorted(place) == list(range(n))
+    doc = np.argsort(place)[row]
+    terms, at, df = np.unique(term, return_inverse=True, return_counts=True)
+    order = np.lexsort((doc, term))
+    shard = search.Shard(lens[place], terms.view(np.int64), np.cumsum(df), doc[order], tf[order], lens.mean())
+    assert 0 < shard.most.shape[1] < len(terms)
+    idf = np.log1p((n - df + 0.5) / (df + 0.5))
+    own = [at[row == i] for i in range(n)]
+    unknown = np.array([1], np.uint64)  # a word of no document
+    got = list(shard.search([(np.append(terms[a], unknown), np.append(idf[a], 9.0)) for a in own], 10))
+    impact = tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * lens[row] / lens.mean()))
+    for a, (docs, scores) in zip(own, got, strict=True):
+        weight = np.zeros(len(terms))
+        weight[a] = idf[a]
+        plain = np.bincount(row, weight[at] * impact, n)
+        kth = max(np.sort(plain)[-10], 1e-300)
+        assert set(place[docs]) == set(np.flatnonzero(plain >= kth * (1 - 1e-12)))
+        np.testing.assert_allclose(scores, plain[place[docs]], rtol=1e-12)
