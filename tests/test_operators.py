@@ -14,7 +14,8 @@ from tunewright.functions.stats import column_modes, exact_quantiles
 from tunewright.operators.encode import LabelEncoder, OneHotEncoder, OrdinalEncoder, dense_codes, get_dummies
 from tunewright.operators.frame import dropna, fillna
 from tunewright.operators.impute import SimpleImputer
-from tunewright.operators.metrics import classification_metrics, regression_metrics
+from tunewright.operators import search
+from tunewright.operators.metrics import classification_metrics, regression_metrics, stratified_folds
 from tunewright.operators.poly import PolynomialFeatures
 from tunewright.operators.scale import MinMaxScaler, Normalizer, RobustScaler, StandardScaler
 from tunewright.operators.select import VarianceThreshold
@@ -460,3 +461,35 @@ def test_scaler_variances_closed_form_matches_numpy(spark):
     assert got[best][1] and sum(c for _, c in got.values()) == 1
     empty = spark.createDataFrame([(None, 1.0)], "e double, x double")
     assert all(not r.chosen and r.variance is None for r in scaler_variances(empty, ["e", "x"]).collect())
+
+
+@pytest.mark.parametrize("model,label,objective,settings", [
+    ("RandomForestClassifier", "cls", "f1", [{"n_estimators": "5", "max_depth": "2"}, {"n_estimators": "5"}]),
+    ("GradientBoostingClassifier", "cls", "accuracy", [{"n_estimators": "3"}]),
+    ("SVC", "cls", "accuracy", [{"C": "1", "kernel": "linear", "max_iter": "5"}]),
+    ("GradientBoostingRegressor", "y", "neg_mean_squared_error", [{"n_estimators": "3"}]),
+])
+def test_search_fits_each_kind_of_model(spark, model, label, objective, settings):
+    d = spark.range(120).select("id", (F.col("id") % 10).cast("double").alias("x"),
+                                F.when(F.col("id") % 10 > 4, 1).otherwise(0).alias("cls"),
+                                (F.col("id") % 10 * 3).cast("double").alias("y"))
+    kwargs = {"kernel": "linear", "max_iter": "5"} if model == "SVC" else {"n_estimators": "3", "n_jobs": "-1"}
+    named = [(", ".join(f"{k}={v}" for k, v in s.items()), s) for s in settings]
+    r = search.random_search(d, d, ["x"], label, model, kwargs, named, objective, folds=2)
+    assert r.trials.count() == 2 * len(settings) and r.summary.count() == len(settings)
+    assert r.best_setting in dict(named) and r.ignored == (["kernel"] if model == "SVC" else ["n_jobs"])
+    if label == "cls":
+        assert r.optimized["accuracy"] > 0.9
+    else:
+        assert r.optimized["r2"] > 0.5
+
+
+def test_kernels_without_an_estimator_are_refused_not_replaced():
+    with pytest.raises(ValueError):
+        search.translate("SVC", {"kernel": "rbf"}, 10)
+
+
+def test_folds_of_repeated_ids_keep_every_row(spark):
+    d = spark.range(100).select((F.col("id") % 25).alias("id"), F.when(F.col("id") % 3 > 0, F.col("id") % 2).alias("y"))
+    out = stratified_folds(d, "y", "id", 5)
+    assert out.count() == 100 and out.columns == ["id", "y", "fold"]

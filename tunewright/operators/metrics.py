@@ -66,14 +66,13 @@ def stratified_folds(df: DataFrame, label: str, id_col: str, k: int = 5, salt: s
     ``fold = (rank within label) mod k``.
     """
     from .encode import dense_codes
-    h = F.xxhash64(F.concat(F.lit(salt), col(id_col).cast("string")))
-    keyed = df.select("*", h.alias("_h"))
-    # dense rank of (label, hash, id) over all rows, then the offset of each label
-    keys = keyed.select(col(label).alias("_lab"), "_h", col(id_col).alias("_id"))
-    coded, _ = dense_codes(keys, "_id", order_cols=["_lab", "_h", "_id"])
-    first = coded.groupBy("_lab").agg(F.min("code").alias("_first"))
+    # the rows themselves are ranked, so ids need not be unique
+    keyed = df.select(F.struct("*").alias("_row"), col(label).alias("_lab"),
+                      F.xxhash64(F.concat(F.lit(salt), col(id_col).cast("string"))).alias("_h"),
+                      col(id_col).alias("_id"))
+    coded, _ = dense_codes(keyed, "_id", order_cols=["_lab", "_h", "_id"])
+    first = coded.groupBy(F.col("_lab").alias("_of")).agg(F.min("code").alias("_first"))
     if first.count() <= 100_000:  # one row per class: broadcast once its size is known
         first = F.broadcast(first)
-    ranked = coded.join(first, "_lab")
-    folds = ranked.select(F.col("_id"), ((F.col("code") - F.col("_first")) % k).cast("int").alias("fold"))
-    return keyed.join(folds, col(id_col) == F.col("_id")).drop("_id", "_h")
+    ranked = coded.join(first, F.col("_lab").eqNullSafe(F.col("_of")))
+    return ranked.select("_row.*", ((F.col("code") - F.col("_first")) % k).cast("int").alias("fold"))

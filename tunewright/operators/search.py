@@ -7,9 +7,12 @@ holds the small grid and the per-setting scores.
 
 from __future__ import annotations
 
+import statistics
 from collections.abc import Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,17 +105,105 @@ def grid_frame(spark: SparkSession, spaces: dict | None = None) -> DataFrame:
 
 def sample_grid(records: DataFrame, grid: DataFrame, n_iter: int = 20, seed: int = 42,
                 key: Sequence[str] = ("notebook", "cell_index")) -> DataFrame:
-    """M3: up to ``n_iter`` settings per model record, drawn without replacement by a seeded hash order."""
+    """M3: up to ``n_iter`` settings per model record, drawn without replacement by a seeded md5 order."""
     from pyspark.sql import Window
     j = records.join(F.broadcast(grid), records["model_type"] == grid["model"])  # grid: fixed, <= 675 rows/model
-    h = F.xxhash64(F.lit(seed), *[F.col(k) for k in key], F.col("setting"))
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key], F.col("setting")))
     w = Window.partitionBy(*key).orderBy(h, F.col("setting"))  # one record's grid
     return j.withColumn("draw", F.row_number().over(w)).filter(F.col("draw") <= n_iter).drop("model")
 
 
+def distinct_grid(spark: SparkSession, spaces: dict | None = None) -> DataFrame:
+    """J8 for draws: of the settings that mean the same Spark estimator, the one of smallest text; settings that no
+    Spark estimator has (kernels) are left out.  (model, setting, params)."""
+    from itertools import product
+    rows = []
+    for model, space in (spaces or {**HYPER_SPACE_CLASS, **HYPER_SPACE_REGR}).items():
+        if ESTIMATORS.get(model) is None:
+            continue
+        first: dict[tuple, tuple] = {}
+        for values in product(*space.values()):
+            params = {k: _text(v) for k, v in zip(space, values)}
+            if params.get("kernel", "linear") != "linear":
+                continue
+            same = tuple(sorted(translate(model, params, 1)[0].items()))
+            one = ", ".join(f"{k}={v}" for k, v in params.items())
+            first[same] = min(first.get(same, (one, params)), (one, params), key=lambda x: x[0])
+        rows += [(model, one, params) for one, params in first.values()]
+    return spark.createDataFrame(rows, "model string, setting string, params map<string,string>")
+
+
 # ----------------------------------------------------------------------------- estimator registry (M2)
 
 
+# Recorded model type -> Spark ML estimator that stands for it (None: no such estimator).
+ESTIMATORS = {
+    "RandomForestClassifier": "RandomForestClassifier",
+    "GradientBoostingClassifier": "GBTClassifier",
+    "LogisticRegression": "LogisticRegression",
+    "SVC": "LinearSVC",
+    "KNeighborsClassifier": None,
+    "XGBClassifier": "GBTClassifier",
+    "LGBMClassifier": "GBTClassifier",
+    "RandomForestRegressor": "RandomForestRegressor",
+    "GradientBoostingRegressor": "GBTRegressor",
+    "LinearRegression": "LinearRegression",
+    "SVR": None,
+    "KNeighborsRegressor": None,
+    "XGBRegressor": "GBTRegressor",
+    "LGBMRegressor": "GBTRegressor",
+}
+# Keyword arguments that have a Spark ML parameter.
+MAPPED_KWARGS = ("n_estimators", "max_depth", "min_samples_leaf", "max_features", "learning_rate", "subsample", "C",
+                 "penalty", "max_iter")
+
+
+def registry_frame(spark: SparkSession) -> DataFrame:
+    """One row per known model type: task, Spark estimator (NULL: none), number of distinct settings to draw from.
+    A fixed table of 14 rows."""
+    rows = [(m, "classification", ESTIMATORS[m]) for m in CLASSIFIERS] + [
+        (m, "regression", ESTIMATORS[m]) for m in REGRESSORS]
+    counts = distinct_grid(spark).groupBy(F.col("model").alias("model_type")).agg(
+        F.count("*").alias("n_settings"))
+    return spark.createDataFrame(rows, "model_type string, task string, estimator string").join(
+        counts, "model_type", "left").withColumn("n_settings", F.coalesce("n_settings", F.lit(0).cast("bigint")))
+
+
+def match_records(records: DataFrame) -> DataFrame:
+    """Records whose type the registry knows, with task, estimator, settings and the objective of their score
+    (unknown or missing scores: accuracy, r2)."""
+    j = records.join(F.broadcast(registry_frame(records.sparkSession)), "model_type")
+
+    def named(table: dict, default: str):
+        out = F.lit(default)
+        for k, v in table.items():
+            out = F.when(F.col("score") == k, F.lit(v)).otherwise(out)
+        return out
+
+    return j.withColumn("objective", F.when(F.col("task") == "classification", named(SCORING_CLASS, "accuracy"))
+                        .otherwise(named(SCORING_REGR, "r2")))
+
+
+def unmatched_records(records: DataFrame) -> DataFrame:
+    """U4: records that the registry does not know, by anti-join; they are reported, not fitted."""
+    return records.join(F.broadcast(registry_frame(records.sparkSession).select("model_type")), "model_type", "left_anti")
+
+
+def plan_records(records: DataFrame, n_iter: int = 20) -> DataFrame:
+    """What the search does with each matched record: ``status`` search (original and draws), original (no space) or
+    unsupported (no Spark estimator, or a kernel that is not linear), the keyword arguments that the estimator does
+    not have (``ignored``, sorted names) and the number of settings drawn."""
+    m = match_records(records)
+    kernel = F.when(F.col("model_type") == "SVC", F.coalesce(F.element_at("kwargs", F.lit("kernel")), F.lit("rbf")))
+    known = F.array(*[F.lit(k) for k in MAPPED_KWARGS])
+    m = m.withColumn("status", F.when(F.col("estimator").isNull() | (kernel != "linear"), "unsupported")
+                     .when(F.col("n_settings") > 0, "search").otherwise("original"))
+    return (m.withColumn("ignored", F.array_join(F.array_sort(F.array_except(F.map_keys("kwargs"), known)), ","))
+            .withColumn("n_draws", F.when(F.col("status") == "search",
+                                          F.least(F.col("n_settings"), F.lit(n_iter).cast("bigint")))
+                        .otherwise(F.lit(0).cast("bigint"))))
+
+
 MAX_DEPTH = 30  # of Spark ML's trees; also stands for an unlimited depth
 
 
@@ -126,6 +217,8 @@ def _max_features(v):
 
 def translate(model_type: str, params: dict, n_rows: int) -> tuple[dict, list[str]]:
     """Estimator kwargs -> Spark ML params; unmapped kwargs are returned, not dropped silently."""
+    if params.get("kernel", "linear") != "linear":
+        raise ValueError(f"kernel {params['kernel']}: only linear support vectors are fitted")
     out, ignored = {}, []
     for k, v in params.items():
         if v is None or v == "None":
@@ -187,11 +280,13 @@ def make_estimator(model_type: str, params: dict, features: str = "features", la
 
 @dataclass
 class SearchResult:
-    trials: DataFrame      # (setting, mean_score, std_score)
+    trials: DataFrame      # (setting, fold, score)
     summary: DataFrame     # (setting, mean_score, std_score)
     best_setting: str
     original: dict
     optimized: dict
+    ignored: list[str]     # keyword arguments of the original that the Spark estimator does not have
+    best_model: object
 
 
 def _score(pred: DataFrame, objective: str, label: str = "label") -> float:
@@ -229,12 +324,9 @@ def random_search(train: DataFrame, valid: DataFrame, features: Sequence[str], l
     """M1 + M4 + M5: fit the original, cross-validate every setting, refit the best, score both.
 
     Folds are stratified by label for classification (hash order inside each class, no
-    single-partition window) and by id hash for regression.  Spark ML's CrossValidator
-    fits ``parallelism`` settings at a time; mean and population std of the fold scores
-    come from ``avgMetrics`` / ``stdMetrics``.
+    single-partition window) and by id hash for regression.  ``parallelism`` fits run at a time;
+    ``trials`` has one row per setting and fold, ``summary`` mean and population std per setting.
     """
-    from pyspark.ml.tuning import CrossValidator
-
     from .autoprep import hash_bucket
     from .metrics import classification_metrics, regression_metrics, stratified_folds
     spark = train.sparkSession
@@ -258,7 +350,7 @@ def random_search(train: DataFrame, valid: DataFrame, features: Sequence[str], l
         r = regression_metrics(pred, "label", "prediction").first()
         return {k: float(r[k]) for k in ("mse", "mae", "r2")}
 
-    params, _ = translate(model_type, original_kwargs, n)
+    params, ignored = translate(model_type, original_kwargs, n)
     original = metrics(make_estimator(model_type, params).fit(tr).transform(va))
     est = make_estimator(model_type, {})
     maps = []
@@ -266,17 +358,25 @@ def random_search(train: DataFrame, valid: DataFrame, features: Sequence[str], l
         sp, _ = translate(model_type, p, n)
         maps.append({est.getParam(k): v for k, v in sp.items() if est.hasParam(k)})
     evaluator, sign = _evaluator(objective)
-    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=evaluator, foldCol="fold", numFolds=folds,
-                        parallelism=parallelism, seed=42)
-    cv_model = cv.fit(tr)
-    rows = [(setting, sign * float(m), float(sd))
-            for (setting, _), m, sd in zip(settings, cv_model.avgMetrics, cv_model.stdMetrics)]
-    summary = spark.createDataFrame(rows, "setting string, mean_score double, std_score double")
-    best_i = max(range(len(rows)), key=lambda i: (rows[i][1], -i))  # first best, like the search itself
-    optimized = metrics(cv_model.bestModel.transform(va))
+
+    def fold_score(job: tuple[int, int]) -> float:
+        fold, i = job
+        fitted = est.fit(tr.filter(F.col("fold") != fold), maps[i])
+        return sign * float(evaluator.evaluate(fitted.transform(tr.filter(F.col("fold") == fold))))
+
+    jobs = [(fold, i) for fold in range(folds) for i in range(len(settings))]
+    with ThreadPool(parallelism) as pool:  # each fit is a Spark job of its own
+        scores = pool.map(inheritable_thread_target(spark)(fold_score), jobs, 1)
+    rows = [(settings[i][0], fold, s) for (fold, i), s in zip(jobs, scores)]
+    trials = spark.createDataFrame(rows, "setting string, fold int, score double")
+    summary = trials.groupBy("setting").agg(F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("std_score"))
+    means = [statistics.fmean(s for (_, j), s in zip(jobs, scores) if j == i) for i in range(len(settings))]
+    best_i = max(range(len(means)), key=lambda i: (means[i], -i))  # first best, like the search itself
+    best_model = est.fit(tr, maps[best_i])
+    optimized = metrics(best_model.transform(va))
     tr.unpersist()
     va.unpersist()
-    return SearchResult(summary, summary, rows[best_i][0], original, optimized)
+    return SearchResult(trials, summary, settings[best_i][0], original, optimized, ignored, best_model)
 
 
 def submission(model, test: DataFrame, features: Sequence[str], id_col: str) -> DataFrame:

@@ -299,24 +299,30 @@ def q_sweep_best_value(spark: SparkSession, sf: str) -> DataFrame:
 # ----------------------------------------------------------------------------- M1-M7 (rows only)
 
 
-@register("search_lr")
-def q_search_lr(spark: SparkSession, sf: str) -> DataFrame:
-    """Model search for the recorded LogisticRegression: original vs best of the sampled grid.
-
-    Features: impute from train, label codes; split by id hash; 5 hash folds; objective accuracy.
-    """
+def _lr_search(spark: SparkSession, sf: str):
+    """(result, test table, features) of the search for the recorded LogisticRegression on every column."""
     from ..operators.encode import LabelEncoder
     from ..operators.impute import TrainStatImputer
     train, test = fx_split(spark, sf)
     imp = TrainStatImputer(exclude=("id", "target", "is_test")).fit(train)
     tr, te = imp.transform(train), imp.transform(test)
-    for c in ("c1", "c2"):
+    for c in ("c1", "c2", "c3"):
         le = LabelEncoder().fit([tr, te], c)
         tr, te = le.transform(tr), le.transform(te)
-    feats = ["f1", "f2", "f3", "c1", "c2"]
+    feats = ["f1", "f2", "f3", "c1", "c2", "c3"]
     res = random_search(tr, te, feats, "target", "LogisticRegression", {"C": 1.0},
                         [(s, dict(kv.split("=") for kv in s.split(", "))) for s in _lr_settings()],
                         objective="accuracy", folds=5)
+    return res, te, feats
+
+
+@register("search_lr")
+def q_search_lr(spark: SparkSession, sf: str) -> DataFrame:
+    """Model search for the recorded LogisticRegression: original vs best of the sampled grid.
+
+    Features: impute from train, label codes; split by id hash; 5 hash folds; objective accuracy.
+    """
+    res, _, _ = _lr_search(spark, sf)
     o, p = res.original, res.optimized
     rows = [("fx::LogisticRegression", "original", m, float(o[m])) for m in o] + \
            [("fx::LogisticRegression", "optimized", m, float(p[m])) for m in p]
@@ -326,19 +332,16 @@ def q_search_lr(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("submission")
 def q_submission(spark: SparkSession, sf: str) -> DataFrame:
-    """P10 / M6: best estimator of the search (here: LR on train-imputed, label-coded fx) predicts the test ids."""
-    from ..operators.encode import LabelEncoder
-    from ..operators.impute import TrainStatImputer
-    from ..operators.search import assemble, make_estimator, submission
-    train, test = fx_split(spark, sf)
-    imp = TrainStatImputer(exclude=("id", "target", "is_test")).fit(train)
-    tr, te = imp.transform(train), imp.transform(test)
-    for c in ("c1", "c2"):
-        le = LabelEncoder().fit([tr, te], c)
-        tr, te = le.transform(tr), le.transform(te)
-    feats = ["f1", "f2", "f3", "c1", "c2"]
-    model = make_estimator("LogisticRegression", {}).fit(assemble(tr, feats, "target"))
-    return submission(model, te, feats, "id")
+    """P10 / M6: the best model of the search predicts the test ids."""
+    from ..operators.search import submission
+    res, te, feats = _lr_search(spark, sf)
+    return submission(res.best_model, te, feats, "id")
+
+
+@register("search_trials")
+def q_search_trials(spark: SparkSession, sf: str) -> DataFrame:
+    """M4: one row per setting and fold of the search."""
+    return _lr_search(spark, sf)[0].trials
 
 
 @register("raw_vs_prepared")
