@@ -155,6 +155,20 @@ def test_keep_one(spark):
     assert sorted(r.doc_id for r in out.collect()) == sorted(d for d, _, c in components(rows, 5, 80) if d == c)
 
 
+def test_keep_one_with_null_and_repeated_ids(spark):
+    def text(name, n=40):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    rows = [(1, text("a")), (None, text("a") + " tail"), (None, text("b")), (None, text("c")), (None, text("c") + " tail"),
+            (2, text("d")), (3, text("d") + " tail"), (3, text("e")), (4, text("f")), (4, text("f") + " tail"),
+            (4, text("g")), (5, text("h")), (5, text("h")), (None, None), (None, ""), (5, ""), (5, " ")]
+    for docs in (documents(spark, rows), documents(spark, rows).repartition(5)):
+        out = [(r.doc_id, (r.text or "").split()[:1]) for r in ngram_join.keep_one(docs).collect()]
+        assert counted((d, *w) for d, w in out) == collections.Counter(
+            [(1, "a0"), (None, "b0"), (None, "c0"), (2, "d0"), (3, "e0"), (4, "f0"), (4, "g0"), (5, "h0"), (None,), (None,),
+             (5,), (5,)])
+
+
 # mixing
 
 def test_mixing_counts_follow_the_weights(spark):
