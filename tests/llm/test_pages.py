@@ -174,6 +174,20 @@ def test_article_by_markup(article, want):
     assert has and (got == want or want.endswith("© F") and got == want.removesuffix(" © F"))
 
 
+LONGER = "<p>the long text of the story lies in here</p>"
+WHOLE = [
+    ("<main></main><article>all of the text</article>", "all of the text"),
+    (f"<div>{LONGER}{LONGER}</div><article>one small teaser</article>", "\n\n".join([LONGER[3:-4]] * 2 + ["one small teaser"])),
+    ("<article>part one of it</article><article>part two</article>", "part one of it\n\npart two"),
+    (f"<p>before</p><article>{LONGER}</article><p>after</p>", f"before\n\n{LONGER[3:-4]}\n\nafter")]
+
+
+def test_text_outside_of_one_element_stays(spark):
+    rows = [(i, f"http://w{i}.example/", page(a)) for i, (a, _) in enumerate(WHOLE)]
+    got = {r.page_id: r.text for r in html_extract.extract(pages(spark, rows)).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(WHOLE)}
+
+
 @given(st.text(alphabet="<>/!-\"'= pbarticlenavdiv&;amp\n", max_size=200))
 @settings(max_examples=300, deadline=None)
 def test_any_markup_parses(text):
