@@ -174,6 +174,23 @@ def test_article_by_markup(article, want):
     assert has and (got == want or want.endswith("© F") and got == want.removesuffix(" © F"))
 
 
+LOOSE = [
+    ("<article><section id='related-work'><h2 id=search>Work</h2><p id=\"share-price\">price</p></section></article>",
+     "Work\n\nprice"),
+    ("<article><p>see <a href='/story?id=related' data-id=share class=share>this text</a> too</p></article>", "see this text too"),
+    ("<article>a<svg class=i />b<p>c</p></article>", "ab\n\nc"),
+    ("<article>a<svg><p>b</p><canvas><svg><text>no</text></svg>c</article>", "a\n\nb\n\nc"),
+    ("<article>a <object><svg>x</svg><object>y</object>z</object>b<p role=navigation>n</p></article>", "a b"),
+    ("<article>a<svg><style>p{}</svg>b</article>", "ab"),
+    ("<div id=sidebar>s</div><article>a</article>", "a")]
+
+
+@pytest.mark.parametrize("article,want", LOOSE)
+def test_markup_rules_drop_nothing_else(article, want):
+    blocks, has = html_extract.blocks_of(page(article, foot="F"))
+    assert has and "\n\n".join(t for k, t in blocks if k == html_extract.MAIN) == want
+
+
 LONGER = "<p>the long text of the story lies in here</p>"
 WHOLE = [
     ("<main></main><article>all of the text</article>", "all of the text"),
