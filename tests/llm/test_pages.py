@@ -244,6 +244,26 @@ def test_repeated_runs_go_where_markup_is_silent(spark, monkeypatch):
         assert got[50] == html.unescape(site[3:-4]) + "\n\nalone"  # one page of a host repeats nothing
 
 
+def test_repetition_needs_many_distinct_texts(spark):
+    def own(i, n=12):
+        return " ".join(f"u{i}x{j}" for j in range(n))
+
+    site = "Welcome to our site please enjoy your stay with us today"
+    rows = [(i, f"http{'s' * (i % 2)}://copies.example/?utm_source={i}", f"<body><p>{own(0)}</p></body>") for i in range(4)]
+    rows += [(10 + i, f"http://two.example/{i}", f"<p>{own(1)}</p><p>{own(20 + i)}</p>") for i in range(2)]
+    rows += [(20 + i, f"http://site.example/{i}", f"<p>{site}</p><p>{own(30 + i)}</p><p>Summary</p><p>{own(40 + i)}</p>"
+              "<p>Contact</p>") for i in range(8)]
+    rows += [(30 + i, f"http://big.example/{i}", f"<p>{own(60) if i < 3 else own(70 + i)}</p><p>{own(50 + i)}</p>")
+             for i in range(20)]
+    rows += [(60 + i, f"http://bare.example/{i}", f"<p>{site}</p>" + f"<p>{own(90 + i)}</p>" * (i > 0)) for i in range(5)]
+    got = {r.page_id: r.text for r in html_extract.extract(pages(spark, rows).repartition(3)).collect()}
+    assert all(got[i] == own(0) for i in range(4))  # copies prove nothing
+    assert all(got[10 + i] == f"{own(1)}\n\n{own(20 + i)}" for i in range(2))
+    assert all(got[20 + i] == f"{own(30 + i)}\n\nSummary\n\n{own(40 + i)}" for i in range(8))
+    assert all(got[30 + i].startswith(own(60) if i < 3 else own(70 + i)) for i in range(20))  # 3 of 20
+    assert got[60] == site and all(got[60 + i] == own(90 + i) for i in range(1, 5))
+
+
 def test_run_ranks_group_equal_runs():
     rng = np.random.default_rng(3)
     tokens = rng.integers(0, 3, 300).astype(np.uint64)
