@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunewright.llm import (bpe, exact_dedup, html_extract, mixing, ngram_join, search, token_counts, toxicity,
+from tunewright.llm import (bisector, bpe, exact_dedup, html_extract, mixing, ngram_join, search, token_counts, toxicity,
                             url_filter, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +164,31 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_bpe")
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def _cluster_sql(k: int = 8, rounds: int = 10) -> str:
+    """The rounds one after the other, each a few common table expressions over (row, component) pairs."""
+    parts = ["""kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id,
+  list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS HUGEINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+             """x AS MATERIALIZED (SELECT r, unnest(v) AS a, unnest(range(64)) AS d FROM kept)""",
+             f"""c0 AS MATERIALIZED (SELECT k, unnest(v) AS a, unnest(range(64)) AS d FROM (SELECT v,
+  row_number() OVER (ORDER BY sha256('3:' || vec_id), r) - 1 AS k FROM kept) WHERE k < {k})"""]
+    near = """a{i} AS MATERIALIZED (SELECT r, arg_min(k, (dist, k)) AS k, min(dist) AS dist FROM (
+  SELECT x.r, c.k, sum((x.a - c.a) * (x.a - c.a)) AS dist FROM x JOIN c{i} c USING (d) GROUP BY 1, 2) GROUP BY 1)"""
+    for i in range(rounds):
+        parts += [near.format(i=i), f"""m{i} AS (SELECT k, d, sum(a) AS s, CAST(count(*) AS HUGEINT) AS n
+  FROM x JOIN a{i} USING (r) GROUP BY 1, 2)""",
+                  f"""c{i + 1} AS MATERIALIZED (SELECT k, d,
+  CASE WHEN n IS NULL THEN c.a ELSE (s - ((s % n) + n) % n) // n END AS a FROM c{i} c LEFT JOIN m{i} USING (k, d))"""]
+    parts += [near.format(i=rounds), f"""h AS (SELECT k, sha256(string_agg(CAST(a AS VARCHAR), ',' ORDER BY d)) AS s
+  FROM c{rounds} GROUP BY 1)"""]
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, CAST(k AS INT) AS cluster, CAST(dist AS BIGINT) AS distance,
+  CAST(sum(dist) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(dist) OVER () AS BIGINT) AS inertia,
+  h.s AS centroid_sha256 FROM a{rounds} JOIN kept USING (r) JOIN h USING (k)"""
+
+
+@register("op13_bisector", _cluster_sql())
+def op13_bisector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bisector.cluster_table(table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed="3:", scale=1024, dims=64)
