@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunewright.llm import (bisector, bpe, exact_dedup, html_extract, mixing, ngram_join, search, token_counts, toxicity,
-                            url_filter, warc)
+from tunewright.llm import (bisector, bpe, exact_dedup, html_extract, mixing, ngram_join, prefix_trie, search, token_counts,
+                            toxicity, url_filter, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -192,3 +192,33 @@ SELECT vec_id, CAST(k AS INT) AS cluster, CAST(dist AS BIGINT) AS distance,
 @register("op13_bisector", _cluster_sql())
 def op13_bisector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bisector.cluster_table(table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed="3:", scale=1024, dims=64)
+
+
+@register("op11_prefix_trie", r"""
+WITH a AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  WHERE conv_id IS NOT NULL),
+t AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST,
+  substr(sha256(length(role) || ':' || role || text), 1, 32)) AS p, dense_rank() OVER (ORDER BY role, text) AS id,
+  strlen(text) AS bytes FROM a),
+h AS (SELECT c, c - c % 5 AS base, xor(4294967295, list_reduce(list_transform(range(1, length(CAST(c AS VARCHAR)) + 1),
+  lambda i: CAST(ascii(CAST(c AS VARCHAR)[i]) AS UBIGINT)), lambda crc, b: list_reduce(range(8),
+  lambda x, y: xor(x >> 1, 3988292384 * (x & 1)), xor(crc, b)), CAST(4294967295 AS UBIGINT))) % 9 AS h
+  FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT h.c, t.p AS p, id, bytes FROM h JOIN t ON t.c = h.base AND t.p <= h.h
+  UNION ALL SELECT h.c, 1000000 + t.p, id, bytes FROM h JOIN t ON t.c = h.c AND t.p > h.h),
+l AS (SELECT h.c, coalesce(list(id ORDER BY p) FILTER (id IS NOT NULL), []) AS ids,
+  coalesce(list(bytes ORDER BY p) FILTER (id IS NOT NULL), []) AS sizes FROM h LEFT JOIN r USING (c) GROUP BY 1),
+n AS (SELECT c, d, len(ids) = d AS stops, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS bytes,
+  min(c) OVER (PARTITION BY d, ids[1:d]) AS node FROM (SELECT *, unnest(range(0, len(ids) + 1)) AS d FROM l)),
+g AS (SELECT d, node, count(*) AS n_convs, (count(*) - 1) * max(bytes) AS saved, coalesce(string_agg(CAST(c AS VARCHAR),
+  ',' ORDER BY c) FILTER (stops), '') AS stops FROM n GROUP BY 1, 2),
+u AS (SELECT g.*, up.node AS parent FROM g LEFT JOIN n up ON up.c = g.node AND up.d = g.d - 1),
+k AS (SELECT d - 1 AS d, parent AS node, count(*) AS n_children FROM u WHERE d > 0 GROUP BY 1, 2),
+w AS (SELECT u.*, coalesce(n_children, 0) AS n_children FROM u LEFT JOIN k USING (d, node)),
+s AS (SELECT n.d, n.node, sum(w.saved) AS saved_tokens, count(*) FILTER (w.n_children = 0) AS n_leaves
+  FROM w JOIN n ON n.c = w.node AND n.d <= w.d GROUP BY 1, 2)
+SELECT node AS conv_id, CAST(d AS BIGINT) AS depth, parent AS parent_conv_id, n_convs, n_children, n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(stops) AS ends_sha256 FROM w JOIN s USING (d, node)
+""")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
