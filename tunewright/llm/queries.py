@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunewright.llm import (bisector, bpe, exact_dedup, html_extract, mixing, ngram_join, prefix_trie, search, token_counts,
-                            toxicity, url_filter, warc)
+from tunewright.llm import (bisector, bpe, exact_dedup, html_extract, lsh_forest, mixing, ngram_join, prefix_trie, search,
+                            token_counts, toxicity, url_filter, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -222,3 +222,27 @@ SELECT node AS conv_id, CAST(d AS BIGINT) AS depth, parent AS parent_conv_id, n_
 """)
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@register("op12_lsh_forest", r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+n AS MATERIALIZED (SELECT r, doc_id, len(s) AS n FROM s),
+t AS (SELECT r, unnest(s) AS t FROM s),
+k AS MATERIALIZED (SELECT r, md5(string_agg(t, chr(10) ORDER BY t)) AS k FROM t GROUP BY 1),
+f AS MATERIALIZED (SELECT k, min(r) AS r FROM k GROUP BY 1),
+p AS (SELECT a.r AS u, b.r AS v, count(*) AS m FROM (SELECT t.* FROM t JOIN f USING (r)) a
+  JOIN (SELECT t.* FROM t JOIN f USING (r)) b ON a.t = b.t AND a.r < b.r GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT u, v FROM p JOIN n a ON a.r = u JOIN n b ON b.r = v WHERE 100 * m >= 80 * (a.n + b.n - m)),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+reach AS (SELECT r AS a, r AS b FROM f UNION SELECT reach.a, e.v FROM reach JOIN e ON e.u = reach.b),
+least AS (SELECT k.k, min(doc_id) AS d FROM k JOIN n USING (r) GROUP BY 1),
+c AS (SELECT a AS r, min(least.d) AS c FROM reach JOIN f ON f.r = reach.b JOIN least USING (k) GROUP BY 1)
+SELECT n.doc_id, n.n AS n_shingles, coalesce(c.c, n.doc_id) AS component_id,
+  n.doc_id IS NOT DISTINCT FROM coalesce(c.c, n.doc_id) AS kept
+FROM n LEFT JOIN k USING (r) LEFT JOIN f USING (k) LEFT JOIN c ON c.r = f.r
+""")
+def op12_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_dedup(table(spark, sf_dir, "documents"), width=4, percent=80)
