@@ -1,5 +1,8 @@
 """Feature selection (F9 SelectKBest, F10 VarianceThreshold, F11 SelectFromModel, F12 RFE).
 
+SelectFromModel and RFE take a logistic model, a forest, or (``estimator="linear"``) least squares from additive
+statistics: one aggregate of the rows, whatever the number of eliminated features (``gram.py``).
+
 The ANOVA F statistic needs only per-class count, mean and population variance
 of every feature: one ``groupBy(label)`` with partial aggregation, so a class
 holding most rows costs no more than any other.  F is then derived from that
@@ -15,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import col
+from .gram import eliminate, least_squares, moments
 
 
 def anova_f(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
@@ -101,13 +105,26 @@ class SelectFromModel:
     estimator: str = "logistic"
     seed: int = 42
 
-    def fit(self, df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-        features = list(features)
-        data = _assemble(df, features, label).cache()
+    def importances(self, df: DataFrame, features: Sequence[str], label: str) -> list[float]:
+        if self.estimator == "linear":  # one row of coefficients: every norm is the absolute value
+            m = moments(df, [*features, label])
+            return [abs(float(c)) for c in least_squares(m, m.total(), features, label).coefficients]
         order = {"inf": float("inf"), "-inf": float("-inf")}.get(str(self.norm_order), None)
         order = float(self.norm_order) if order is None else order
-        imp = _importances(data, len(features), self.estimator, order, self.seed)
-        data.unpersist()
+        data = _assemble(df, features, label).cache()
+        try:
+            return _importances(data, len(features), self.estimator, order, self.seed)
+        finally:
+            data.unpersist()
+
+    def fit(self, df: DataFrame, features: Sequence[str], label: str, importances: Sequence[float] | None = None
+            ) -> DataFrame:
+        """(feature, importance, selected).  With ``prefit`` the importances of a fitted model are given and no model
+        is fitted; without them that is an error."""
+        features = list(features)
+        if self.prefit and importances is None:
+            raise ValueError("prefit: the importances of the fitted model are needed")
+        imp = list(importances) if self.prefit else self.importances(df, features, label)
         thr = self.threshold
         if thr is None:
             thr = "mean"  # an l1 penalty would use 1e-5, plain models use the mean
@@ -131,10 +148,10 @@ class RFE:
     n_features_to_select: int | float | None = None
     step: int | float = 1
     seed: int = 42
+    estimator: str = "logistic"
 
     def fit(self, df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-        """Recursive elimination with squared logistic coefficients; returns (feature, ranking, selected)."""
-        from pyspark.ml.feature import VectorSlicer
+        """Recursive elimination by squared coefficients; returns (feature, ranking, selected)."""
         features = list(features)
         n = len(features)
         target = n // 2 if self.n_features_to_select is None else self.n_features_to_select
@@ -142,8 +159,22 @@ class RFE:
             target = int(target * n)
         target = max(1, min(int(target), n))
         step = max(1, int(self.step * n)) if isinstance(self.step, float) and self.step < 1 else int(self.step)
+        if self.estimator == "linear":
+            m = moments(df, [*features, label])
+            rounds = [[features.index(f) for f in gone]
+                      for gone in eliminate(m, m.total(), features, label, target, step)]
+        else:
+            rounds = self._logistic_rounds(df, features, label, target, step)
+        # rank 1: kept; 2: gone in the last round; one more for every round before
+        ranking = dict.fromkeys(range(n), 1) | {a: r + 2 for r, gone in enumerate(reversed(rounds)) for a in gone}
+        rows = [(features[i], int(ranking[i]), ranking[i] == 1) for i in range(n)]
+        return df.sparkSession.createDataFrame(rows, "feature string, ranking int, selected boolean")
+
+    def _logistic_rounds(self, df: DataFrame, features: list[str], label: str, target: int, step: int
+                         ) -> list[list[int]]:
+        from pyspark.ml.feature import VectorSlicer
         data = _assemble(df, features, label).cache()
-        alive = list(range(n))
+        alive = list(range(len(features)))
         rounds: list[list[int]] = []
         while len(alive) > target:
             sliced = VectorSlicer(inputCol="_features", outputCol="_sub", indices=alive).transform(data)
@@ -156,7 +187,4 @@ class RFE:
             rounds.append([alive[j] for j in worst])
             alive = [a for j, a in enumerate(alive) if j not in set(worst)]
         data.unpersist()
-        # rank 1: kept; 2: gone in the last round; one more for every round before
-        ranking = {a: 1 for a in alive} | {a: r + 2 for r, gone in enumerate(reversed(rounds)) for a in gone}
-        rows = [(features[i], int(ranking[i]), ranking[i] == 1) for i in range(n)]
-        return df.sparkSession.createDataFrame(rows, "feature string, ranking int, selected boolean")
+        return rounds

@@ -472,7 +472,7 @@ def q_label_first_seen(spark: SparkSession, sf: str) -> DataFrame:
 
 from ..operators.autoprep import encoding_choice, prepare, scaler_variances  # noqa: E402
 from ..operators.poly import PolynomialFeatures  # noqa: E402
-from ..operators.select import RFE, SelectFromModel, SelectKBest, VarianceThreshold  # noqa: E402
+from ..operators.select import SelectKBest, VarianceThreshold  # noqa: E402
 from .fixtures import FX_NUM_SQL, fx_num  # noqa: E402
 
 POLY_IN = ["l_quantity", "l_discount", "l_tax"]
@@ -528,18 +528,6 @@ def q_variance_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("feature", F.col("variance").cast("float").alias("variance"), "selected")
 
 
-@register("select_from_model")
-def q_select_from_model(spark: SparkSession, sf: str) -> DataFrame:
-    d = fx(spark, sf).filter(~F.col("is_test")).na.drop(subset=NUM)
-    return SelectFromModel(threshold="mean").fit(d, NUM, "target")
-
-
-@register("rfe")
-def q_rfe(spark: SparkSession, sf: str) -> DataFrame:
-    d = fx(spark, sf).filter(~F.col("is_test")).na.drop(subset=NUM)
-    return RFE(n_features_to_select=1, step=1).fit(d, NUM, "target")
-
-
 def _scaler_stats_sql(src: str, prefix: str) -> str:
     return ", ".join(
         f"avg({c}) {prefix}a_{c}, stddev_pop({c}) {prefix}s_{c}, min({c}) {prefix}lo_{c}, max({c}) {prefix}hi_{c}, "
