@@ -98,27 +98,35 @@ def word_hashes(data: np.ndarray, is_word: np.ndarray, start: np.ndarray, length
     return mix64(np.add.reduceat(inside, first) + length.astype(np.uint64))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, rows_a_task: int | None = None) -> DataFrame:
     """(u, v) -> (node, label): label is the smallest node of the component.
 
     Large-star and small-star steps: every step only needs the smallest neighbour of each node, an aggregate
     with map-side combine, so no neighbour list is ever gathered; a hub's edges stay spread by the skew join.
-    Null ends are ignored; an empty edge table gives an empty result."""
+    Null ends are ignored; an empty edge table gives an empty result.  ``rows_a_task`` bounds the number of tasks that
+    write shuffle files by the number of edges (they are as many as shuffle partitions without it)."""
+    def few(df: DataFrame) -> DataFrame:
+        return df if tasks is None else df.coalesce(tasks)
+
+    tasks = None
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = reliable_checkpoint(e)
+    if rows_a_task:
+        tasks = 1 + e.count() // rows_a_task
+        e = few(e)
 
     def star(pairs: DataFrame, both: bool) -> DataFrame:
         near = pairs.select("u", "v")
         if both:
             near = near.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        moved = near.join(least, "u")
+        moved = few(near.join(least, "u"))
         if both:
             out = moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
             out = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
-                least.select("u", F.col("m").alias("v")))
-        return out.where("u <> v").distinct()
+                few(least).select("u", F.col("m").alias("v")))
+        return few(out.where("u <> v").distinct())
 
     before = None
     for _ in range(max_rounds):

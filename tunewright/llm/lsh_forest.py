@@ -42,8 +42,8 @@ from tunewright.session import reliable_checkpoint
 HASHES, ORDERS, STRIDE = 48, 16, 3
 #: common prefix that makes candidates, rows of a region that is not crowded, equal values of a candidate
 DEPTH, CROWD, AGREE = 2, 8, 22
-#: rows of a step over a sorted order
-ROWS = 1 << 16
+#: rows of a step over a sorted order, and rows of small tables (pairs, labels) a task writes
+ROWS, EDGES = 1 << 16, 200_000
 # Fixed value: seed of the min-hash functions.
 SEED = 0x1F83D9ABFB41BD6B
 
@@ -163,13 +163,13 @@ def candidates(nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (u, v) whose full sets are similar enough; sets (node, n, members)."""
+    """Those of pairs (u, v, ...) whose full sets are similar enough; sets (node, n, members)."""
     def of(name: str) -> DataFrame:
         return sets.select(F.col("node").alias(name), F.col("n").alias("n" + name), F.col("members").alias("m" + name))
 
     both = F.size(F.array_intersect("mu", "mv"))
     return pairs.join(of("u"), "u").join(of("v"), "v").where(
-        both * 100 >= (F.col("nu") + F.col("nv") - both) * percent).select("u", "v")
+        both * 100 >= (F.col("nu") + F.col("nv") - both) * percent).select(*pairs.columns)
 
 
 def between(pairs: DataFrame, label: DataFrame) -> DataFrame:
@@ -177,29 +177,42 @@ def between(pairs: DataFrame, label: DataFrame) -> DataFrame:
     def of(name: str, out: str) -> DataFrame:
         return label.select(F.col("node").alias(name), F.col("label").alias(out))
 
-    a, b = F.coalesce("lu", "u"), F.coalesce("lv", "v")
-    return pairs.join(of("u", "lu"), "u", "left").join(of("v", "lv"), "v", "left").where(a != b).select(
-        "u", "v", "alike", F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    return pairs.join(of("u", "lu"), "u").join(of("v", "lv"), "v").where("lu <> lv").select(
+        "u", "v", "alike", F.least("lu", "lv").alias("a"), F.greatest("lu", "lv").alias("b"))
+
+
+def merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label (node, label) after the components a and b of links are joined."""
+    new = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), rows_a_task=EDGES)
+    new = new.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return compact(label.join(new, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+
+
+def compact(rows: DataFrame) -> DataFrame:
+    """A checkpoint of small rows in tasks of ``EDGES`` rows."""
+    rows = reliable_checkpoint(rows)
+    return rows.coalesce(1 + rows.count() // EDGES)
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, label) of the nodes in components of confirmed candidates (u, v, alike)."""
+    """(node, label) of all nodes of ``sets``: components of the confirmed candidates (u, v, alike)."""
+    label = compact(sets.select("node", F.col("node").alias("label")))
     ends = pairs.select("u", "v", "alike", F.col("u").alias("node")).union(
         pairs.select("u", "v", "alike", F.col("v").alias("node")))
-    best = ends.groupBy("node").agg(F.max(F.struct("alike", "u", "v")).alias("p")).select("p.u", "p.v").distinct()
-    done = reliable_checkpoint(best)
-    links = reliable_checkpoint(confirmed(done, sets, percent))
-    label = reliable_checkpoint(connected_components(links))
-
-    rest = reliable_checkpoint(between(pairs, label).join(done, ["u", "v"], "left_anti"))
-    best = reliable_checkpoint(rest.groupBy("a", "b").agg(F.max(F.struct("alike", "u", "v")).alias("p")).select(
-        "p.u", "p.v"))
-    links = reliable_checkpoint(links.union(confirmed(best, sets, percent)))
-    label = reliable_checkpoint(connected_components(links))
-
-    rest = between(rest.select("u", "v", "alike"), label).join(best, ["u", "v"], "left_anti")
-    more = reliable_checkpoint(confirmed(rest.select("u", "v"), sets, percent))
-    return connected_components(links.union(more)) if more.take(1) else label
+    best = compact(ends.groupBy("node").agg(F.max(F.struct("alike", "u", "v")).alias("p")).select("p.u", "p.v").distinct())
+    links = compact(confirmed(best.select("u", "v", F.col("u").alias("a"), F.col("v").alias("b")), sets, percent))
+    label = merged(label, links)
+
+    rest = compact(between(pairs, label).join(best, ["u", "v"], "left_anti"))
+    best = compact(rest.groupBy("a", "b").agg(F.max(F.struct("alike", "u", "v")).alias("p")).select("a", "b", "p.u", "p.v"))
+    links = compact(confirmed(best, sets, percent))
+    if links.isEmpty():
+        last = rest.join(best.select("u", "v"), ["u", "v"], "left_anti")
+    else:
+        label = merged(label, links)
+        last = between(rest.select("u", "v", "alike"), label).join(best.select("u", "v"), ["u", "v"], "left_anti")
+    links = compact(confirmed(last.select("u", "v", "a", "b"), sets, percent))
+    return label if links.isEmpty() else merged(label, links)
 
 
 def near_dedup(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
@@ -223,10 +236,10 @@ def near_dedup(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     nodes = reliable_checkpoint(rows.where("n > 0").groupBy("k").agg(
         F.min("doc_id").alias("least"), F.max("n").alias("n"), F.max("s").alias("s")).withColumn(
         "node", F.monotonically_increasing_id()))
-    pairs = reliable_checkpoint(candidates(nodes.select("node", "n", "s"), percent))
+    pairs = compact(candidates(nodes.select("node", "n", "s"), percent))
 
     ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    alive = reliable_checkpoint(nodes.select("node", "k").join(ends, "node"))
+    alive = compact(nodes.select("node", "k").join(ends, "node"))
     sent = docs.sparkSession.sparkContext.broadcast(bloom_filter(alive, "k"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
