@@ -24,19 +24,19 @@ nodes; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tunewright.llm.common import text_or_empty
-from tunewright.session import reliable_checkpoint
+from tunewright.session import reliable_checkpoint, scratch_path
 
 #: turns of the first block and of each further one
-FIRST, NEXT = 8, 32
+FIRST, NEXT = 8, 16
 #: ids of a piece at most
 PIECE = 50_000
 
@@ -132,78 +132,101 @@ def ends_digest(ends: DataFrame) -> DataFrame:
         hashed, "depth long, conv_id long, ends_sha256 string")
 
 
-def union(tables: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, tables)
+class Tables:
+    """Tables of one run in the shared scratch folder, a sub-folder a block: the plan of a block reads only its own, is
+    the same for all blocks, and the last plans read all blocks at once."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = scratch_path(spark, f"trie-{uuid.uuid4().hex}")
+
+    def write(self, rows: DataFrame, name: str, block: int) -> None:
+        rows.write.parquet(f"{self.folder}/{name}/block={block}")
+
+    def read(self, name: str, block: int | None = None) -> DataFrame:
+        schema, path = SCHEMAS[name], f"{self.folder}/{name}"
+        if block is not None:
+            return self.spark.read.schema(schema).parquet(f"{path}/block={block}")
+        return self.spark.read.schema(f"{schema}, block int").parquet(path)
+
+
+SCHEMAS = {
+    "keys": "conv_id long, key array<long>, more boolean",
+    "here": "conv_id long, prior long, key array<long>, more boolean",
+    "nodes": "prior long, key array<long>, conv_id long, n_convs long",
+    "at": "member long, conv_id long, n int, more boolean",
+    "sums": "prior long, key array<long>, conv_id long, saved long, leaves long",
+    "totals": "prior long, key array<long>, conv_id long, saved long, leaves long",
+}
 
 
 def trie(turns: DataFrame, convs: DataFrame, sizes: DataFrame) -> DataFrame:
     """Nodes of the trie of the conversations ``convs`` (conv_id) with ``turns`` (conv_id, pos from 1 on, t);
     ``sizes`` (t, bytes)."""
+    spark = turns.sparkSession
+    disk = Tables(spark)
     after = F.col("pos") - FIRST - 1
     block = F.when(after < 0, 0).otherwise(F.floor(after / NEXT) + 1).cast("int")
+    long = turns.groupBy("conv_id").agg(F.max(block).alias("last"))
     keys = turns.groupBy("conv_id", block.alias("block")).agg(
         F.sort_array(F.collect_list(F.struct("pos", "t"))).alias("x")).select("conv_id", "block", F.col("x.t").alias("key"))
-    keys = reliable_checkpoint(convs.withColumn("block", F.lit(0)).join(keys, ["conv_id", "block"], "full").withColumn(
-        "key", F.coalesce("key", F.array().cast("array<bigint>"))))
-    root, last = keys.agg(F.min("conv_id"), F.max("block")).first()
+    keys = keys.join(long, "conv_id").select("conv_id", "key", (F.col("block") < F.col("last")).alias("more"), "block")
+    silent = convs.join(long, "conv_id", "left_anti").select(
+        "conv_id", F.array().cast("array<bigint>").alias("key"), F.lit(False).alias("more"), F.lit(0).alias("block"))
+    keys.unionByName(silent).write.partitionBy("block").parquet(f"{disk.folder}/keys")
+    root, last = disk.read("keys").agg(F.min("conv_id"), F.max("block")).first()
     if root is None:
-        return keys.selectExpr("conv_id", *(f"0L as {c}" for c in (
+        return disk.read("keys").selectExpr("conv_id", *(f"0L as {c}" for c in (
             "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens")), "'' as ends_sha256")
 
-    parts, ends = [], []
-    here = keys.where("block = 0").select("conv_id", F.lit(root).alias("prior"), "key")
     for b in range(last + 1):
-        width, before = (NEXT, FIRST + NEXT * (b - 1)) if b else (FIRST, 0)
-        nodes = rolled(here, width, F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"))
-        nodes = reliable_checkpoint(nodes if b == 0 else nodes.where(F.size("key") > 0))
-        above = nodes.select("prior", "key", F.col("conv_id").alias("upper"))
-        parts.append(nodes.withColumn("up", F.slice("key", 1, F.greatest(F.size("key") - 1, F.lit(0)))).join(
-            above.withColumnRenamed("key", "up"), ["prior", "up"], "left").select(
-            F.lit(b).alias("block"), "prior", "key", "conv_id", "n_convs",
-            (F.size("key") + before).cast("long").alias("depth"),
-            F.when(F.size("key") > 1, F.col("upper")).when(F.size("key") == 1, F.col("prior")).alias("parent_conv_id")))
-        at = reliable_checkpoint(here.withColumnRenamed("conv_id", "member").join(nodes, ["prior", "key"]).select(
-            "member", "conv_id", F.size("key").alias("n")))
-        if b < last:
-            more = keys.where(F.col("block") == b + 1).select("conv_id", "key")
-            here = at.where(F.col("n") == width).select(F.col("member").alias("conv_id"), F.col("conv_id").alias(
-                "prior")).join(more, "conv_id", "left")
-            ends.append(at.where(F.col("n") < width))
-            ends.append(here.where("key is null").select(F.col("conv_id").alias("member"), F.col("prior").alias(
-                "conv_id"), F.lit(width).alias("n")))
-            here = here.where("key is not null")
+        own = disk.read("keys", b)
+        if b:
+            above = disk.read("at", b - 1).where("more").select(F.col("member").alias("conv_id"), F.col("conv_id").alias(
+                "prior"))
+            disk.write(above.join(own, "conv_id").select("conv_id", "prior", "key", "more"), "here", b)
         else:
-            ends.append(at)
-        ends[-1 if b == last else -2:] = [e.select(
-            (F.col("n") + before).cast("long").alias("depth"), "conv_id", "member")
-            for e in ends[-1 if b == last else -2:]]
-
-    nodes = reliable_checkpoint(union(parts))
+            disk.write(own.select("conv_id", F.lit(root).alias("prior"), "key", "more"), "here", b)
+        here = disk.read("here", b)
+        nodes = rolled(here, NEXT if b else FIRST, F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"))
+        disk.write((nodes.where(F.size("key") > 0) if b else nodes).select("prior", "key", "conv_id", "n_convs"),
+                   "nodes", b)
+        disk.write(here.withColumnRenamed("conv_id", "member").join(
+            disk.read("nodes", b).select("prior", "key", "conv_id"), ["prior", "key"]).select(
+            "member", "conv_id", F.size("key").alias("n"), "more"), "at", b)
+
+    before = F.when(F.col("block") == 0, 0).otherwise(FIRST + NEXT * (F.col("block") - 1))
+    nodes = disk.read("nodes").withColumn("up", F.slice("key", 1, F.greatest(F.size("key") - 1, F.lit(0))))
+    upper = disk.read("nodes").select("block", "prior", F.col("key").alias("up"), F.col("conv_id").alias("upper"))
+    size = F.size("key")
+    nodes = reliable_checkpoint(nodes.join(upper, ["block", "prior", "up"], "left").select(
+        "block", "prior", "key", "conv_id", "n_convs", (size + before).cast("long").alias("depth"),
+        F.when(size > 1, F.col("upper")).when(size == 1, F.col("prior")).alias("parent_conv_id")))
     under = nodes.where("depth > 0").groupBy((F.col("depth") - 1).alias("depth"), F.col("parent_conv_id").alias(
         "conv_id")).agg(F.count("*").alias("n_children"))
-    nodes = nodes.withColumn("t", F.get("key", F.size("key") - 1)).join(sizes, "t", "left").join(
+    nodes = reliable_checkpoint(nodes.withColumn("t", F.get("key", size - 1)).join(sizes, "t", "left").join(
         under, ["depth", "conv_id"], "left").select(
         "block", "prior", "key", "conv_id", "depth", "parent_conv_id", "n_convs",
         F.coalesce("n_children", F.lit(0)).alias("n_children"),
-        ((F.col("n_convs") - 1) * F.coalesce("bytes", F.lit(0))).alias("saved"))
-    nodes = reliable_checkpoint(nodes.withColumn("leaves", (F.col("n_children") == 0).cast("long")))
+        ((F.col("n_convs") - 1) * F.coalesce("bytes", F.lit(0))).alias("saved")))
+    nodes.select("prior", "key", "conv_id", "saved", (F.col("n_children") == 0).cast("long").alias("leaves"),
+                 "block").write.partitionBy("block").parquet(f"{disk.folder}/sums")
 
-    totals, below = [], None
     for b in range(last, -1, -1):
-        width, before = (NEXT, FIRST + NEXT * (b - 1)) if b else (FIRST, 0)
-        own = nodes.where(F.col("block") == b).select("prior", "key", "conv_id", "saved", "leaves")
-        if below is not None:
+        width, own = NEXT if b else FIRST, disk.read("sums", b)
+        if b < last:
+            below = disk.read("totals", b + 1).where(F.size("key") == 0).select(
+                F.col("prior").alias("conv_id"), "saved", "leaves")
             own = own.unionByName(own.where(F.size("key") == width).select("prior", "key", "conv_id").join(
                 below, "conv_id"))
-        done = reliable_checkpoint(rolled(own, width, F.min("conv_id").alias("conv_id"), F.sum("saved").alias("saved"),
-                                          F.sum("leaves").alias("leaves")))
-        below = done.where(F.size("key") == 0).select(F.col("prior").alias("conv_id"), "saved", "leaves")
-        totals.append((done if b == 0 else done.where(F.size("key") > 0)).select(
-            (F.size("key") + before).cast("long").alias("depth"), "conv_id", F.col("saved").alias("saved_tokens"),
-            F.col("leaves").alias("n_leaves")))
-
-    return nodes.join(union(totals), ["depth", "conv_id"]).join(
-        ends_digest(union(ends)), ["depth", "conv_id"], "left").select(
+        disk.write(rolled(own, width, F.min("conv_id").alias("conv_id"), F.sum("saved").alias("saved"),
+                          F.sum("leaves").alias("leaves")), "totals", b)
+
+    totals = disk.read("totals").where((F.col("block") == 0) | (F.size("key") > 0)).select(
+        (size + before).cast("long").alias("depth"), "conv_id", F.col("saved").alias("saved_tokens"),
+        F.col("leaves").alias("n_leaves"))
+    ends = disk.read("at").where("not more").select((F.col("n") + before).cast("long").alias("depth"), "conv_id", "member")
+    return nodes.join(totals, ["depth", "conv_id"]).join(ends_digest(ends), ["depth", "conv_id"], "left").select(
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
         F.coalesce("ends_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("ends_sha256"))
 
