@@ -13,6 +13,7 @@ second moment or less) is left out with coefficient 0.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -32,33 +33,63 @@ class Moments:
     center: np.ndarray
     scale: np.ndarray
     parts: dict[int, np.ndarray] = field(default_factory=dict)   # key -> moments of (1, scaled columns)
+    missing: frozenset[str] = frozenset()   # columns with nulls or NaN, whose moments mean nothing
 
     def total(self, keys=None, without=()) -> np.ndarray:
         size = len(self.names) + 1
         keys = self.parts if keys is None else keys
         return sum((self.parts[k] for k in keys if k in self.parts and k not in without), np.zeros((size, size)))
 
+    def take(self, names: Sequence[str]) -> "Moments":
+        """The moments of some of the columns."""
+        at = [0, *self.at(names)]
+        own = np.array(at[1:], int) - 1
+        return Moments(list(names), self.center[own], self.scale[own],
+                       {k: t[np.ix_(at, at)] for k, t in self.parts.items()}, self.missing & frozenset(names))
+
     def at(self, names: Sequence[str]) -> list[int]:
         where = {n: i + 1 for i, n in enumerate(self.names)}
         return [where[n] for n in names]
 
 
-def moments(df: DataFrame, columns: Sequence[str], key: Column | None = None) -> Moments:
-    """Moments of ``columns`` by an integer ``key``.  Nulls and NaN are an error: impute first."""
+def _numbered(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.arange(batch.num_rows, dtype=np.int32)), batch.column(0)], names=["j", "v"])
+
+
+def moments(df: DataFrame, columns: Sequence[str], key: Column | None = None, missing_ok: bool = False) -> Moments:
+    """Moments of ``columns`` by an integer ``key``.  Nulls and NaN are an error: impute first.  With ``missing_ok``
+    columns that have some are named in ``missing`` and count as 0."""
     columns = list(columns)
     x = [col(c).cast("double") for c in columns]
     rows = df.select((F.lit(0) if key is None else key).cast("int").alias("k"), *[e.alias(f"x{i}") for i, e in enumerate(x)])
-    first = rows.agg(F.count(F.lit(1)).alias("n"), *[a for i in range(len(columns)) for a in (
-        F.avg(f"x{i}").alias(f"m{i}"), F.stddev_pop(f"x{i}").alias(f"s{i}"),
-        F.count_if(F.col(f"x{i}").isNull() | F.isnan(f"x{i}")).alias(f"e{i}"))]).first()
-    bad = [c for i, c in enumerate(columns) if first[f"e{i}"]]
-    if bad:
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((3, len(columns)))  # values, their sum, sum of squares
+        empty = np.zeros(len(columns))
+        for b in batches:
+            for i in range(len(columns) if b.num_rows else 0):
+                v = b.column(i + 1).to_numpy(zero_copy_only=False)
+                v = v[~np.isnan(v)]
+                empty[i] += b.num_rows - len(v)
+                if len(v):
+                    mean = v.mean()
+                    total[:, i] += len(v), v.sum(), ((v - mean) ** 2).sum() + len(v) * mean * mean
+        yield pa.record_batch([pa.array(list(np.vstack([total, empty]).T), pa.list_(pa.float64()))], names=["v"])
+
+    # batches of columns: a row a column from each task
+    first = rows.mapInArrow(lambda it: (_numbered(b) for b in scan(it)), "j int, v array<double>").groupBy("j").agg(
+        *[F.sum(F.col("v")[i]).alias(n) for i, n in enumerate(("n", "s", "q", "e"))]).orderBy("j").collect()
+    bad = [c for c, r in zip(columns, first, strict=True) if r["e"]]
+    if bad and not missing_ok:
         raise ValueError("missing values in " + ", ".join(bad))
-    if not first["n"]:
+    if not any(r["n"] + r["e"] for r in first):
         raise ValueError("no rows to fit")
-    center = np.array([first[f"m{i}"] for i in range(len(columns))])
-    scale = np.array([first[f"s{i}"] for i in range(len(columns))])
-    scale = np.where(scale > 1e-12 * np.maximum(np.abs(center), 1e-300), scale, 1.0)
+    whole = [not r["e"] for r in first]
+    center = np.array([r["s"] / r["n"] if ok else 0.0 for r, ok in zip(first, whole, strict=True)])
+    scale = np.array([math.sqrt(max(0.0, r["q"] / r["n"] - (r["s"] / r["n"]) ** 2)) if ok else 1.0
+                      for r, ok in zip(first, whole, strict=True)])
+    scale = np.where(scale > 1e-7 * np.abs(center), scale, np.maximum(1e-7 * np.abs(center), 1e-300))
+    scale = np.where(scale > 1e-290, scale, 1.0)
     size = len(columns) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,6 +99,9 @@ def moments(df: DataFrame, columns: Sequence[str], key: Column | None = None) ->
                 continue
             z = np.ones((b.num_rows, size))
             for i in range(size - 1):
+                if not whole[i]:
+                    z[:, i + 1] = 0.0
+                    continue
                 z[:, i + 1] = (b.column(i + 1).to_numpy(zero_copy_only=False) - center[i]) / scale[i]
             k = b.column(0).to_numpy(zero_copy_only=False)
             for one in np.unique(k):
@@ -78,7 +112,7 @@ def moments(df: DataFrame, columns: Sequence[str], key: Column | None = None) ->
                                    pa.array(list(m), pa.list_(pa.float64()))], names=["k", "i", "v"])
 
     cells = rows.mapInArrow(run, "k int, i int, v array<double>").select("k", "i", F.posexplode("v").alias("j", "v"))
-    out = Moments(columns, center, scale)
+    out = Moments(columns, center, scale, missing=frozenset(bad))
     for r in cells.groupBy("k", "i", "j").agg(F.sum("v").alias("v")).collect():  # keys times columns squared
         out.parts.setdefault(r["k"], np.zeros((size, size)))[r["i"], r["j"]] = r["v"]
     return out

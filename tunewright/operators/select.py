@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import col
-from .gram import eliminate, least_squares, moments
+from .gram import Moments, eliminate, least_squares, moments
 
 
 def anova_f(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
@@ -105,9 +105,10 @@ class SelectFromModel:
     estimator: str = "logistic"
     seed: int = 42
 
-    def importances(self, df: DataFrame, features: Sequence[str], label: str) -> list[float]:
+    def importances(self, df: DataFrame, features: Sequence[str], label: str, stats: Moments | None = None
+                    ) -> list[float]:
         if self.estimator == "linear":  # one row of coefficients: every norm is the absolute value
-            m = moments(df, [*features, label])
+            m = stats or moments(df, [*features, label])
             return [abs(float(c)) for c in least_squares(m, m.total(), features, label).coefficients]
         order = {"inf": float("inf"), "-inf": float("-inf")}.get(str(self.norm_order), None)
         order = float(self.norm_order) if order is None else order
@@ -117,14 +118,14 @@ class SelectFromModel:
         finally:
             data.unpersist()
 
-    def fit(self, df: DataFrame, features: Sequence[str], label: str, importances: Sequence[float] | None = None
-            ) -> DataFrame:
+    def fit(self, df: DataFrame, features: Sequence[str], label: str, importances: Sequence[float] | None = None,
+            stats: Moments | None = None) -> DataFrame:
         """(feature, importance, selected).  With ``prefit`` the importances of a fitted model are given and no model
-        is fitted; without them that is an error."""
+        is fitted; without them that is an error.  ``stats``: the linear model's moments, if they are known."""
         features = list(features)
         if self.prefit and importances is None:
             raise ValueError("prefit: the importances of the fitted model are needed")
-        imp = list(importances) if self.prefit else self.importances(df, features, label)
+        imp = list(importances) if self.prefit else self.importances(df, features, label, stats)
         thr = self.threshold
         if thr is None:
             thr = "mean"  # an l1 penalty would use 1e-5, plain models use the mean
@@ -150,8 +151,9 @@ class RFE:
     seed: int = 42
     estimator: str = "logistic"
 
-    def fit(self, df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-        """Recursive elimination by squared coefficients; returns (feature, ranking, selected)."""
+    def fit(self, df: DataFrame, features: Sequence[str], label: str, stats: Moments | None = None) -> DataFrame:
+        """Recursive elimination by squared coefficients; returns (feature, ranking, selected).  ``stats``: the linear
+        model's moments, if they are known."""
         features = list(features)
         n = len(features)
         target = n // 2 if self.n_features_to_select is None else self.n_features_to_select
@@ -160,7 +162,7 @@ class RFE:
         target = max(1, min(int(target), n))
         step = max(1, int(self.step * n)) if isinstance(self.step, float) and self.step < 1 else int(self.step)
         if self.estimator == "linear":
-            m = moments(df, [*features, label])
+            m = stats or moments(df, [*features, label])
             rounds = [[features.index(f) for f in gone]
                       for gone in eliminate(m, m.total(), features, label, target, step)]
         else:

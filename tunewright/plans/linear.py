@@ -50,7 +50,7 @@ def sweeps_sql(src: str, ks: list[int], inc: str, name: str) -> str:
    else a.v - r.v * c.v / p.v end v
   from {a} a left join (select s.g, s.v from {a} s join {name}0 o using (g, i, j) join {inc} inc on inc.g = s.g and inc.k = {k}
     where s.i = {k} and s.j = {k} and s.v > {TOL} * o.v) p on p.g = a.g
-  join {a} r on r.g = a.g and r.i = a.i and r.j = {k} join {a} c on c.g = a.g and c.i = {k} and c.j = a.j)""")
+  left join {a} r on r.g = a.g and r.i = a.i and r.j = {k} left join {a} c on c.g = a.g and c.i = {k} and c.j = a.j)""")
     return ",\n".join(parts)
 
 
