@@ -9,6 +9,7 @@ different projection of the same rows, so trials add aggregate columns, not scan
 from __future__ import annotations
 
 import statistics
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.logs import trial_id
 from ..functions.stats import exact_quantiles
 from ..operators.base import EPS10
-from ..operators.search import HYPER_SPACE_CLASS, grid_frame, random_search, sample_grid
+from ..operators.search import HYPER_SPACE_CLASS, grid_frame, sample_grid
 from ..sources.cells import fx_cells
 from .catalog import catalog_dict, catalog_rows, catalog_sql
 from .corpus import MODELS_SQL, USAGE_SQL, model_records, modifiable_params, scan_events, usage_table
@@ -299,8 +300,16 @@ def q_sweep_best_value(spark: SparkSession, sf: str) -> DataFrame:
 # ----------------------------------------------------------------------------- M1-M7 (rows only)
 
 
-def _lr_search(spark: SparkSession, sf: str):
-    """(result, test table, features) of the search for the recorded LogisticRegression on every column."""
+def _lr_grid() -> list[tuple[str, float, str]]:
+    out = []
+    for text in _lr_settings():
+        kv = dict(x.split("=") for x in text.split(", "))
+        out.append((text, float(kv["C"]), kv["penalty"]))
+    return out
+
+
+def _raw_table(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(training rows, others, features): imputed from train, categories as label codes."""
     from ..operators.encode import LabelEncoder
     from ..operators.impute import TrainStatImputer
     train, test = fx_split(spark, sf)
@@ -309,66 +318,101 @@ def _lr_search(spark: SparkSession, sf: str):
     for c in ("c1", "c2", "c3"):
         le = LabelEncoder().fit([tr, te], c)
         tr, te = le.transform(tr), le.transform(te)
-    feats = ["f1", "f2", "f3", "c1", "c2", "c3"]
-    res = random_search(tr, te, feats, "target", "LogisticRegression", {"C": 1.0},
-                        [(s, dict(kv.split("=") for kv in s.split(", "))) for s in _lr_settings()],
-                        objective="accuracy", folds=5)
-    return res, te, feats
+    return tr, te, ["f1", "f2", "f3", "c1", "c2", "c3"]
+
+
+def _prepared_table(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The automatically prepared version of the same rows (best scaler, encoding by share of levels)."""
+    from ..operators.autoprep import prepare
+    train, test = fx_split(spark, sf)
+    tr, te, _ = prepare(train.drop("is_test"), test.drop("is_test"), id_col="id", target="target")
+    feats = [c for c in tr.columns if c not in ("id", "target")]
+    return tr.na.fill(0.0), te.na.fill(0.0), feats
+
+
+def _searched(table: tuple[DataFrame, DataFrame, list[str]]):
+    """The search of the LogisticRegression grid over 5 stratified folds; the other rows validate."""
+    from ..operators.logistic import logistic_search
+    from ..operators.metrics import stratified_folds
+    from ..session import reliable_checkpoint
+    tr, te, feats = table
+    names = [f"x{i}" for i in range(len(feats))]
+
+    def own(df: DataFrame) -> DataFrame:
+        return df.select("id", F.col("target").cast("double").alias("y"), *[
+            F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(feats, names)])
+
+    rows = stratified_folds(own(tr), "y", "id", 5).withColumn("part", F.col("fold").cast("int")).drop("fold")
+    rows = reliable_checkpoint(rows.unionByName(own(te).withColumn("part", F.lit(-1))))
+    return logistic_search(rows, names, "y", "part", 5, _lr_grid()), rows
+
+
+METRICS = ("accuracy", "precision", "recall", "f1")
 
 
 @register("search_lr")
 def q_search_lr(spark: SparkSession, sf: str) -> DataFrame:
-    """Model search for the recorded LogisticRegression: original vs best of the sampled grid.
-
-    Features: impute from train, label codes; split by id hash; 5 hash folds; objective accuracy.
-    """
-    res, _, _ = _lr_search(spark, sf)
-    o, p = res.original, res.optimized
-    rows = [("fx::LogisticRegression", "original", m, float(o[m])) for m in o] + \
-           [("fx::LogisticRegression", "optimized", m, float(p[m])) for m in p]
+    """Model search for the recorded LogisticRegression: original vs best of the grid (objective accuracy)."""
+    res, _ = _searched(_raw_table(spark, sf))
+    text, _, number = res.best("accuracy")
+    rows = [("fx::LogisticRegression", version, m, float(res.scores[i, -1][m]))
+            for version, i in (("original", len(res.fits) - 1), ("optimized", number)) for m in METRICS]
     return spark.createDataFrame(rows, "run_key string, version string, metric string, value double").withColumn(
-        "best_setting", F.lit(res.best_setting))
+        "best_setting", F.lit(text))
 
 
 @register("submission")
 def q_submission(spark: SparkSession, sf: str) -> DataFrame:
     """P10 / M6: the best model of the search predicts the test ids."""
-    from ..operators.search import submission
-    res, te, feats = _lr_search(spark, sf)
-    return submission(res.best_model, te, feats, "id")
+    res, rows = _searched(_raw_table(spark, sf))
+    _, fit, _ = res.best("accuracy")
+    return rows.where("part = -1").select("id", (fit.margin() > 0).cast("double").alias("Prediction"))
 
 
 @register("search_trials")
 def q_search_trials(spark: SparkSession, sf: str) -> DataFrame:
     """M4: one row per setting and fold of the search."""
-    return _lr_search(spark, sf)[0].trials
+    res, _ = _searched(_raw_table(spark, sf))
+    return spark.createDataFrame(res.trials("accuracy"), "setting string, fold int, score double")
+
+
+@register("search_logistic")
+def q_search_logistic(spark: SparkSession, sf: str) -> DataFrame:
+    """M1-M7 for every recorded LogisticRegression on both table versions: its objective's best setting, the metrics of
+    the recorded and the best model, and the trials written by the S7 sink.  Records share the fits."""
+    from ..operators.search import match_records
+    from ..sources.sinks import write_trials
+    from ..session import scratch_path
+    from .modelloop import fx_records
+    recs = match_records(fx_records(spark, sf)).where("model_type = 'LogisticRegression'").select(
+        "notebook", "cell_index", "objective")
+    found, trials = [], []
+    for name, table in (("original", _raw_table(spark, sf)), ("transformed", _prepared_table(spark, sf))):
+        res, _ = _searched(table)
+        for objective in METRICS:
+            text, _, number = res.best(objective)
+            found.append((name, objective, text, *[float(res.scores[len(res.fits) - 1, -1][m]) for m in METRICS],
+                          *[float(res.scores[number, -1][m]) for m in METRICS]))
+            trials += [(name, objective, *t) for t in res.trials(objective)]
+    kind = "dataset string, objective string"
+    best = spark.createDataFrame(found, f"{kind}, best_setting string, " + ", ".join(
+        f"{v}_{m} double" for v in ("original", "optimized") for m in METRICS))
+    log = spark.createDataFrame(trials, f"{kind}, setting string, fold int, score double")
+    out = recs.join(F.broadcast(best), "objective")  # two rows an objective
+    path = scratch_path(spark, f"trials-{uuid.uuid4().hex}")
+    write_trials(recs.join(F.broadcast(log), "objective").withColumn("stem", F.col("notebook")), path)
+    written = spark.read.parquet(path).groupBy("notebook", "cell_index", "dataset").agg(F.count("*").alias("n_trials"))
+    return out.join(written, ["notebook", "cell_index", "dataset"])
 
 
 @register("raw_vs_prepared")
 def q_raw_vs_prepared(spark: SparkSession, sf: str) -> DataFrame:
-    """M7: the recorded model fitted and scored on both table versions (raw: train-stat imputation +
-    label codes; prepared: best scaler + encoding choice), split by id hash, metrics side by side."""
-    from ..operators.autoprep import prepare, split
-    from ..operators.encode import LabelEncoder
-    from ..operators.impute import TrainStatImputer
-    from ..operators.metrics import classification_metrics
-    from ..operators.search import assemble, make_estimator
-    d = fx_split(spark, sf)[0].drop("is_test").unionByName(fx_split(spark, sf)[1].drop("is_test"))
-    fit_part, valid = split(d, "id", 0.2, salt="valid")
+    """M7: the search on both table versions (raw: train-stat imputation and label codes; prepared: best scaler and
+    encoding choice), the recorded and the best model's metrics side by side."""
     rows = []
-    imp = TrainStatImputer(exclude=("id", "target")).fit(fit_part)
-    raw_tr, raw_va = imp.transform(fit_part), imp.transform(valid)
-    for c in ("c1", "c2", "c3"):
-        le = LabelEncoder().fit([raw_tr, raw_va], c)
-        raw_tr, raw_va = le.transform(raw_tr), le.transform(raw_va)
-    prep_tr, prep_va, _ = prepare(fit_part, valid, id_col="id", target="target")
-    prep_tr, prep_va = prep_tr.na.fill(0.0), prep_va.na.fill(0.0)
-    for name, tr, va in (("raw", raw_tr, raw_va), ("prepared", prep_tr, prep_va)):
-        feats = [c for c in tr.columns if c not in ("id", "target")]
-        tr_c = tr.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in feats], "target")
-        va_c = va.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in feats], "target")
-        model = make_estimator("LogisticRegression", {}).fit(assemble(tr_c, feats, "target"))
-        pred = model.transform(assemble(va_c, feats, "target"))
-        m = classification_metrics(pred, "label", "prediction", positive=1.0).first()
-        rows += [(name, k, float(m[k])) for k in ("accuracy", "precision", "recall", "f1")]
-    return spark.createDataFrame(rows, "dataset string, metric string, value double")
+    for name, table in (("raw", _raw_table(spark, sf)), ("prepared", _prepared_table(spark, sf))):
+        res, _ = _searched(table)
+        text, _, number = res.best("accuracy")
+        rows += [(name, version, text if version == "optimized" else "recorded", m, float(res.scores[i, -1][m]))
+                 for version, i in (("original", len(res.fits) - 1), ("optimized", number)) for m in METRICS]
+    return spark.createDataFrame(rows, "dataset string, version string, setting string, metric string, value double")
