@@ -140,16 +140,22 @@ LOG_NAME_BY_EVENT = (
 LOG_NAME_OTHER = "tf_acc"
 
 
-def fx_log(spark: SparkSession, sf_dir: str, regression_only: bool = False) -> DataFrame:
-    """Metric-log lines ``METRIC_LOG: <name> = <value>`` per run (``user_id``)."""
+# Events whose log lines carry a regression metric.
+REGRESSION_EVENTS = ("view", "purchase", "signup")
+
+
+def fx_log(spark: SparkSession, sf_dir: str, by_task: bool = False) -> DataFrame:
+    """Metric-log lines ``METRIC_LOG: <name> = <value>`` per run (``user_id``; ``by_task``: a user's regression and
+    other lines are two runs, 2 * user_id and 2 * user_id + 1)."""
     e = read_table(spark, sf_dir, "events")
-    if regression_only:
-        e = e.filter(~F.col("event_type").isin("click") & F.col("event_type").isin("view", "purchase", "signup"))
+    run = F.col("user_id")
+    if by_task:
+        run = run * 2 + F.when(F.col("event_type").isin(*REGRESSION_EVENTS), 0).otherwise(1)
     name = F.lit(LOG_NAME_OTHER)
     for ev, nm in reversed(LOG_NAME_BY_EVENT):
         name = F.when(F.col("event_type") == ev, F.lit(nm)).otherwise(name)
     return e.select(
-        F.col("user_id").alias("run_id"),
+        run.alias("run_id"),
         F.col("event_id").alias("line_no"),
         F.col("ts"),
         F.concat(F.lit("METRIC_LOG: "), name, F.lit(" = "),
@@ -157,15 +163,15 @@ def fx_log(spark: SparkSession, sf_dir: str, regression_only: bool = False) -> D
     )
 
 
-def fx_log_sql(regression_only: bool = False) -> str:
+def fx_log_sql(by_task: bool = False) -> str:
     cases = " ".join(f"when '{ev}' then '{nm}'" for ev, nm in LOG_NAME_BY_EVENT)
-    where = "where event_type in ('view', 'purchase', 'signup')" if regression_only else ""
+    run = f"user_id * 2 + case when event_type in {REGRESSION_EVENTS!r} then 0 else 1 end" if by_task else "user_id"
     return f"""
 fxl as (
-  select user_id run_id, event_id line_no, ts,
+  select {run} run_id, event_id line_no, ts,
          concat('METRIC_LOG: ', case event_type {cases} else '{LOG_NAME_OTHER}' end,
                 ' = ', cast(cast(value as decimal(12,2)) as varchar)) text
-  from events {where})
+  from events)
 """
 
 
@@ -207,9 +213,9 @@ LOG_EXTRA = (
 )
 
 
-def fx_log_rich(spark: SparkSession, sf_dir: str, regression_only: bool = False) -> DataFrame:
+def fx_log_rich(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fx_log with a second entry per line (newline or blank separated) for every rule."""
-    base = fx_log(spark, sf_dir, regression_only)
+    base = fx_log(spark, sf_dir)
     k = F.col("line_no") % 8
     name = F.element_at(F.array(*[F.lit(n) for n in LOG_EXTRA]), (k + 1).cast("int"))
     value = (F.when(k == 6, F.lit("0.9.1")).when(k == 7, F.lit("nan"))
@@ -219,9 +225,9 @@ def fx_log_rich(spark: SparkSession, sf_dir: str, regression_only: bool = False)
     return base.select("run_id", "line_no", "ts", text.alias("text"))
 
 
-def fx_log_rich_sql(regression_only: bool = False) -> str:
+def fx_log_rich_sql() -> str:
     names = ", ".join(f"'{n}'" for n in LOG_EXTRA)
-    return fx_log_sql(regression_only) + f""",
+    return fx_log_sql() + f""",
 fxlr as (
   select run_id, line_no, ts,
          text || case when line_no % 8 = 3 then ' ' else chr(10) end || 'METRIC_LOG: '

@@ -80,8 +80,8 @@ def best_model(canon: DataFrame, rule: str = "logs", run: str = "run_id") -> Dat
                     .alias("is_classification"), *[vals[m].alias(m) for m in METRICS])
 
 
-def _canon(spark: SparkSession, sf: str, rich: bool = True, regression_only: bool = False) -> DataFrame:
-    src = fx_log_rich(spark, sf, regression_only) if rich else fx_log(spark, sf, regression_only)
+def _canon(spark: SparkSession, sf: str, rich: bool = True, by_task: bool = False) -> DataFrame:
+    src = fx_log_rich(spark, sf) if rich else fx_log(spark, sf, by_task)
     return canonical_entries(parse_metric_log(src, "text", KEYS), KEYS)
 
 
@@ -206,8 +206,8 @@ def q_metrics_wide(spark: SparkSession, sf: str) -> DataFrame:
 @register("run_task_type", "with " + fx_log_sql(True) + ", " + PARSE_SQL.format(src="fxl") + ", " + CANON_SQL
           + " select run_id, bool_or(metric in ('accuracy', 'f1')) is_classification from ce group by run_id")
 def q_run_task_type(spark: SparkSession, sf: str) -> DataFrame:
-    """G8 on the regression-only log: runs are classification iff some model logged accuracy or f1."""
-    c = _canon(spark, sf, rich=False, regression_only=True)
+    """G8 on the whole log, regression lines as runs of their own: classification iff some model logged accuracy or f1."""
+    c = _canon(spark, sf, rich=False, by_task=True)
     return c.groupBy("run_id").agg(F.max(F.col("metric").isin("accuracy", "f1").cast("int")).cast("boolean")
                                    .alias("is_classification"))
 
@@ -221,13 +221,13 @@ def q_best_model_logs(spark: SparkSession, sf: str) -> DataFrame:
 @register("best_model_logs_regression", "with " + fx_log_sql(True) + ", " + PARSE_SQL.format(src="fxl") + ", "
           + CANON_SQL + ", " + _best_sql("logs"))
 def q_best_model_logs_reg(spark: SparkSession, sf: str) -> DataFrame:
-    return _round_metrics(best_model(_canon(spark, sf, rich=False, regression_only=True), "logs"))
+    return _round_metrics(best_model(_canon(spark, sf, rich=False, by_task=True), "logs"))
 
 
 @register("best_model_outputs", "with " + fx_log_sql(True) + ", " + PARSE_SQL.format(src="fxl") + ", "
           + CANON_SQL + ", " + _best_sql("outputs"))
 def q_best_model_outputs(spark: SparkSession, sf: str) -> DataFrame:
-    return _round_metrics(best_model(_canon(spark, sf, rich=False, regression_only=True), "outputs"))
+    return _round_metrics(best_model(_canon(spark, sf, rich=False, by_task=True), "outputs"))
 
 
 # ----------------------------------------------------------------------------- trial tables
