@@ -493,3 +493,31 @@ def test_folds_of_repeated_ids_keep_every_row(spark):
     d = spark.range(100).select((F.col("id") % 25).alias("id"), F.when(F.col("id") % 3 > 0, F.col("id") % 2).alias("y"))
     out = stratified_folds(d, "y", "id", 5)
     assert out.count() == 100 and out.columns == ["id", "y", "fold"]
+
+
+def test_typed_candidates_of_every_kind(spark):
+    from tunewright.plans.catalog import typed_candidate
+    inf = float("inf")
+    cases = [("null", "p", "null", None, None, None, None, "None"), (None, "p", "null", None, None, None, None, "None"),
+             ("true", "p", "boolean", None, True, None, None, "True"), ('"inf"', "p", "number", inf, None, None, None, "float('inf')"),
+             ('"-inf"', "p", "number", -inf, None, None, None, "float('-inf')"), ("-0.5", "p", "number", -0.5, None, None, None, "-0.5"),
+             ('"np.float64"', "p", "name", None, None, "np.float64", None, "np.float64"),
+             ('"l1"', "p", "string", None, None, "l1", None, "'l1'"), ('"it\'s"', "p", "string", None, None, "it's", None, "'it\\'s'"),
+             ("[0.0, 1.0]", "feature_range", "tuple", None, None, None, 2, "(0.0, 1.0)"),
+             ('["a", null, 2, true]', "p", "list", None, None, None, 4, "['a', None, 2, True]"), ("[]", "p", "list", None, None, None, 0, "[]"),
+             ('{"a": 1}', "p", "map", None, None, None, None, '{"a": 1}'), ("nope", "p", "invalid", None, None, None, None, None)]
+    d = spark.createDataFrame([(i, c[0], c[1]) for i, c in enumerate(cases)], "i int, j string, p string")
+    t = typed_candidate(F.col("j"), F.col("p"))
+    got = d.select("i", *[t[c].alias(c) for c in ("kind", "number", "flag", "text")], F.when(
+        t["items"].isNotNull(), F.size(t["items"])).alias("n"), t["literal"].alias("literal"), t["entries"].isNotNull().alias("m")).orderBy("i").collect()
+    assert [tuple(r[1:7]) for r in got] == [c[2:] for c in cases]
+    assert [r["m"] for r in got] == [c[2] == "map" for c in cases]
+    nan = spark.createDataFrame([('"NaN"',)], "j string")
+    assert nan.select(typed_candidate(F.col("j"), F.lit("p"))["number"].alias("n")).where("isnan(n)").count() == 1
+
+
+def test_search_records_share_the_trials_they_write(spark, tmp_path):
+    from tunewright.sources.sinks import write_trials
+    log = spark.createDataFrame([("nb1", "C=1", 0, 0.5), ("nb2", "C=1", 0, 0.5)], "stem string, setting string, fold int, score double")
+    write_trials(log, f"{tmp_path}/t")
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/t").where("stem = 'nb2'").collect())) == [("C=1", 0, 0.5, "nb2")]

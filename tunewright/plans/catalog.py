@@ -189,14 +189,51 @@ def is_placeholder(value_json: Column, value_type: Column) -> Column:
                       F.lit(False))
 
 
-def typed_value(value_json: Column, value_type: Column) -> Column:
-    """Candidate as a double where it is numeric, with the inf / nan words."""
-    word = F.lower(F.regexp_replace(value_json, '"', ""))
-    return (F.when(word.isin("inf", "+inf"), F.lit(float("inf")))
-            .when(word == "-inf", F.lit(float("-inf")))
-            .when(word == "nan", F.lit(float("nan")))
-            .when(value_type.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)"),
-                  F.expr("try_cast(value_json as double)")))
+def _scalar_literal(text: Column, kind: Column) -> Column:
+    """Python source of a scalar: ``text`` its spelling (strings bare), ``kind`` its variant type."""
+    word = F.lower(text)
+    quoted = F.concat(F.lit("'"), F.regexp_replace(F.regexp_replace(text, r"\\", r"\\\\"), "'", r"\\'"), F.lit("'"))
+    string = (F.when(text.isin("inf", "-inf") | (word == "nan"), F.concat(F.lit("float('"), word, F.lit("')")))
+              .when(text.startswith("np.") | (text.contains(".") & ~text.rlike("^['\"]")), text).otherwise(quoted))
+    return (F.when(kind.isNull() | (kind == "VOID"), F.lit("None"))
+            .when(kind == "BOOLEAN", F.initcap(text)).when(kind == "STRING", string).otherwise(text))
+
+
+def typed_candidate(value_json: Column, param: Column) -> dict[str, Column]:
+    """A candidate's JSON as typed columns, for the operator that takes it to read what it needs.
+
+    ``variant`` the value itself; ``kind`` null, boolean, number, string, name (a dotted name such as a numpy type),
+    list, tuple (of a range parameter) or map; ``number`` numbers and the words inf, -inf and nan; ``flag`` booleans;
+    ``text`` strings; ``items`` the elements of lists and tuples; ``entries`` of maps; ``literal`` its Python source (of
+    a map: the JSON).  Text that is no JSON is a null variant of kind invalid."""
+    v = F.try_parse_json(value_json)
+    t = F.schema_of_variant(v)
+    text = F.try_variant_get(v, "$", "string")
+    number_word = F.lower(text).isin("inf", "+inf", "-inf", "nan")
+    items = F.when(t.startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
+    raw = F.from_json(value_json, "array<string>")
+    tuple_ = param.isin("feature_range", "quantile_range")
+    named = (t == "STRING") & text.contains(".") & ~text.rlike("^['\"]")
+    kind = (F.when(v.isNull() & value_json.isNull(), "null").when(v.isNull(), "invalid").when(t == "VOID", "null")
+            .when(t == "BOOLEAN", "boolean").when(t.startswith("ARRAY") & tuple_, "tuple").when(t.startswith("ARRAY"), "list")
+            .when(t.startswith("OBJECT"), "map").when((t == "STRING") & number_word, "number").when(named, "name")
+            .when(t == "STRING", "string").otherwise("number"))
+    parts = F.transform(F.arrays_zip(raw.alias("r"), items.alias("v")),
+                        lambda x: _scalar_literal(x["r"], F.schema_of_variant(x["v"])))
+    listed = F.array_join(parts, ", ")
+    return {
+        "variant": v, "kind": kind,
+        "number": F.when(kind == "number", F.when((t == "STRING") & number_word, F.regexp_replace(
+            F.regexp_replace(F.lower(text), r"^\+", ""), "inf", "Infinity").cast("double")).otherwise(
+            F.try_variant_get(v, "$", "double"))),
+        "flag": F.when(t == "BOOLEAN", F.try_variant_get(v, "$", "boolean")),
+        "text": F.when(kind.isin("string", "name"), text),
+        "items": items,
+        "entries": F.when(t.startswith("OBJECT"), F.try_variant_get(v, "$", "map<string,variant>")),
+        "literal": F.when(kind == "tuple", F.concat(F.lit("("), listed, F.lit(")")))
+        .when(kind == "list", F.concat(F.lit("["), listed, F.lit("]"))).when(kind == "map", value_json)
+        .when(kind != "invalid", _scalar_literal(F.when(t == "STRING", text).otherwise(value_json), t)),
+    }
 
 
 def catalog_rows(spark: SparkSession, text: str | None = None) -> DataFrame:
@@ -214,6 +251,35 @@ def _py_text(v) -> str:
     return str(v)
 
 
+def _literal(v, param: str = "") -> str:
+    if isinstance(v, str):
+        if v in ("inf", "-inf") or v.lower() == "nan":
+            return f"float('{v.lower()}')"
+        return v if v.startswith("np.") or ("." in v and v[:1] not in "'\"") else f"'{v}'"
+    if isinstance(v, list):
+        inner = ", ".join(_literal(x) for x in v)
+        return f"({inner})" if param in ("feature_range", "quantile_range") else f"[{inner}]"
+    return str(v)
+
+
+def typed_sql(name: str = "typed") -> str:
+    """DuckDB twin of the typed columns of all candidates as a VALUES table."""
+    rows = []
+    for m, params in catalog_dict().items():
+        for p, info in params.items():
+            for o, v in enumerate(info.get("allowed_values") or []):
+                word = isinstance(v, str) and v.lower() in ("inf", "-inf", "nan")
+                kind = ("null" if v is None else "boolean" if isinstance(v, bool) else "number" if word or isinstance(
+                    v, (int, float)) else "list" if isinstance(v, list) else "string")
+                if kind == "list" and p in ("feature_range", "quantile_range"):
+                    kind = "tuple"
+                number = f"'{float(v)}'::DOUBLE" if kind == "number" else "null::DOUBLE"
+                text = "'" + v.replace("'", "''") + "'" if kind == "string" else "null::VARCHAR"
+                rows.append(f"('{m}', '{p}', {o}, '{kind}', {number}, {str(v).lower() if kind == 'boolean' else 'null::BOOLEAN'}, "
+                            f"{text}, {len(v) if isinstance(v, list) else 'null::INT'}, '{_literal(v, p).replace(chr(39), chr(39) * 2)}')")
+    return f"{name}(method, param, ord, kind, number, flag, text, n_items, literal) as (values {', '.join(rows)})"
+
+
 def catalog_sql(name: str = "catalog") -> str:
     """DuckDB twin of ``catalog_rows`` as a VALUES table built from the same text."""
     rows = []

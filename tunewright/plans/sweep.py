@@ -19,7 +19,7 @@ from ..functions.stats import exact_quantiles
 from ..operators.base import EPS10
 from ..operators.search import HYPER_SPACE_CLASS, grid_frame, sample_grid
 from ..sources.cells import fx_cells
-from .catalog import catalog_dict, catalog_rows, catalog_sql
+from .catalog import catalog_dict, catalog_rows, catalog_sql, typed_candidate, typed_sql
 from .corpus import MODELS_SQL, USAGE_SQL, model_records, modifiable_params, scan_events, usage_table
 from .fixtures import FX_SQL, fx_split
 from .registry import r6, register
@@ -75,6 +75,19 @@ def q_sweep_expand(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("notebook", "cell_index", "method", "param", "ord", "value_text", "trial_id")
 
 
+@register("typed_candidates", _PAIRS_SQL + ", " + typed_sql() + """
+ select notebook, cell_index, mp.method, mp.param, ord, kind, number, flag, text, n_items, literal
+ from mp join typed t on mp.method = t.method and mp.param = t.param""")
+def q_typed_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Every candidate (placeholders too) of every modifiable pair of the notebooks, typed."""
+    vals = catalog_rows(spark).where("ord is not null").select("method", "param", "ord", "value_json")
+    typed = typed_candidate(F.col("value_json"), F.col("param"))
+    j = _pairs(spark, sf).join(F.broadcast(vals), ["method", "param"])  # catalog: fixed, 170 rows
+    return j.select("notebook", "cell_index", "method", "param", "ord", *[
+        typed[c].alias(c) for c in ("kind", "number", "flag", "text", "literal")],
+        F.when(typed["items"].isNotNull(), F.size(typed["items"])).alias("n_items"))
+
+
 @register("sweep_plan", _PAIRS_SQL + """
  select notebook, cell_index, method, param, pair_rank from (
    select *, row_number() over (partition by notebook order by cell_index, part, k, param_ord) pair_rank from mp)
