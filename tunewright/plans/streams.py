@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.sinks import read_usage, write_usage
-from ..streaming.jobs import log_lines_stream, read_last_values, run_folder, stream_last_values, stream_trials
+from ..streaming.jobs import log_lines_stream, read_last_values, run_folder, stream_best_model, stream_last_values, stream_trials
 from .corpus import USAGE_SQL, scan_events, usage_table
 from .registry import ORACLE, r6, register
+from .trials import _round_metrics
 from ..sources.cells import fx_cells
 
 EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -36,6 +37,15 @@ def q_stream_last_metric(spark: SparkSession, sf: str) -> DataFrame:
     return last.select("run_id", "model", "metric", r6(F.col("value")).alias("value"))
 
 
+@register("stream_best_model", ORACLE["best_model_logs"])
+def q_stream_best_model(spark: SparkSession, sf: str) -> DataFrame:
+    """ST2 + K1: the best model per run, kept by a stream that emits a run's winner when it changes."""
+    base = run_folder(spark, "stream-best")
+    lines = log_lines_stream(spark, sf, EVENTS_SCHEMA)
+    winners = stream_best_model(spark, lines, f"{base}/table", f"{base}/checkpoint")
+    return _round_metrics(winners.latest())
+
+
 @register("usage_csv", USAGE_SQL + """
  select notebook "Notebook Name", category "Category", u.function "Function", uses_default "Uses Default Parameters?",
    custom_params "Custom Parameters",

@@ -41,15 +41,23 @@ def best_model(canon: DataFrame, rule: str = "logs", run: str = "run_id") -> Dat
     model, last run-level value, the TensorFlow flag) comes out of one aggregate over the
     log entries, so the logs are read and shuffled once; the rest works on that result.
     """
+    # One row per (run, model, metric): small next to the logs.  Checkpointing it keeps the
+    # branches of the rule from each re-reading the logs (they prune different columns of it).
+    return best_of_metrics(reliable_checkpoint(metric_table(canon, run)), rule, run)
+
+
+def metric_table(canon: DataFrame, run: str = "run_id") -> DataFrame:
+    """What the best-model rules need of every (run, model, metric); works on a stream as well."""
     order = _ord("line_no", "pos", "sub")
     glob_ord = F.when(F.col("is_global") & F.col("metric").isNotNull(), order)
-    g = canon.groupBy(run, "model", "metric").agg(
+    return canon.groupBy(run, "model", "metric").agg(
         F.max_by("value", order).alias("last"), F.min(order).alias("first"),
         F.max_by("value", glob_ord).alias("glast"), F.max(glob_ord).alias("gord"),
         F.max(F.col("tf_hit").cast("int")).alias("tf"))
-    # One row per (run, model, metric): small next to the logs.  Checkpointing it keeps the
-    # branches below from each re-reading the logs (they prune different columns of g).
-    g = reliable_checkpoint(g)
+
+
+def best_of_metrics(g: DataFrame, rule: str = "logs", run: str = "run_id") -> DataFrame:
+    """The rule on a ``metric_table``."""
     wide = (g.filter(F.col("metric").isNotNull()).groupBy(run, "model")
             .pivot("metric", list(METRICS)).agg(F.first("last")))
     first_seen = g.groupBy(run, "model").agg(F.min("first").alias("first_seen"))
