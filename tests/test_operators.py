@@ -521,3 +521,13 @@ def test_search_records_share_the_trials_they_write(spark, tmp_path):
     log = spark.createDataFrame([("nb1", "C=1", 0, 0.5), ("nb2", "C=1", 0, 0.5)], "stem string, setting string, fold int, score double")
     write_trials(log, f"{tmp_path}/t")
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/t").where("stem = 'nb2'").collect())) == [("C=1", 0, 0.5, "nb2")]
+
+
+def test_map_refuses_repeated_keys(spark):
+    from tunewright.operators.frame import map_values
+    d = spark.createDataFrame([("a",), ("b",), (None,)], "x string")
+    one = spark.createDataFrame([("a", 1), (None, 7), (None, 8)], "key string, value int")
+    assert [r["x"] for r in map_values(d, "x", one).collect()] == [1, None, None]
+    with pytest.raises(ValueError, match="repeat"):
+        map_values(d, "x", one.union(spark.createDataFrame([("a", 2)], "key string, value int")))
+    assert map_values(d, "x", one.where("false")).where("x is null").count() == 3

@@ -12,7 +12,8 @@ from tunewright.plans import QUERIES  # noqa: E402
 SF = "/root/testdata/sf0.001"
 # queries whose input is the syntax scan of code cells (checkpointed, so their plans read
 # the scan's output, not the Python step), and the ML queries (driver loops of fits)
-ML = {"search_lr", "select_from_model", "rfe", "submission", "raw_vs_prepared"}
+ML = {"search_lr", "search_trials", "search_logistic", "select_from_model", "rfe", "submission", "raw_vs_prepared",
+      "sweep_run", "sweep_multi"}
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
 
 

@@ -237,7 +237,7 @@ def replace(df: DataFrame, to_replace=None, value=None, regex: bool = False, sub
 
 def map_values(df: DataFrame, column: str, arg, na_action: str | None = None, key_col: str = "key",
                value_col: str = "value", broadcast_rows: int = 100_000) -> DataFrame:
-    """pandas ``Series.map``: dict, mapping DataFrame ("Series") or Column function; unmapped -> NULL."""
+    """pandas ``Series.map``: dict, mapping DataFrame ("Series", its keys unique) or Column function; unmapped -> NULL."""
     c = col(column)
     if callable(arg) and not isinstance(arg, (DataFrame, Mapping)):
         e = arg(c)
@@ -250,7 +250,11 @@ def map_values(df: DataFrame, column: str, arg, na_action: str | None = None, ke
         m = F.create_map(*[F.lit(x) for kv in arg.items() for x in kv])
         return replace_columns(df, {column: F.when(c.isNotNull(), F.element_at(m, c))})
     if isinstance(arg, DataFrame):
-        n = arg.count()
+        size = arg.groupBy(F.col(key_col)).agg(F.count(F.lit(1)).alias("c")).agg(F.sum("c").alias("n"), F.max(
+            F.when(F.col(key_col).isNotNull(), F.col("c"))).alias("most")).first()
+        if (size["most"] or 0) > 1:
+            raise ValueError(f"keys of the mapping repeat: {column} cannot be mapped to one value")
+        n = size["n"] or 0
         mapping = arg.select(F.col(key_col).alias("_mk"), F.col(value_col).alias("_mv"))
         if n <= broadcast_rows:
             mapping = F.broadcast(mapping)
