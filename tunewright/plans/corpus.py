@@ -490,6 +490,7 @@ from ..sources.cells import fx_cells_io, fx_cells_io_sql  # noqa: E402
 
 # Patterns of table loading, the four-way split and a model assignment.
 READ_CSV = r"(?m)^\s*([A-Za-z_][A-Za-z0-9_]*)\s*=\s*[A-Za-z_][A-Za-z0-9_.]*\.read_csv\(\s*['\"]([^'\"]*)['\"]"
+ASSIGNED = r"(?m)^([A-Za-z_][A-Za-z0-9_]*)\s*=[^=]"
 SPLIT4 = r"([A-Za-z0-9_]+),\s*([A-Za-z0-9_]+),\s*([A-Za-z0-9_]+),\s*([A-Za-z0-9_]+)\s*=\s*train_test_split"
 MODEL_ASSIGN = r"([A-Za-z0-9_]+)\s*=\s*[A-Za-z]+\("
 # Model-name fragments that mark a model cell, and evaluation calls.
@@ -500,23 +501,50 @@ COMMON_TRAIN = ("train", "df_train", "train_df", "X_train")
 COMMON_TEST = ("test", "df_test", "test_df", "X_test")
 
 
-def discover_tables(cells: DataFrame) -> DataFrame:
-    """Per notebook the last read_csv target whose name says train (else test), with its path."""
+def discover_tables(cells: DataFrame, fallback: bool = False) -> DataFrame:
+    """Per notebook the last read_csv target whose name says train (else test), with its path.
+
+    With ``fallback`` a notebook where either is missing takes, for both, the first of the usual names that a loading
+    cell assigns (path only where read_csv gave it), and else keeps what was found; every notebook with a loading cell
+    has a row."""
     src = F.col("source")
     names = F.regexp_extract_all(src, F.lit(READ_CSV), 1)
     paths = F.regexp_extract_all(src, F.lit(READ_CSV), 2)
+    load = F.transform(F.arrays_zip(names.alias("n"), paths.alias("p")), lambda e, i: F.struct(
+        i.alias("pos"), e["n"].alias("n"), e["p"].alias("p"), F.lit(True).alias("read")))
+    facts = load
+    if fallback:
+        facts = F.concat(load, F.transform(F.regexp_extract_all(src, F.lit(ASSIGNED), 1), lambda n: F.struct(
+            F.lit(-1).alias("pos"), n.alias("n"), F.lit(None).cast("string").alias("p"), F.lit(False).alias("read"))))
     ev = cells.filter(src.contains("read_csv")).select(
-        "notebook", "cell_index", F.posexplode(F.arrays_zip(names.alias("n"), paths.alias("p"))).alias("pos", "e"))
+        "notebook", "cell_index", (F.explode_outer if fallback else F.explode)(facts).alias("e"))
     low = F.lower(F.col("e.n"))
-    role = F.when(low.contains("train"), "train").when(low.contains("test"), "test")
-    ev = ev.withColumn("role", role).filter(F.col("role").isNotNull())
-    order = F.struct("cell_index", "pos")
+    role = F.when(F.col("e.read"), F.when(low.contains("train"), "train").when(low.contains("test"), "test"))
+    ev = ev.withColumn("role", role).withColumn("order", F.struct("cell_index", "e.pos"))
+    if not fallback:
+        ev = ev.filter(F.col("role").isNotNull())
+
+    def last(value: str, cond: Column) -> Column:
+        return F.max_by(F.col(value), F.when(cond, F.col("order")))
+
+    found = [last(f"e.{f}", F.col("role") == r).alias(f"{r}_{out}")
+             for r in ("train", "test") for f, out in (("n", "var"), ("p", "path"))]
+    if not fallback:
+        return ev.groupBy("notebook").agg(*found)
+    usual = {"train": COMMON_TRAIN, "test": COMMON_TEST}
     g = ev.groupBy("notebook").agg(
-        F.max_by(F.col("e.n"), F.when(F.col("role") == "train", order)).alias("train_var"),
-        F.max_by(F.col("e.p"), F.when(F.col("role") == "train", order)).alias("train_path"),
-        F.max_by(F.col("e.n"), F.when(F.col("role") == "test", order)).alias("test_var"),
-        F.max_by(F.col("e.p"), F.when(F.col("role") == "test", order)).alias("test_path"))
-    return g
+        *found,
+        *[F.max(F.col("e.n") == n).alias(f"has_{n}") for r in usual for n in usual[r]],
+        *[last("e.p", F.col("e.read") & (F.col("e.n") == n)).alias(f"path_{n}") for r in usual for n in usual[r]])
+    missing = F.col("train_var").isNull() | F.col("test_var").isNull()
+    out = []
+    for r, common in usual.items():
+        name, path = F.col(f"{r}_var"), F.col(f"{r}_path")
+        for n in reversed(common):
+            here = missing & F.coalesce(F.col(f"has_{n}"), F.lit(False))
+            name, path = F.when(here, n).otherwise(name), F.when(here, F.col(f"path_{n}")).otherwise(path)
+        out += [name.alias(f"{r}_var"), path.alias(f"{r}_path")]
+    return g.select("notebook", *out)
 
 
 def split_roles(cells: DataFrame) -> DataFrame:

@@ -148,3 +148,48 @@ FX_CELLS_NN_SQL = """
 cnn as (select 'nn' || cast(p_partkey % 30 as varchar) || '.ipynb' notebook, p_partkey cell_index,
   p_partkey % 5 kind, p_size from part)
 """
+
+
+def fx_cells_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells whose models, layers and compile calls are given names (notebook = partkey % 25, 7 kinds by partkey % 7)."""
+    p = read_table(spark, sf_dir, "part")
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    kind = k % 7
+    src = (F.when(kind == 0, F.concat(F.lit("n = "), size))
+           .when(kind == 1, F.lit("k = n"))
+           .when(kind == 2, F.concat(F.lit("act = 'a"), (F.col("p_size") % 4).cast("string"), F.lit("'")))
+           .when(kind == 3, F.lit("model = Sequential()"))
+           .when(kind == 4, F.lit("model.add(Dense(n, activation=act))"))
+           .when(kind == 5, F.lit("m = LogisticRegression(j, n, C=k)"))
+           .otherwise(F.lit("j = k\nmodel.compile(optimizer=act, metrics=[act, 'mae'])")))
+    return p.select(F.concat(F.lit("rf"), (k % 25).cast("string"), F.lit(".ipynb")).alias("notebook"),
+                    k.alias("cell_index"), src.alias("source"))
+
+
+def fx_cells_refs_sql() -> str:
+    return """
+crf as (select 'rf' || cast(p_partkey % 25 as varchar) || '.ipynb' notebook, p_partkey cell_index,
+  p_partkey % 7 kind, p_size from part)
+"""
+
+
+def fx_cells_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loading cells from ``part`` (notebook = partkey % 140, 3 kinds by partkey % 3); some tables have usual names
+    only by a second assignment."""
+    p = read_table(spark, sf_dir, "part")
+    k, kind = F.col("p_partkey"), F.col("p_partkey") % 3
+    read = F.concat(F.lit(' = pd.read_csv("'), F.col("p_type"), F.lit('.csv")'))
+    src = (F.when(kind == 0, F.concat(F.lit('my_train = pd.read_csv("'), F.col("p_brand"), F.lit('.csv")')))
+           .when(kind == 2, F.lit("test = my_train"))
+           .when(F.col("p_size") % 3 == 0, F.concat(F.lit("raw"), read, F.lit("\ndf_test = raw")))
+           .when(F.col("p_size") % 3 == 1, F.concat(F.lit("raw"), read, F.lit("\nX_train = raw")))
+           .otherwise(F.concat(F.lit("my_test"), read)))
+    return p.select(F.concat(F.lit("ld"), (k % 140).cast("string"), F.lit(".ipynb")).alias("notebook"),
+                    k.alias("cell_index"), src.alias("source"))
+
+
+def fx_cells_load_sql() -> str:
+    return """
+cld as (select 'ld' || cast(p_partkey % 140 as varchar) || '.ipynb' notebook, p_partkey cell_index,
+  p_partkey % 3 kind, p_size, p_brand, p_type from part)
+"""
