@@ -74,9 +74,10 @@ TEST_MARKERS = ("test_data", "X_test")
 OP_NAMES = (("Add", "Addition"), ("Sub", "Subtraction"), ("Mult", "Multiplication"), ("Div", "Division"))
 
 
-def scan_events(cells: DataFrame) -> DataFrame:
+def scan_events(cells: DataFrame, scans: tuple[str, ...] = ("calls", "models", "values")) -> DataFrame:
     """One Python pass over (notebook, cell_index, source), dealt by cell, so that a large
-    notebook's cells are parsed by many tasks.
+    notebook's cells are parsed by many tasks.  ``scans`` names the facts wanted: a job that reads metrics only
+    needs no call or model scan.
 
     The events are checkpointed (reliably, to the shared checkpoint folder): every
     rule after this reads them without re-running Python, and an executor loss does not
@@ -86,8 +87,8 @@ def scan_events(cells: DataFrame) -> DataFrame:
     # Python-heavy input into very few tasks.
     n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = F.coalesce("source", F.lit(""))
-    dealt = cells.select("notebook", "cell_index", clean_magics(F.btrim(source, F.lit(" \t\r\n"))).alias("calls"),
-                         blank_shell(source).alias("models"), source.alias("values")).repartition(
+    texts = {"calls": clean_magics(F.btrim(source, F.lit(" \t\r\n"))), "models": blank_shell(source), "values": source}
+    dealt = cells.select("notebook", "cell_index", *[texts[s].alias(s) for s in scans]).repartition(
         n, "notebook", "cell_index")
     # Ship the scan code with the task: executors need not have this package installed.
     from pyspark import cloudpickle

@@ -15,7 +15,10 @@ always fails in the reference (undefined name), is not applied.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from ..session import reliable_checkpoint
 
@@ -82,7 +85,7 @@ def metric_facts(events: DataFrame) -> DataFrame:
         [(t.contains(m), m) for m in ERROR_METRICS] + [(low.contains("mae"), "mae")] + plain)).otherwise(_first(plain))
     model = F.coalesce(prefix, F.lit("model"))
     is_metric = assign & metric.isNotNull()
-    rules = [
+    assigned = [
         (assign & (F.col("op") == "attr") & (func == "fit"), "tensorflow", "history_var", t),
         (history, "tensorflow", "created", yes),
         (history & key_acc, "tensorflow", F.when(key_val, "val_accuracy_var").otherwise("accuracy_var"), t),
@@ -97,29 +100,46 @@ def metric_facts(events: DataFrame) -> DataFrame:
         (is_metric & (func == "mean_squared_error"), model, "has_direct_mse", yes),
         (is_metric & (func == "sqrt"), model, "uses_sqrt", yes),
         (is_metric & F.array_contains("pos_args", "log"), model, "uses_log", yes),
-        (shown & (F.col("op") == "const") & text.contains("oob score"), "model", "uses_oob_score", yes),
+    ]
+    calls = [
         (called & (func == "accuracy_score"), "model", "accuracy_in_print", yes),
         (called & (func == "r2_score"), "model", "r2_in_print", yes),
     ]
+    prints = [(shown & (F.col("op") == "const") & text.contains("oob score"), "model", "uses_oob_score", yes)]
     for p in PRINT_PREFIXES:
         on = shown & (F.col("op") == "mod") & text.contains(p)
-        rules += [(on, p, "created", yes), (on & text.contains("rmse"), p, "rmse_in_print", yes),
-                  (on & text.contains("mse"), p, "mse_in_print", yes),
-                  (on & (text.contains("r2") | text.contains("r squared")), p, "r2_in_print", yes)]
+        prints += [(on, p, "created", yes), (on & text.contains("rmse"), p, "rmse_in_print", yes),
+                   (on & text.contains("mse"), p, "mse_in_print", yes),
+                   (on & (text.contains("r2") | text.contains("r squared")), p, "r2_in_print", yes)]
 
     def lit(x) -> Column:
         return F.lit(x) if isinstance(x, str) else x
 
-    facts = F.array(*[F.when(c, F.struct(lit(m).alias("model"), lit(k).alias("key"), lit(v).alias("value")))
-                      for c, m, k, v in rules])
-    return ev.select("notebook", "cell_index", "dfs", F.explode(F.filter(facts, lambda x: x.isNotNull())).alias("f")
-                     ).select("notebook", "cell_index", "dfs", "f.model", "f.key", "f.value")
+    # one projection per kind of fact, filtered after the explode: generated code stays small and is used at all
+    # (a filter by lambda would evaluate the rules outside of it)
+    out = []
+    for kind, own in ((assign, assigned), (called, calls), (shown, prints)):
+        facts = F.array(*[F.when(c, F.struct(lit(m).alias("model"), lit(k).alias("key"), lit(v).alias("value")))
+                          for c, m, k, v in own])
+        out.append(ev.filter(kind).select("notebook", "cell_index", "dfs", F.explode(facts).alias("f")).filter(
+            F.col("f").isNotNull()).select("notebook", "cell_index", "dfs", "f.model", "f.key", "f.value"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 def _extract(text: Column, pat: Column) -> Column:
-    """Group 1 of the first match as a double; NULL when there is no match or no number."""
-    group = F.call_function("regexp_extract", text, pat, F.lit(1))
-    return F.when(F.call_function("regexp_like", text, pat), group.try_cast("double"))
+    """Group 1 of the first match as a double; NULL when there is no match (an empty group) or no number."""
+    return F.call_function("regexp_extract", text, pat, F.lit(1)).try_cast("double")
+
+
+def _small(c: Column) -> Column:
+    """A-Z lower-cased, as (?i) compares."""
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _needed(pattern: str) -> list[str]:
+    """What a text must hold to match a cascade's pattern: {m}, {v} and the pattern's plain words."""
+    parts = re.split(r"(\{[mv]\})|\.\*\?|\[:\\s=\]\+|\(\[0-9\.\]\+\)", pattern)
+    return [x for x in parts if x and (x in ("{m}", "{v}") or x.replace(" ", "").isalnum())]
 
 
 def output_values(outputs: DataFrame, facts: DataFrame) -> DataFrame:
@@ -143,17 +163,20 @@ def output_values(outputs: DataFrame, facts: DataFrame) -> DataFrame:
     flags = first.groupBy("notebook", "model").agg(
         F.map_from_entries(F.collect_list(F.struct("key", "first_cell"))).alias("flags"),  # one model's keys
         F.min("first_cell").alias("born"))
-    names = (facts.filter(F.col("key") == "var_name").groupBy("notebook", "model")
-             .agg(F.array_sort(F.collect_list(F.struct("cell_index", "dfs", "value"))).alias("names")))
-    models = flags.join(names, ["notebook", "model"], "left")
-    pairs = outputs.join(models, "notebook").filter(F.col("born") <= F.col("cell_index"))  # one notebook's models
+    pairs = outputs.join(flags, "notebook").filter(F.col("born") <= F.col("cell_index"))  # one notebook's models
     on = lambda key: F.coalesce(F.element_at(F.col("flags"), F.lit(key)) <= F.col("cell_index"),
                                 F.lit(False))
-    var_expr = F.coalesce(F.element_at(F.filter("names", lambda x: x["cell_index"] <= F.col("cell_index")), -1)["value"],
-                          F.lit(""))
+    # the variable name that is known at an output: the last one of its model up to its cell, as of (notebook, model)
+    names = facts.filter(F.col("key") == "var_name").select(
+        "notebook", "model", "cell_index", "dfs", F.col("value").alias("_name"), F.lit(False).alias("_out"))
+    asof = (Window.partitionBy("notebook", "model").orderBy("cell_index", "_out", "dfs", "_name")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    pairs = pairs.withColumn("_out", F.lit(True)).unionByName(names, allowMissingColumns=True).withColumn(
+        "_var", F.coalesce(F.last("_name", ignorenulls=True).over(asof), F.lit(""))).filter("_out")
     # Rows that build the same pattern sit next to each other, so every regex expression
     # reuses its compiled pattern instead of compiling one per row.
-    pairs = pairs.withColumn("_var", var_expr).sortWithinPartitions("model", "_var")
+    pairs = pairs.withColumns({"_low": _small(t), "_m": _small(F.col("model")), "_v": _small(F.col("_var"))}
+                              ).sortWithinPartitions("model", "_var")
     var = F.col("_var")
     m = F.col("model")
     cas = []
@@ -165,7 +188,9 @@ def output_values(outputs: DataFrame, facts: DataFrame) -> DataFrame:
         for p in pats:
             parts = p.replace("{m}", "\x00m\x00").replace("{k}", metric).replace("{v}", "\x00v\x00").split("\x00")
             built = F.concat(F.lit("(?i)"), *[m if x == "m" else var if x == "v" else F.lit(x) for x in parts if x])
-            vals.append(_extract(t, built))
+            holds = [F.col("_low").contains({"{m}": F.col("_m"), "{v}": F.col("_v")}.get(x, F.lit(x)))
+                     for x in _needed(p.replace("{k}", metric))]
+            vals.append(F.when(reduce(lambda a, b: a & b, holds, F.lit(True)), _extract(t, built)))  # words before the regex
         cas.append(F.struct(F.lit(20 + j).alias("sub"), m.alias("model"), F.lit(metric).alias("metric"),
                             F.when(enabled, F.coalesce(*vals)).alias("value")))
     casc = pairs.select("notebook", "cell_index", F.explode(F.array(*cas)).alias("r")).select(
@@ -286,7 +311,7 @@ def _kind_facts_sql() -> str:
  select notebook, cell_index, model, key, value from cm join kf using (kind)""")
 def q_metric_vars(spark: SparkSession, sf: str) -> DataFrame:
     """Metric-variable, history and print facts of every cell."""
-    f = metric_facts(scan_events(fx_cells_metrics(spark, sf)))
+    f = metric_facts(scan_events(fx_cells_metrics(spark, sf), ("values",)))
     return f.select("notebook", "cell_index", "model", "key", "value")
 
 
@@ -373,7 +398,7 @@ def _output_metrics_sql() -> str:
 def q_output_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Per notebook and model, the last metric values its cell outputs report."""
     cells = fx_cells_metrics(spark, sf)
-    facts = metric_facts(scan_events(cells))
+    facts = reliable_checkpoint(metric_facts(scan_events(cells, ("values",))))  # read by several branches
     out = model_metrics(cells.select("notebook", "cell_index", "text"), facts)
     return out.select("notebook", "model", "metric", r6(F.col("value")).alias("value"))
 
@@ -443,7 +468,7 @@ def _notebook_metrics_sql() -> str:
 def q_notebook_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """The metric record of every notebook from its code and outputs (history, TensorFlow, best model)."""
     cells = fx_cells_metrics(spark, sf)
-    facts = metric_facts(scan_events(cells))
+    facts = reliable_checkpoint(metric_facts(scan_events(cells, ("values",))))  # read by several branches
     out = notebook_metrics(cells.select("notebook", "cell_index", "text"), facts, cells)
     return out.select("notebook", "best_model", *[r6(F.col(k)).alias(k) for k in
                                                   ("accuracy", "precision", "recall", "f1", "mse", "rmse", "r2", "mae")])
