@@ -4,6 +4,7 @@ import collections
 import hashlib
 import html
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -212,6 +213,22 @@ def test_any_markup_parses(text):
     assert all(t == " ".join(t.split()) and t for _, t in blocks)
 
 
+@pytest.mark.parametrize("page", [
+    "<a " * 700_000, "<div>" * 150_000 + "</p>" * 150_000 + "</span>" * 100_000, '<a ">" ' * 300_000 + '"',
+    "<svg " * 400_000, '<svg ">" ' * 250_000 + '">', "<!-" * 600_000, "<svg>" * 400_000, "<script" * 300_000 + ">",
+    "<div>" * 200_000 + "x" + "</div>" * 200_000])
+def test_hostile_pages_take_linear_time(page):
+    start = time.process_time()
+    html_extract.blocks_of(page)
+    assert time.process_time() - start < 20  # about 2 seconds; quadratic parsing takes many minutes
+
+
+def test_a_quote_that_never_closes_ends_the_reading_of_quotes():
+    blocks, decided = html_extract.blocks_of('<p>a</p><article><p title="x>b</p><p title=\'>c</p></article>')
+    assert [t for _, t in blocks] == ["a", "b", "c"] and decided
+    assert html_extract.blocks_of('<p title="1>0">a</p> 2 > 1 <')[0] == [(2, "a"), (2, "2 > 1 <")]
+
+
 def test_extract(spark):
     rows = [(i, f"http://h{i % 2}.example/{i}", page(a)) for i, (a, _) in enumerate(CASES)]
     rows += [(100, None, None), (101, "http://h0.example/", ""), (102, "http://h0.example/", "bare & text"),
