@@ -85,6 +85,34 @@ def test_broken_records_are_refused(tmp_path, old, new):
         list(warc.read_archive(archive(tmp_path, [one().replace(old, new)])))
 
 
+@pytest.mark.parametrize("old,new", [
+    (b"Content-Length: 5\r\n\r\nhello", b"X-Length: 55555\r\n\r\nhello"),
+    (b"Content-Length: 5\r\n\r\nhello", b"Content-Length: f\r\n\r\nhello"), (b"Page-ID: 1", b"Page-ID: x")])
+def test_missing_and_broken_numbers_are_refused(old, new):
+    record = one()
+    assert old in record
+    record = record.replace(old, new)
+    head, block = record[:-4].split(b"\r\n\r\n", 1)
+    head = re.sub(rb"(?m)^WARC-Block-Digest: .*\r\n", b"", head + b"\r\n").removesuffix(b"\r\n")
+    head = re.sub(rb"(?m)^Content-Length: \d+", b"Content-Length: %d" % len(block), head)
+    with pytest.raises(warc.WarcError, match="no number"):
+        warc.parse_record(head + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def test_a_revisit_without_its_page_is_refused():
+    with pytest.raises(warc.WarcError):
+        warc.parse_record(one().replace(b"WARC-Type: response", b"WARC-Type: revisit"))
+
+
+def test_records_without_a_page_are_passed_over(tmp_path):
+    info = (b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:x>\r\nWARC-Date: 2026-01-01T00:00:00Z\r\n"
+            b"Content-Length: 4\r\n\r\nx: y\r\n\r\n")
+    got = list(warc.read_archive(archive(tmp_path, [info, one(), info.replace(b"warcinfo", b"request")])))
+    assert [r["page_id"] for r in got] == [1]
+    with pytest.raises(warc.WarcError):
+        list(warc.read_archive(archive(tmp_path, [info.replace(b"Length: 4", b"Length: 5")])))
+
+
 def test_broken_archives_are_refused(tmp_path):
     path = archive(tmp_path, [one(b"a" * 500), one(b"b" * 500)])
     file = path.removeprefix("file://")

@@ -38,6 +38,8 @@ ARCHIVE, SAMPLES, DICT_BYTES, REVISIT = 32 << 20, 400, 32 << 10, 100
 # Fixed values of the formats: magic numbers, the revisit profile.
 SKIP_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: record types that hold no page
+OTHER_TYPES = ("warcinfo", "request", "metadata", "resource", "conversion", "continuation")
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "path string, records long, payload_bytes long"
 RECORD = ("page_id long, uri string, record_id string, record_type string, payload_bytes long, "
@@ -212,8 +214,15 @@ def _headers(lines: list[bytes]) -> dict[str, str]:
     return out
 
 
-def parse_record(record: bytes) -> dict:
-    """Split and validate one decoded record."""
+def _number(headers: dict, name: str) -> int:
+    value = headers.get(name)
+    if value is None or not value.isdecimal():
+        raise WarcError(f"{name} is missing or no number")
+    return int(value)
+
+
+def parse_record(record: bytes) -> dict | None:
+    """Split and validate one decoded record; None for a valid record that holds no page (``OTHER_TYPES``)."""
     head, blank, rest = record.partition(b"\r\n\r\n")
     lines = head.split(b"\r\n")
     if not blank or lines[0] not in (b"WARC/1.0", b"WARC/1.1"):
@@ -222,37 +231,46 @@ def parse_record(record: bytes) -> dict:
     for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in h:
             raise WarcError(f"{name} is missing")
-    if not h["content-length"].isdecimal():
-        raise WarcError("Content-Length is no number")
-    size = int(h["content-length"])
+    size = _number(h, "content-length")
     block = rest[:size]
     if len(block) != size or rest[size:] != b"\r\n\r\n":
         raise WarcError(f"Content-Length is {size}; the block and its end have {len(rest)}")
     if "warc-block-digest" in h and h["warc-block-digest"] != f"sha256:{hashlib.sha256(block).hexdigest()}":
         raise WarcError("the block's digest differs")
+    if h["warc-type"] in OTHER_TYPES:
+        return None
     http, blank, payload = block.partition(b"\r\n\r\n")
     if not blank or not http.startswith(b"HTTP/"):
         raise WarcError("the block is no HTTP response")
-    length = int(_headers(http.split(b"\r\n")[1:])["content-length"])
+    length = _number(_headers(http.split(b"\r\n")[1:]), "content-length")
     digest = h.get("warc-payload-digest", "").removeprefix("sha256:")
     revisit = h["warc-type"] == "revisit"
     if revisit:
         if payload or h.get("warc-profile") != PROFILE or "warc-refers-to" not in h:
             raise WarcError("a revisit with a payload, or without profile or reference")
-        target = int(h["refers-to-page-id"])
+        target = _number(h, "refers-to-page-id")
         if h["warc-refers-to"] != record_id(target, digest):
             raise WarcError("a revisit refers to another payload")
     elif h["warc-type"] != "response":
         raise WarcError(f"type {h['warc-type']}")
     elif len(payload) != length or hashlib.sha256(payload).hexdigest() != digest:
         raise WarcError("the payload's length or digest differs")
-    return {"page_id": int(h["page-id"]) if "page-id" in h else None,
+    return {"page_id": _page_id(h),
             "uri": h.get("warc-target-uri"),
             "record_id": h["warc-record-id"], "record_type": h["warc-type"], "payload_bytes": length,
             "payload_digest": digest, "refers_to": target if revisit else None,
             "payload": None if revisit else payload}
 
 
+def _page_id(headers: dict) -> int | None:
+    if "page-id" not in headers:
+        return None
+    try:
+        return int(headers["page-id"])
+    except ValueError as e:
+        raise WarcError("page-id is no number") from e
+
+
 def read_archive(path: str) -> Iterator[dict]:
     """The records of one archive, streamed."""
     fs, name = pafs.FileSystem.from_uri(path)
@@ -277,7 +295,9 @@ def read_archive(path: str) -> Iterator[dict]:
                     raise WarcError(f"{path}: {e}") from e
                 if 0 <= size != len(record):
                     raise WarcError(f"{path}: a frame of {size} bytes gave {len(record)}")
-                yield parse_record(record)
+                parsed = parse_record(record)
+                if parsed is not None:
+                    yield parsed
             first = False
 
 
