@@ -11,7 +11,7 @@ Of records with one payload of at least ``REVISIT`` bytes, that with the smalles
 Reading: the tasks stream the manifest's archives: dictionary from the skippable frame, then frame by frame.  Checked
 are the frame's content size and checksum, the version line, the needed headers, the block's Content-Length, the
 closing blank lines, the HTTP Content-Length, the block and payload digests, and the record count of the manifest.
-Anything else is a ``WarcError``: nothing is skipped.
+Valid records that hold no page (``warcinfo``, ``request``, ...) are passed over; anything else is a ``WarcError``.
 
 Defined results: a null payload is the empty one, a null url an absent WARC-Target-URI, a line
 break in a url its percent code; null ids come after all
