@@ -216,6 +216,15 @@ def fuzz(n=400, seed=11):
         "<|endoftext|>", "x <|endoftext|> y<|endoftext|>", "<|endoftext", "a" * 9000, "abcde" * 3000, " " * 3000]
 
 
+def test_token_batches_are_bounded_in_bytes():
+    texts = ["д" * 9_000] * 200 + ["中文" * 4_000] * 100 + ["abc " * 4_000] * 100
+    sizes = np.array([token_counts.n_bytes(t) for t in texts], np.int64)
+    assert sizes.tolist() == [len(t.encode()) for t in texts]
+    groups = list(token_counts.batches_of(sizes))
+    assert sorted(np.concatenate(groups).tolist()) == list(range(len(texts)))
+    assert max(int(sizes[g].sum()) for g in groups) <= token_counts.BATCH + int(sizes.max())
+
+
 def test_bpe_is_the_library(library):
     own = bpe.ByteBPE(tokenizer_path())
     texts = fuzz() + [t or "" for _, t in TEXTS]

@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +45,9 @@ def pieces(text: str, size: int = PIECE) -> list[str]:
     return [*out, text[at:]]
 
 
+@lru_cache(maxsize=2)
 def counter(path: str) -> tuple[Callable[[list[str]], list[int]], bool]:
-    """A function of texts that gives token counts, and whether texts may be cut."""
+    """A function of texts that gives token counts, and whether texts may be cut; read once by a Python worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
     if path.endswith(".model"):
         from sentencepiece import SentencePieceProcessor
@@ -66,6 +68,10 @@ def counter(path: str) -> tuple[Callable[[list[str]], list[int]], bool]:
     return lambda texts: [len(e) for e in tok.encode_batch_fast(texts, add_special_tokens=False)], plain
 
 
+def n_bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
 def batches_of(sizes: np.ndarray, limit: int = BATCH) -> Iterator[np.ndarray]:
     """Places in order of size, dealt into batches of about ``limit`` bytes."""
     order = np.argsort(sizes, kind="stable")
@@ -88,7 +94,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_column: str =
                 parts += own
             n = np.zeros(b.num_rows, np.int64)
             place = np.array(rows, np.int64)
-            for group in batches_of(np.array([len(p) for p in parts], np.int64)):
+            for group in batches_of(np.array([n_bytes(p) for p in parts], np.int64)):
                 np.add.at(n, place[group], count([parts[i] for i in group]))
             yield pa.record_batch([b.column(id_column), b.column("n_bytes"), pa.array(n), pa.array(n > limit)],
                                   names=[id_column, "n_bytes", "n_tokens", "over_limit"])
