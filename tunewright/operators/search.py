@@ -107,10 +107,24 @@ def sample_grid(records: DataFrame, grid: DataFrame, n_iter: int = 20, seed: int
                 key: Sequence[str] = ("notebook", "cell_index")) -> DataFrame:
     """M3: up to ``n_iter`` settings per model record, drawn without replacement by a seeded md5 order."""
     from pyspark.sql import Window
-    j = records.join(F.broadcast(grid), records["model_type"] == grid["model"])  # grid: fixed, <= 675 rows/model
-    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key], F.col("setting")))
-    w = Window.partitionBy(*key).orderBy(h, F.col("setting"))  # one record's grid
-    return j.withColumn("draw", F.row_number().over(w)).filter(F.col("draw") <= n_iter).drop("model")
+    grid = grid.withColumn("_at", F.row_number().over(Window.partitionBy("model").orderBy("setting")))
+    whole = grid.groupBy("model").agg(F.collect_list(F.struct("_at", "setting")).alias("_all"))  # grid: <= 675 rows/model
+    # each record sorts its own grid: the settings that are not drawn never become rows
+    drawn = F.slice(F.sort_array(F.transform("_all", lambda s: F.struct(
+        F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key], s["setting"])).alias("_h"),
+        s["_at"].alias("_at")))), 1, n_iter)
+    # an explicit count: AQE would put the narrow records, and so all draws, into few tasks
+    n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    j = records.repartition(n, *key).withColumn("_same", F.count(F.lit(1)).over(Window.partitionBy(*key))).join(
+        F.broadcast(whole), records["model_type"] == whole["model"])
+    rows = [*records.columns, "_same", "model"]
+    j = j.select(*rows, F.posexplode(drawn).alias("_pos", "_s")).select(*rows, "_pos", "_s.*")
+    once = j.filter("_same = 1").withColumn("draw", F.col("_pos") + 1)
+    # records of one key draw together, each has all that can be among the first
+    w = Window.partitionBy(*key).orderBy("_h", "_at")
+    many = j.filter("_same > 1").withColumn("draw", F.row_number().over(w)).filter(F.col("draw") <= n_iter)
+    out = once.unionByName(many).join(F.broadcast(grid), ["model", "_at"])
+    return out.select(*records.columns, *[c for c in grid.columns if c not in ("model", "_at")], "draw")
 
 
 def distinct_grid(spark: SparkSession, spaces: dict | None = None) -> DataFrame:
