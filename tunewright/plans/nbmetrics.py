@@ -142,6 +142,14 @@ def _needed(pattern: str) -> list[str]:
     return [x for x in parts if x and (x in ("{m}", "{v}") or x.replace(" ", "").isalnum())]
 
 
+#: cell numbers of a block of the as-of search for names
+NAME_BLOCK = 1 << 16
+
+
+def _block() -> Column:
+    return F.floor(F.col("cell_index") / F.lit(NAME_BLOCK)).cast("long")
+
+
 def output_values(outputs: DataFrame, facts: DataFrame) -> DataFrame:
     """(notebook, cell_index, sub, model, metric, value) produced by every cell output."""
     t = F.col("text")
@@ -166,13 +174,27 @@ def output_values(outputs: DataFrame, facts: DataFrame) -> DataFrame:
     pairs = outputs.join(flags, "notebook").filter(F.col("born") <= F.col("cell_index"))  # one notebook's models
     on = lambda key: F.coalesce(F.element_at(F.col("flags"), F.lit(key)) <= F.col("cell_index"),
                                 F.lit(False))
-    # the variable name that is known at an output: the last one of its model up to its cell, as of (notebook, model)
+    # the variable name that is known at an output: the last one of its model up to its cell, as of (notebook, model).
+    # It is found within blocks of cell numbers, so no task sorts a whole notebook's outputs; each block begins with
+    # the last name of the blocks before it.
     names = facts.filter(F.col("key") == "var_name").select(
-        "notebook", "model", "cell_index", "dfs", F.col("value").alias("_name"), F.lit(False).alias("_out"))
-    asof = (Window.partitionBy("notebook", "model").orderBy("cell_index", "_out", "dfs", "_name")
+        "notebook", "model", "cell_index", "dfs", F.col("value").alias("_name"), F.lit(False).alias("_out"),
+        _block().alias("_block"))
+    order = ["cell_index", "_out", "dfs", "_name"]
+    last = names.groupBy("notebook", "model", "_block").agg(F.max_by("_name", F.struct(*order)).alias("_name"))
+    asked = outputs.select("notebook", _block().alias("_block")).distinct().join(
+        flags.select("notebook", "model"), "notebook").withColumn("_name", F.lit(None).cast("string"))
+    blocks = last.unionByName(asked).groupBy("notebook", "model", "_block").agg(
+        F.first("_name", ignorenulls=True).alias("_name"))
+    before = (Window.partitionBy("notebook", "model").orderBy("_block")
+              .rowsBetween(Window.unboundedPreceding, -1))  # a row a block
+    begun = blocks.withColumn("_name", F.last("_name", ignorenulls=True).over(before)).filter(
+        F.col("_name").isNotNull()).withColumn("_out", F.lit(False))
+    asof = (Window.partitionBy("notebook", "model", "_block").orderBy(*order)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    pairs = pairs.withColumn("_out", F.lit(True)).unionByName(names, allowMissingColumns=True).withColumn(
-        "_var", F.coalesce(F.last("_name", ignorenulls=True).over(asof), F.lit(""))).filter("_out")
+    pairs = pairs.withColumns({"_out": F.lit(True), "_block": _block()}).unionByName(
+        names, allowMissingColumns=True).unionByName(begun, allowMissingColumns=True).withColumn(
+        "_var", F.coalesce(F.last("_name", ignorenulls=True).over(asof), F.lit(""))).filter("_out").drop("_block")
     # Rows that build the same pattern sit next to each other, so every regex expression
     # reuses its compiled pattern instead of compiling one per row.
     pairs = pairs.withColumns({"_low": _small(t), "_m": _small(F.col("model")), "_v": _small(F.col("_var"))}
