@@ -234,3 +234,35 @@ def test_search_scores_are_those_of_the_rows(labelled):
     assert len(res.trials("f1")) == 6 and res.best("accuracy")[0] == "C=1, penalty=l1"
     with pytest.raises(ValueError, match="penalty"):
         logistic_search(frame, ["a"], "y", "part", 3, [("x", 1.0, "elasticnet")])
+
+
+def test_l1_step_is_exact_where_columns_determine_each_other():
+    from tunewright.operators.logistic import _step
+    rng = np.random.default_rng(5)
+    level, other = rng.integers(0, 5, 4000), rng.integers(0, 6, 4000)
+    z = np.column_stack([level == i for i in range(5)] + [other == i for i in range(6)] + [rng.normal(size=4000)]).astype(float)
+    z = np.column_stack([np.ones(4000), (z - z.mean(0)) / z.std(0)])
+    y = rng.integers(0, 2, 4000) + 0.3 * (level == 2) + 0.1 * other
+    h, g, strength = z.T @ z, -z.T @ y, 1e-3
+    w = _step(np.zeros(13), g, h, strength, True)
+    slope = g + h @ w
+    assert abs(slope[0]) < 1e-5
+    off = np.where(w[1:] == 0, np.maximum(np.abs(slope[1:]) - strength, 0), np.abs(slope[1:] + strength * np.sign(w[1:])))
+    assert off.max() < strength / 100  # creeping along the columns that add up to one leaves slopes of its size
+    assert (w[1:] == 0).sum() >= 2
+
+
+def test_sums_of_models_are_those_of_their_rows():
+    from tunewright.operators import logistic
+    rng = np.random.default_rng(6)
+    z, y = np.column_stack([np.ones(700), rng.normal(0, 3, (700, 3))]), rng.integers(0, 2, 700).astype(float)
+    part, weights = rng.integers(0, 3, 700), rng.normal(0, 4, (4, 4))
+    keep = part[:, None] != np.array([0, 1, 2, -1])
+    got = logistic._batch_sums(z, y, keep, weights)
+    for j, w in enumerate(weights):
+        x, t = z[keep[:, j]], y[keep[:, j]]
+        m = x @ w
+        p = 1 / (1 + np.exp(-m))
+        h = (x * (p * (1 - p))[:, None]).T @ x
+        want = np.concatenate([[np.logaddexp(0, m).sum() - t @ m], x.T @ (p - t), h[np.triu_indices(4)]])
+        assert np.allclose(got[j], want, rtol=1e-9, atol=1e-9)

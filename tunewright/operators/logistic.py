@@ -26,6 +26,8 @@ from ..sources.tables import col
 from .gram import moments
 
 MAX_STEPS, GAIN = 60, 1e-9
+#: rows that are multiplied at once, and most products of columns that are made for all models together
+ROWS, PRODUCTS = 512, 1024
 
 
 @dataclass(frozen=True)
@@ -57,42 +59,58 @@ class LogisticFit:
         return sum((col(c).cast("double") * F.lit(float(b)) for c, b in zip(self.features, w, strict=True)), F.lit(a))
 
 
+def _batch_sums(z: np.ndarray, y: np.ndarray, keep: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Loss, gradient and upper Hessian of every model over the rows that ``keep`` (rows, models) says; a row a model."""
+    m = z @ weights.T * keep  # rows that do not count: margin 0, taken off again
+    q = np.exp(-np.abs(m))
+    over = 1 + q
+    gone = len(z) - keep.sum(0)
+    # sum of max(m, 0) - m * y + log(1 + q); the logs as one log of a product of at most 2 ** ROWS
+    loss = np.maximum(m, 0).sum(0) - y @ m + np.log(over.prod(0)) - gone * np.log(2.0)
+    p = np.where(m >= 0, 1, q) / over
+    g = z.T @ ((p - y[:, None]) * keep)
+    v = q / (over * over) * keep
+    left, right = np.triu_indices(z.shape[1])
+    if len(left) <= PRODUCTS:  # the products of columns are made once for all models
+        h = (z[:, left] * z[:, right]).T @ v
+    else:
+        h = np.stack([((z * v[:, j, None]).T @ z)[left, right] for j in range(len(weights))], axis=1)
+    return np.concatenate([loss[None], g, h]).T
+
+
+def _batch_counts(y: np.ndarray, own: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """Per model the counts (label, prediction) of the ``own`` rows: 00, 01, 10, 11."""
+    of = np.stack([own & (y == a) for a in (0, 1)]).astype(float)
+    yes = of @ hit
+    return np.stack([of.sum(1)[:, None] - yes, yes], axis=1).reshape(4, -1).T
+
+
 def _sums(rows: DataFrame, center: np.ndarray, scale: np.ndarray, todo: list[tuple[int, int]], weights: np.ndarray,
           score: bool) -> dict[int, np.ndarray]:
     """Per model (number, fold left out): loss, gradient and upper Hessian over its rows; or with ``score`` the counts
     (label, prediction) on the rows of each part: part -> 4 numbers."""
     size = len(center) + 1
-    upper = np.triu_indices(size)
+    without = np.array([f for _, f in todo])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        for b in batches:
-            if not b.num_rows:
-                continue
+        sums: dict[int, np.ndarray] = {}  # part (0 without ``score``) -> a row a model
+        for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             z = np.ones((b.num_rows, size))
             for i in range(size - 1):
                 z[:, i + 1] = (b.column(i + 2).to_numpy(zero_copy_only=False) - center[i]) / scale[i]
             part, y = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
-            margin = z @ weights.T
-            for j, (number, without) in enumerate(todo):
-                if score:
-                    hit = margin[:, j] > 0
-                    for p in np.unique(part):
-                        own = part == p
-                        c = np.array([(own & (y == a) & (hit == h)).sum() for a in (0, 1) for h in (False, True)], float)
-                        sums[number, int(p)] = sums.get((number, int(p)), 0) + c
-                    continue
-                use = (part >= 0) & (part != without)
-                m, t, x = margin[use, j], y[use], z[use]
-                q = np.exp(-np.abs(m))
-                p = np.where(m >= 0, 1, q) / (1 + q)
-                loss = (np.maximum(m, 0) - m * t + np.log1p(q)).sum()
-                g = x.T @ (p - t)
-                h = (x * (p * (1 - p))[:, None]).T @ x
-                sums[number, 0] = sums.get((number, 0), 0) + np.concatenate([[loss], g, h[upper]])
-        keys = list(sums)
-        yield pa.record_batch([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()),
-                               pa.array([sums[k] for k in keys], pa.list_(pa.float64()))], names=["m", "part", "v"])
+            if score:
+                hit = (z @ weights.T > 0).astype(float)
+                for p in np.unique(part):
+                    sums[int(p)] = sums.get(int(p), 0) + _batch_counts(y, part == p, hit)
+            else:
+                keep = (part[:, None] >= 0) & (part[:, None] != without)
+                sums[0] = sums.get(0, 0) + np.concatenate([_batch_sums(z, y, keep, weights), keep.sum(0)[:, None]], axis=1)
+        # a model without rows in the task has no sums
+        keys = [(j, p) for p in sums for j in range(len(todo)) if score or sums[p][j, -1]]
+        yield pa.record_batch([pa.array([todo[j][0] for j, _ in keys], pa.int32()), pa.array([p for _, p in keys], pa.int32()),
+                               pa.array([sums[p][j] if score else sums[p][j, :-1] for j, p in keys], pa.list_(pa.float64()))],
+                              names=["m", "part", "v"])
 
     cells = rows.mapInArrow(run, "m int, part int, v array<double>").select("m", "part", F.posexplode("v").alias("j", "v"))
     out: dict = {}
@@ -108,9 +126,9 @@ def _step(w: np.ndarray, g: np.ndarray, h: np.ndarray, strength: float, l1: bool
     free = np.arange(len(w)) > 0
     if not l1:
         return w - np.linalg.solve(h + np.diag(strength * free), g + strength * w * free)
-    new, slope = w.copy(), g.copy()  # slope: of the quadratic model at new
+    new = w.copy()
     for _ in range(1000):
-        largest = 0.0
+        slope, largest = g + h @ (new - w), 0.0  # slope: of the quadratic model at new
         for i in range(len(w)):
             at = new[i] - slope[i] / h[i, i]
             if free[i]:
@@ -121,6 +139,14 @@ def _step(w: np.ndarray, g: np.ndarray, h: np.ndarray, strength: float, l1: bool
                 new[i] = at
         if largest < 1e-11:
             break
+        # columns that determine each other make the descent creep: go to the least value of these signs, or up to
+        # where the first weight is 0
+        on = np.flatnonzero(~free | (new != 0))
+        move = np.linalg.solve(h[np.ix_(on, on)], -(slope + strength * np.sign(new) * free)[on])
+        turns = free[on] & (np.sign(new[on] + move) != np.sign(new[on]))
+        far = np.where(turns, -new[on] / np.where(turns, move, 1.0), 1.0)
+        first = float(min(1.0, far.min()))
+        new[on] = np.where(turns & (far <= first), 0.0, new[on] + first * move)
     return new
 
 
