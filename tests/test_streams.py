@@ -96,3 +96,20 @@ def test_replayed_epoch_replaces_itself(spark, tmp_path, monkeypatch):
     table.write(rows((2, "d")), 3)
     assert sorted(map(tuple, table.newest(2).collect())) == [(1, "b"), (2, "a"), (3, "c")]  # a replay of epoch 3
     assert sorted(map(tuple, table.latest().collect())) == [(1, "b"), (2, "d"), (3, "c")]
+
+
+def test_short_runs_share_groups_and_nulls_and_long_numbers_stay(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "GROUPS", 3, raising=False)
+    long = 2 ** 53 + 1
+    rows = [(r, n, "x") for r in range(40) for n in (0, 1, 5, long, -7)] + [(None, 1, "x"), (None, long, "x"), (long, 2, "x")]
+    free = [(1, None, "a"), (1, None, "a"), (None, None, "b")]
+    schema = "run_id long, line_no long, text string"
+    for part in (rows + free, rows[::2] + rows[::3], rows + free):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    lines = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = (jobs.drop_seen(lines).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c")
+         .trigger(availableNow=True).start(f"{tmp_path}/out"))
+    q.awaitTermination()
+    got = [tuple(r) for r in spark.read.schema(schema).parquet(f"{tmp_path}/out").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, rows + 2 * free))
+    assert q.recentProgress[0]["stateOperators"][0]["numRowsTotal"] <= 3 * 4
