@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tunewright.operators import frame as frame_ops
+from tunewright.operators import gram
 from tunewright.operators import trialgraph as tg
 from tunewright.operators.gram import LinearSpec, eliminate, least_squares, moments, search_specs
 from tunewright.operators.select import RFE, SelectFromModel
@@ -266,3 +268,50 @@ def test_sums_of_models_are_those_of_their_rows():
         h = (x * (p * (1 - p))[:, None]).T @ x
         want = np.concatenate([[np.logaddexp(0, m).sum() - t @ m], x.T @ (p - t), h[np.triu_indices(4)]])
         assert np.allclose(got[j], want, rtol=1e-9, atol=1e-9)
+
+
+def test_moments_keep_their_digits_when_the_first_rows_lie_far_from_the_mean(spark):
+    df = spark.range(0, 4000, 1, 4).selectExpr(
+        "cast(id as int) % 3 k", "case when id < 1200 then 1e9 + id % 2 else id % 7 end a", "id % 5 + 0.5 b",
+        "if(id % 9 = 0, null, id) c", "7.25D d")
+    x = np.array([[1e9 + i % 2 if i < 1200 else i % 7, i % 5 + 0.5, 7.25] for i in range(4000)])
+    calls, one = [], gram._pass
+    try:
+        gram._pass = lambda *a: calls.append(a) or one(*a)
+        m = gram.moments(df, ["a", "b", "c", "d"], F.col("k"), missing_ok=True)
+        gram.moments(df.select("b"), ["b"])
+    finally:
+        gram._pass = one
+    assert len(calls) <= 3 and m.missing == {"c"}
+    own = [0, 1, 3]
+    assert np.allclose(m.center[own], x.mean(0), rtol=1e-12) and np.allclose(m.scale[[0, 1]], x.std(0)[:2], rtol=1e-9)
+    z = np.column_stack([np.ones(4000), (x - m.center[own]) / m.scale[own]])
+    for key in range(3):
+        at = np.arange(4000) % 3 == key
+        got = m.take(["a", "b", "d"]).parts[key]
+        assert np.allclose(got, z[at].T @ z[at], atol=1e-7)
+    assert not m.parts[0][3].any()
+
+
+def test_a_sweep_orders_the_rows_once_and_parts_the_specs(spark):
+    specs = [tg.Spec("fill", ("p", "q"), (tg.Stage("fillna", ("q",), (("value", 0.0), ("limit", 4))),)),
+             tg.Spec("pad", ("q",), (tg.Stage("fillna", ("q",), (("method", "ffill"),)), tg.Stage("SimpleImputer", ("q",)))),
+             tg.Spec("also", ("q",), (tg.Stage("fillna", ("q",), (("method", "ffill"),)), tg.Stage("MinMaxScaler", ("q",)),
+                                      tg.Stage("SimpleImputer", ("q",))))]
+    trials = tg.expand(specs, {})
+    groups = tg._groups(trials)
+    assert groups[0] != groups[1] == groups[2]
+    got = {s.trial.spec.name: s for s in run(spark, specs).scores}
+    assert got["fill"].status == "failed" and "missing values" in got["fill"].error
+    assert got["pad"].mse == pytest.approx(got["also"].mse, rel=1e-9)
+
+
+def test_fills_of_a_whole_table_join_no_rows_by_one_key(spark):
+    rows = [(i, None if i % 3 else float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, v double")
+    first = frame_ops.fillna(df, value=-1.0, limit=5, order_by="id", subset=["v"], chunks=4)
+    assert "Join" not in first._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["id"] for r in first.where("v = -1").orderBy("id").collect()] == [1, 2, 4, 5, 7]
+    last = frame_ops.fillna(df, method="ffill", limit=1, order_by="id", subset=["v"], chunks=4)
+    assert "SortMergeJoin" not in last._jdf.queryExecution().executedPlan().toString()
+    assert [r["v"] for r in last.orderBy("id").collect()] == [None if i % 3 == 2 else float(i - i % 3) for i in range(60)]

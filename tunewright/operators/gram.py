@@ -13,7 +13,6 @@ second moment or less) is left out with coefficient 0.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -25,6 +24,8 @@ from pyspark.sql import functions as F
 from ..sources.tables import col
 
 TOLERANCE = 1e-9
+#: rows that are multiplied at once
+ROWS = 4096
 
 
 @dataclass
@@ -52,70 +53,88 @@ class Moments:
         return [where[n] for n in names]
 
 
-def _numbered(batch: pa.RecordBatch) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(np.arange(batch.num_rows, dtype=np.int32)), batch.column(0)], names=["j", "v"])
+#: rows that a provisional centre is taken from, and deviations that the mean may lie away from it
+SAMPLE, FAR = 1000, 10.0
 
 
-def moments(df: DataFrame, columns: Sequence[str], key: Column | None = None, missing_ok: bool = False) -> Moments:
-    """Moments of ``columns`` by an integer ``key``.  Nulls and NaN are an error: impute first.  With ``missing_ok``
-    columns that have some are named in ``missing`` and count as 0."""
-    columns = list(columns)
-    x = [col(c).cast("double") for c in columns]
-    rows = df.select((F.lit(0) if key is None else key).cast("int").alias("k"), *[e.alias(f"x{i}") for i, e in enumerate(x)])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((3, len(columns)))  # values, their sum, sum of squares
-        empty = np.zeros(len(columns))
-        for b in batches:
-            for i in range(len(columns) if b.num_rows else 0):
-                v = b.column(i + 1).to_numpy(zero_copy_only=False)
-                v = v[~np.isnan(v)]
-                empty[i] += b.num_rows - len(v)
-                if len(v):
-                    mean = v.mean()
-                    total[:, i] += len(v), v.sum(), ((v - mean) ** 2).sum() + len(v) * mean * mean
-        yield pa.record_batch([pa.array(list(np.vstack([total, empty]).T), pa.list_(pa.float64()))], names=["v"])
-
-    # batches of columns: a row a column from each task
-    first = rows.mapInArrow(lambda it: (_numbered(b) for b in scan(it)), "j int, v array<double>").groupBy("j").agg(
-        *[F.sum(F.col("v")[i]).alias(n) for i, n in enumerate(("n", "s", "q", "e"))]).orderBy("j").collect()
-    if not any(r["n"] + r["e"] for r in first):
-        raise ValueError("no rows to fit")
-    bad = [c for c, r in zip(columns, first, strict=True) if r["e"]]
-    if bad and not missing_ok:
-        raise ValueError("missing values in " + ", ".join(bad))
-    whole = [not r["e"] for r in first]
-    center = np.array([r["s"] / r["n"] if ok else 0.0 for r, ok in zip(first, whole, strict=True)])
-    scale = np.array([math.sqrt(max(0.0, r["q"] / r["n"] - (r["s"] / r["n"]) ** 2)) if ok else 1.0
-                      for r, ok in zip(first, whole, strict=True)])
-    scale = np.where(scale > 1e-7 * np.abs(center), scale, np.maximum(1e-7 * np.abs(center), 1e-300))
-    scale = np.where(scale > 1e-290, scale, 1.0)
-    size = len(columns) + 1
+def _pass(rows: DataFrame, center: np.ndarray, scale: np.ndarray) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """Moments of (1, (columns - center) / scale) by key, nulls and NaN as 0, and the number of these by column."""
+    size = len(center) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            if not b.num_rows:
-                continue
-            z = np.ones((b.num_rows, size))
-            for i in range(size - 1):
-                if not whole[i]:
-                    z[:, i + 1] = 0.0
-                    continue
-                z[:, i + 1] = (b.column(i + 1).to_numpy(zero_copy_only=False) - center[i]) / scale[i]
+        sums: dict[int, np.ndarray] = {}  # key -> moments, and a last row of missing values
+        for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+            z = np.ones((size, b.num_rows))
             k = b.column(0).to_numpy(zero_copy_only=False)
-            for one in np.unique(k):
-                own = z[k == one]
-                sums[int(one)] = sums.get(int(one), 0) + own.T @ own
+            order = np.argsort(k, kind="stable")  # rows of a key follow each other
+            for i in range(size - 1):
+                np.subtract(b.column(i + 1).to_numpy(zero_copy_only=False)[order], center[i], out=z[i + 1])
+            z[1:] /= scale[:, None]
+            hole = np.isnan(z) if np.isnan(z.sum()) else None
+            if hole is not None:
+                z[hole] = 0.0
+            kinds, first = np.unique(k[order], return_index=True)
+            for one, lo, hi in zip(kinds, first, [*first[1:], len(k)], strict=True):
+                own = z[:, lo:hi]
+                if int(one) not in sums:
+                    sums[int(one)] = np.zeros((size + 1, size))
+                sums[int(one)][:size] += own @ own.T
+                if hole is not None:
+                    sums[int(one)][size] += hole[:, lo:hi].sum(1)
         for k, m in sums.items():
-            yield pa.record_batch([pa.array(np.full(size, k, np.int32)), pa.array(np.arange(size, dtype=np.int32)),
+            yield pa.record_batch([pa.array(np.full(size + 1, k, np.int32)), pa.array(np.arange(size + 1, dtype=np.int32)),
                                    pa.array(list(m), pa.list_(pa.float64()))], names=["k", "i", "v"])
 
     cells = rows.mapInArrow(run, "k int, i int, v array<double>").select("k", "i", F.posexplode("v").alias("j", "v"))
-    out = Moments(columns, center, scale, missing=frozenset(bad))
+    parts: dict[int, np.ndarray] = {}
+    empty = np.zeros(size - 1)
     for r in cells.groupBy("k", "i", "j").agg(F.sum("v").alias("v")).collect():  # keys times columns squared
-        out.parts.setdefault(r["k"], np.zeros((size, size)))[r["i"], r["j"]] = r["v"]
-    return out
+        if r["i"] < size:
+            parts.setdefault(r["k"], np.zeros((size, size)))[r["i"], r["j"]] = r["v"]
+        elif r["j"]:
+            empty[r["j"] - 1] += r["v"]
+    return parts, empty
+
+
+def moments(df: DataFrame, columns: Sequence[str], key: Column | None = None, missing_ok: bool = False) -> Moments:
+    """Moments of ``columns`` by an integer ``key``.  Nulls and NaN are an error: impute first.  With ``missing_ok``
+    columns that have some are named in ``missing`` and count as 0.
+
+    One pass adds up the moments about a provisional centre, that of a few rows, and they are moved to the mean.  Where
+    the mean lies far from it, which would cost digits, a second pass goes by the mean itself."""
+    columns = list(columns)
+    x = [col(c).cast("double") for c in columns]
+    rows = df.select((F.lit(0) if key is None else key).cast("int").alias("k"), *[e.alias(f"x{i}") for i, e in enumerate(x)])
+    some = np.array([tuple(r) for r in rows.limit(SAMPLE).collect()], float).reshape(-1, len(columns) + 1)[:, 1:]
+    center, scale = np.zeros(len(columns)), np.ones(len(columns))
+    for i, v in enumerate(some.T):
+        v = v[np.isfinite(v)]
+        if len(v):
+            center[i] = v.mean() if v.min() < v.max() else v[0]
+            scale[i] = v.std() if v.std() > 1e-7 * abs(center[i]) else max(1e-7 * abs(center[i]), 1e-300)
+    scale = np.where(scale > 1e-290, scale, 1.0)
+    for _ in range(2):
+        parts, empty = _pass(rows, center, scale)
+        if not parts:
+            raise ValueError("no rows to fit")
+        bad = [c for c, e in zip(columns, empty, strict=True) if e]
+        if bad and not missing_ok:
+            raise ValueError("missing values in " + ", ".join(bad))
+        whole = empty == 0
+        t = sum(parts.values())
+        off = t[0, 1:] / t[0, 0]                      # the mean in the pass's units
+        spread = np.sqrt(np.maximum(0.0, t.diagonal()[1:] / t[0, 0] - off ** 2))
+        mean, deviation = center + off * scale, spread * scale
+        deviation = np.where(deviation > 1e-7 * np.abs(mean), deviation, np.maximum(1e-7 * np.abs(mean), 1e-300))
+        deviation = np.where(deviation > 1e-290, deviation, 1.0)
+        near = ~whole | ~np.isfinite(deviation) | (np.abs(off) * scale <= FAR * deviation)
+        if near.all():
+            break
+        center, scale = np.where(near, center, mean), np.where(near, scale, deviation)
+    mean, deviation = np.where(whole, mean, 0.0), np.where(whole, deviation, 1.0)
+    move = np.diag(np.concatenate([[1.0], np.where(whole, scale / deviation, 0.0)]))
+    move[1:, 0] = np.where(whole, (center - mean) / deviation, 0.0)
+    return Moments(columns, mean, deviation, {k: move @ t @ move.T for k, t in parts.items()}, frozenset(bad))
 
 
 def sweep(a: np.ndarray, k: int, out: bool = False) -> None:

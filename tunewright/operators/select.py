@@ -46,9 +46,9 @@ def anova_f(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
 class SelectKBest:
     k: int | str = 10
 
-    def fit(self, df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-        """Scores with rank and ``selected`` flag (k='all' keeps everything)."""
-        scores = anova_f(df, label, features)
+    def fit(self, df: DataFrame, features: Sequence[str], label: str, scores: DataFrame | None = None) -> DataFrame:
+        """Scores with rank and ``selected`` flag (k='all' keeps everything).  ``scores``: those of ``anova_f``, if known."""
+        scores = anova_f(df, label, features) if scores is None else scores
         w = Window.orderBy(F.col("f_score").desc_nulls_last(), F.col("idx"))  # one row per feature
         ranked = scores.withColumn("rank", F.row_number().over(w))
         k = len(features) if self.k == "all" else int(self.k)
