@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tunewright.plans.streams import EVENTS_SCHEMA
 from tunewright.plans.trials import best_model
@@ -113,3 +114,22 @@ def test_short_runs_share_groups_and_nulls_and_long_numbers_stay(spark, tmp_path
     got = [tuple(r) for r in spark.read.schema(schema).parquet(f"{tmp_path}/out").collect()]
     assert sorted(map(str, got)) == sorted(map(str, rows + 2 * free))
     assert q.recentProgress[0]["stateOperators"][0]["numRowsTotal"] <= 3 * 4
+
+
+def test_the_metric_table_is_aggregated_by_hash_and_keeps_the_order_of_lines(spark):
+    from tunewright.plans.trials import metric_table
+    lines = [None, -(2 ** 63), -11, 0, 7, 2 ** 63 - 1]
+    rows = [(1, line, pos, sub, "m", metric, float(i), sub > 0, False) for i, (line, pos, sub, metric) in enumerate(
+        (line, pos, sub, metric) for metric in ("r2", None) for line in lines for pos in (0, 2 ** 31 - 1) for sub in (0, 2))]
+    canon = spark.createDataFrame(rows, "run_id long, line_no long, pos int, sub int, model string, metric string, "
+                                  "value double, is_global boolean, tf_hit boolean").repartition(3)
+    table = metric_table(canon)
+    assert "SortAggregate" not in table._jdf.queryExecution().executedPlan().toString()
+    got = {r["metric"]: r for r in table.collect()}
+    assert got["r2"]["last"] == 23.0 and tuple(got["r2"]["first"]) == (None, 0, 0) and got["r2"]["glast"] == 23.0
+    assert tuple(got["r2"]["gord"]) == (2 ** 63 - 1, 2 ** 31 - 1, 2)
+    assert got[None]["gord"] is None and tuple(got[None]["first"]) == (None, 0, 0)
+    for at in lines:
+        one = metric_table(canon.where(F.col("line_no").eqNullSafe(at) & (F.col("pos") > 0) & (F.col("sub") > 0) & F.col(
+            "metric").isNotNull())).first()
+        assert tuple(one["first"]) == tuple(one["gord"]) == (at, 2 ** 31 - 1, 2)

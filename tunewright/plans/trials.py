@@ -46,14 +46,35 @@ def best_model(canon: DataFrame, rule: str = "logs", run: str = "run_id") -> Dat
     return best_of_metrics(reliable_checkpoint(metric_table(canon, run)), rule, run)
 
 
+#: place of a line number above (pos, sub) in one number, and what stands for a null line number, before all others
+LINE, NO_LINE = 10 ** 12, -(2 ** 63) - 1
+
+
+def _packed() -> Column:
+    """(line_no, pos, sub) as one number of the same order, which an aggregate by hash can hold (a struct it cannot)."""
+    line = F.coalesce(F.col("line_no").cast("decimal(20,0)"), F.lit(str(NO_LINE)).cast("decimal(20,0)"))
+    return line * F.lit(LINE).cast("decimal(13,0)") + (F.col("pos").cast("long") * 10 + F.col("sub")).cast("decimal(12,0)")
+
+
+def _unpacked(c: str) -> Column:
+    n = F.col(c)
+    rest = F.pmod(n, F.lit(LINE).cast("decimal(13,0)"))
+    line = F.when(n >= F.lit(str(-(2 ** 63) * LINE)).cast("decimal(38,0)"), F.expr(
+        f"({c} - pmod({c}, cast({LINE} as decimal(13,0)))) div cast({LINE} as decimal(13,0))"))
+    rest = rest.cast("long")
+    return F.when(n.isNotNull(), F.struct(line.alias("line_no"), F.floor(rest / 10).cast("int").alias("pos"),
+                                          (rest % 10).cast("int").alias("sub")))
+
+
 def metric_table(canon: DataFrame, run: str = "run_id") -> DataFrame:
     """What the best-model rules need of every (run, model, metric); works on a stream as well."""
-    order = _ord("line_no", "pos", "sub")
-    glob_ord = F.when(F.col("is_global") & F.col("metric").isNotNull(), order)
-    return canon.groupBy(run, "model", "metric").agg(
-        F.max_by("value", order).alias("last"), F.min(order).alias("first"),
-        F.max_by("value", glob_ord).alias("glast"), F.max(glob_ord).alias("gord"),
-        F.max(F.col("tf_hit").cast("int")).alias("tf"))
+    rows = canon.select(run, "model", "metric", "value", "is_global", "tf_hit", _packed().alias("_at"))
+    glob = F.when(F.col("is_global") & F.col("metric").isNotNull(), F.col("_at"))
+    table = rows.groupBy(run, "model", "metric").agg(
+        F.max_by("value", "_at").alias("last"), F.min("_at").alias("first"), F.max_by("value", glob).alias("glast"),
+        F.max(glob).alias("gord"), F.max(F.col("tf_hit").cast("int")).alias("tf"))
+    return table.select(run, "model", "metric", "last", _unpacked("first").alias("first"), "glast",
+                        _unpacked("gord").alias("gord"), "tf")
 
 
 def best_of_metrics(g: DataFrame, rule: str = "logs", run: str = "run_id") -> DataFrame:
