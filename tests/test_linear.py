@@ -315,3 +315,30 @@ def test_fills_of_a_whole_table_join_no_rows_by_one_key(spark):
     last = frame_ops.fillna(df, method="ffill", limit=1, order_by="id", subset=["v"], chunks=4)
     assert "SortMergeJoin" not in last._jdf.queryExecution().executedPlan().toString()
     assert [r["v"] for r in last.orderBy("id").collect()] == [None if i % 3 == 2 else float(i - i % 3) for i in range(60)]
+
+
+def test_search_joins_its_tables_once(spark, tmp_path, monkeypatch):
+    from tunewright.operators import autoprep, impute, logistic, metrics
+    from tunewright.plans import sweep
+    spark.createDataFrame([(i, i % 6, 100.0 + i * 37 % 53, f"P{i % 3}", "FO"[i % 5 < 3]) for i in range(120)],
+                          "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string, "
+                          "o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(i, f"Customer#{i}", i, i * 1.5, f"S{i % 2}") for i in range(6)],
+                          "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+                          ).write.parquet(str(tmp_path / "customer.parquet"))
+    seen = []
+
+    def watched(f, at):
+        def call(*args, **kw):
+            seen.append(args[at])
+            return f(*args, **kw)
+        return call
+
+    monkeypatch.setattr(logistic, "MAX_STEPS", 1)  # the passes of the fits are not looked at
+    monkeypatch.setattr(autoprep, "prepare", watched(autoprep.prepare, 0))
+    monkeypatch.setattr(impute.TrainStatImputer, "fit", watched(impute.TrainStatImputer.fit, 1))
+    monkeypatch.setattr(metrics, "stratified_folds", watched(metrics.stratified_folds, 0))
+    out = sweep.q_raw_vs_prepared(spark, str(tmp_path))
+    assert out.count() == 16 and len(seen) == 4
+    for df in seen:  # a pass over any of them reads what was written, not the joined tables
+        assert df.inputFiles() and not any(f"{tmp_path}/" in f for f in df.inputFiles())

@@ -18,10 +18,11 @@ from ..functions.logs import trial_id
 from ..functions.stats import exact_quantiles
 from ..operators.base import EPS10
 from ..operators.search import HYPER_SPACE_CLASS, grid_frame, sample_grid
+from ..session import scratch_path
 from ..sources.cells import fx_cells
 from .catalog import catalog_dict, catalog_rows, catalog_sql, typed_candidate, typed_sql
 from .corpus import MODELS_SQL, USAGE_SQL, model_records, modifiable_params, scan_events, usage_table
-from .fixtures import FX_SQL, fx_split
+from .fixtures import FX_SQL, fx, fx_split
 from .registry import r6, register
 
 
@@ -321,11 +322,25 @@ def _lr_grid() -> list[tuple[str, float, str]]:
     return out
 
 
-def _raw_table(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, list[str]]:
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder: many passes read it, each the columns that it needs."""
+    path = scratch_path(df.sparkSession, f"rows-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _kept_split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """``fx_split`` for a search: its statistics, codes and folds take dozens of passes, which must not each join the
+    tables anew (large tables are sorted and shuffled for that)."""
+    rows = _kept(fx(spark, sf))
+    return rows.filter(~F.col("is_test")), rows.filter(F.col("is_test"))
+
+
+def _raw_table(split: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame, list[str]]:
     """(training rows, others, features): imputed from train, categories as label codes."""
     from ..operators.encode import LabelEncoder
     from ..operators.impute import TrainStatImputer
-    train, test = fx_split(spark, sf)
+    train, test = split
     imp = TrainStatImputer(exclude=("id", "target", "is_test")).fit(train)
     tr, te = imp.transform(train), imp.transform(test)
     for c in ("c1", "c2", "c3"):
@@ -334,10 +349,10 @@ def _raw_table(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, list
     return tr, te, ["f1", "f2", "f3", "c1", "c2", "c3"]
 
 
-def _prepared_table(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, list[str]]:
+def _prepared_table(split: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame, list[str]]:
     """The automatically prepared version of the same rows (best scaler, encoding by share of levels)."""
     from ..operators.autoprep import prepare
-    train, test = fx_split(spark, sf)
+    train, test = split
     tr, te, _ = prepare(train.drop("is_test"), test.drop("is_test"), id_col="id", target="target")
     feats = [c for c in tr.columns if c not in ("id", "target")]
     return tr.na.fill(0.0), te.na.fill(0.0), feats
@@ -347,7 +362,6 @@ def _searched(table: tuple[DataFrame, DataFrame, list[str]]):
     """The search of the LogisticRegression grid over 5 stratified folds; the other rows validate."""
     from ..operators.logistic import logistic_search
     from ..operators.metrics import stratified_folds
-    from ..session import reliable_checkpoint
     tr, te, feats = table
     names = [f"x{i}" for i in range(len(feats))]
 
@@ -355,8 +369,11 @@ def _searched(table: tuple[DataFrame, DataFrame, list[str]]):
         return df.select("id", F.col("target").cast("double").alias("y"), *[
             F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(feats, names)])
 
-    rows = stratified_folds(own(tr), "y", "id", 5).withColumn("part", F.col("fold").cast("int")).drop("fold")
-    rows = reliable_checkpoint(rows.unionByName(own(te).withColumn("part", F.lit(-1))))
+    # prepared once: the sort of the folds reads its rows twice
+    ready = _kept(own(tr).withColumn("valid", F.lit(False)).unionByName(own(te).withColumn("valid", F.lit(True))))
+    train, valid = (ready.where(F.col("valid") == v).drop("valid") for v in (False, True))
+    rows = stratified_folds(train, "y", "id", 5).withColumn("part", F.col("fold").cast("int")).drop("fold")
+    rows = _kept(rows.unionByName(valid.withColumn("part", F.lit(-1))))
     return logistic_search(rows, names, "y", "part", 5, _lr_grid()), rows
 
 
@@ -366,7 +383,7 @@ METRICS = ("accuracy", "precision", "recall", "f1")
 @register("search_lr")
 def q_search_lr(spark: SparkSession, sf: str) -> DataFrame:
     """Model search for the recorded LogisticRegression: original vs best of the grid (objective accuracy)."""
-    res, _ = _searched(_raw_table(spark, sf))
+    res, _ = _searched(_raw_table(_kept_split(spark, sf)))
     text, _, number = res.best("accuracy")
     rows = [("fx::LogisticRegression", version, m, float(res.scores[i, -1][m]))
             for version, i in (("original", len(res.fits) - 1), ("optimized", number)) for m in METRICS]
@@ -377,7 +394,7 @@ def q_search_lr(spark: SparkSession, sf: str) -> DataFrame:
 @register("submission")
 def q_submission(spark: SparkSession, sf: str) -> DataFrame:
     """P10 / M6: the best model of the search predicts the test ids."""
-    res, rows = _searched(_raw_table(spark, sf))
+    res, rows = _searched(_raw_table(_kept_split(spark, sf)))
     _, fit, _ = res.best("accuracy")
     return rows.where("part = -1").select("id", (fit.margin() > 0).cast("double").alias("Prediction"))
 
@@ -385,7 +402,7 @@ def q_submission(spark: SparkSession, sf: str) -> DataFrame:
 @register("search_trials")
 def q_search_trials(spark: SparkSession, sf: str) -> DataFrame:
     """M4: one row per setting and fold of the search."""
-    res, _ = _searched(_raw_table(spark, sf))
+    res, _ = _searched(_raw_table(_kept_split(spark, sf)))
     return spark.createDataFrame(res.trials("accuracy"), "setting string, fold int, score double")
 
 
@@ -395,12 +412,12 @@ def q_search_logistic(spark: SparkSession, sf: str) -> DataFrame:
     the recorded and the best model, and the trials written by the S7 sink.  Records share the fits."""
     from ..operators.search import match_records
     from ..sources.sinks import write_trials
-    from ..session import scratch_path
     from .modelloop import fx_records
     recs = match_records(fx_records(spark, sf)).where("model_type = 'LogisticRegression'").select(
         "notebook", "cell_index", "objective")
     found, trials = [], []
-    for name, table in (("original", _raw_table(spark, sf)), ("transformed", _prepared_table(spark, sf))):
+    split = _kept_split(spark, sf)
+    for name, table in (("original", _raw_table(split)), ("transformed", _prepared_table(split))):
         res, _ = _searched(table)
         for objective in METRICS:
             text, _, number = res.best(objective)
@@ -423,7 +440,8 @@ def q_raw_vs_prepared(spark: SparkSession, sf: str) -> DataFrame:
     """M7: the search on both table versions (raw: train-stat imputation and label codes; prepared: best scaler and
     encoding choice), the recorded and the best model's metrics side by side."""
     rows = []
-    for name, table in (("raw", _raw_table(spark, sf)), ("prepared", _prepared_table(spark, sf))):
+    split = _kept_split(spark, sf)
+    for name, table in (("raw", _raw_table(split)), ("prepared", _prepared_table(split))):
         res, _ = _searched(table)
         text, _, number = res.best("accuracy")
         rows += [(name, version, text if version == "optimized" else "recorded", m, float(res.scores[i, -1][m]))
