@@ -12,11 +12,14 @@
    similar partner of each node, then, for each two components still apart, their most similar pair, at last all pairs
    between components that are still apart.  A group of near copies is one component after the first rounds, and its
    other pairs are never compared.
+5. Deeper prefixes part copies that differ each in its own place from one text.  So in a crowded region (also one cut by
+   the edge of a task or of a step) every row outside of its largest component is at last held against all its rows:
+   first the signatures, in blocks of ``REGION`` rows, for the components that can belong together; then the full
+   sets of these components, in blocks of ``BLOCK`` shingles, all pairs.
 
 A pair of similarity 0.8 shares a region of depth 2 in an order with probability 0.64 (the 16 orders start on values
-of their own): it is missed in all with probability 1e-7, at depth 3 with 2e-5; below 22 of 48 equal values it falls
-with probability 1e-8.  Deeper regions hold rows that are much alike, where a pair lost is mostly joined by others.
-Regions cut by the edge of a task or of a step lose pairs in that order only.
+of their own): it is missed in all with probability 1e-7; below 22 of 48 equal values it falls with probability 1e-8.
+Step 5 is the number of rows still apart in a region times the region's rows, whatever these are.
 
 Defined results: null or wordless text has the empty set, links with nothing and is its own component; a null doc_id
 links as any other and is nobody's smallest id unless all are null; rows with one doc_id are separate documents (kept
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunewright.llm.common import (WORD_BASE, connected_components, flat_bytes, mix64, powers, steps, text_or_empty,
@@ -44,6 +47,8 @@ HASHES, ORDERS, STRIDE = 48, 16, 3
 DEPTH, CROWD, AGREE = 2, 8, 22
 #: rows of a step over a sorted order, and rows of small tables (pairs, labels) a task writes
 ROWS, EDGES = 1 << 16, 200_000
+#: rows of a crowded region's block, shingles of a block of components that can belong together
+REGION, BLOCK = 4_096, 500_000
 # Fixed value: seed of the min-hash functions.
 SEED = 0x1F83D9ABFB41BD6B
 
@@ -129,8 +134,19 @@ def neighbours(values: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.nd
     return i[keep], j[keep], alike[keep]
 
 
+def crowded(values: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Rows of crowded regions, and of the first and the last one, which may go on elsewhere."""
+    begins = common_prefix(values, order) < DEPTH
+    at = np.flatnonzero(begins)
+    size = np.diff([*at, len(values)])
+    many = size > CROWD
+    many[[0, -1]] = True
+    return np.repeat(many, size)
+
+
 def candidates(nodes: DataFrame, percent: int) -> DataFrame:
-    """(u, v, alike) with u < v from nodes (node, n, s); set sizes too different for the similarity are no pair."""
+    """(u, v, alike) with u < v from nodes (node, n, s); set sizes too different for the similarity are no pair.  A
+    row of a crowded region has its node as u, no v and its order as alike."""
     turned = F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1)))
     rows = nodes.select("node", "n", "s", turned.alias("o")).select("o", F.concat(
         F.expr(f"substring(s, o * {2 * STRIDE} + 1)"), F.expr(f"substring(s, 1, o * {2 * STRIDE})")).alias("s"),
@@ -143,8 +159,11 @@ def candidates(nodes: DataFrame, percent: int) -> DataFrame:
             i, j, alike = neighbours(values, order)
             near = np.minimum(size[i], size[j]) * 100 >= np.maximum(size[i], size[j]) * percent
             u, v, alike = node[i[near]], node[j[near]], alike[near]
-            return pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(
-                alike.astype(np.int32))], names=["u", "v", "alike"])
+            many = crowded(values, order)
+            none = np.arange(len(u) + many.sum()) >= len(u)
+            u, v = (np.concatenate((f(u, v), node[many])) for f in (np.minimum, np.maximum))
+            return pa.record_batch([pa.array(u), pa.array(v, mask=none), pa.array(np.concatenate(
+                (alike, order[many])).astype(np.int32))], names=["u", "v", "alike"])
 
         held, n = [], 0
         for b in batches:
@@ -215,6 +234,95 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return label if links.isEmpty() else merged(label, links)
 
 
+def meetings(rows: DataFrame, key: list[str], weight: Column, limit: int) -> DataFrame:
+    """Rows (key, node, label, ...) of groups of several components in blocks (i, j) of about ``limit``: each row that is
+    not of its group's largest component (asks) meets every row of the group in one block."""
+    parts = rows.groupBy(*key, "label").agg(F.sum(weight).alias("w"))
+    size = parts.groupBy(*key).agg(F.max(F.struct("w", "label")).alias("most"), F.sum("w").alias("w"),
+                                   F.count("*").alias("parts")).where("parts > 1").select(
+        *key, F.col("most.label").alias("main"), F.ceil((F.col("w") - F.col("most.w")) / limit).alias("above"),
+        F.ceil(F.col("w") / limit).alias("across"))
+
+    def place(n: str) -> Column:
+        return F.pmod(F.xxhash64("node"), F.col(n))
+
+    def each(n: str, make) -> Column:
+        return F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), make)
+
+    asks = F.when(F.col("label") != F.col("main"), each("across", lambda x: F.struct(
+        place("above").alias("i"), x.alias("j"), F.lit(True).alias("asks"))))
+    told = each("above", lambda x: F.struct(x.alias("i"), place("across").alias("j"), F.lit(False).alias("asks")))
+    return rows.join(size, key).withColumn("at", F.explode(F.when(asks.isNull(), told).otherwise(F.concat(
+        asks, told)))).select(*rows.columns, "at.*")
+
+
+def _components(labels: np.ndarray, found: list[tuple[int, np.ndarray]]) -> pa.Table:
+    """(a, b), a < b: the components that a block's pairs join (place of a row, places of the rows it belongs to), each
+    with the smallest one that it is joined with, so no more rows than components."""
+    names, code = np.unique(labels, return_inverse=True)
+    root = np.arange(len(names))
+    for x, at in found:
+        ends = np.unique(root[np.append(code[at], code[x])])
+        if len(ends) > 1:
+            root[np.isin(root, ends)] = ends[0]
+    far = np.flatnonzero(root != np.arange(len(names)))
+    return pa.table({"a": pa.array(names[root[far]], pa.int64()), "b": pa.array(names[far], pa.int64())})
+
+
+def alike_components(table: pa.Table, percent: int) -> pa.Table:
+    """Components of a block that have a candidate pair: rows (s, n, label, asks)."""
+    values = np.frombuffer(b"".join(table.column("s").to_pylist()), ">u2").reshape(-1, HASHES)
+    n, label = table.column("n").to_numpy(), table.column("label").to_numpy()
+    asks = table.column("asks").to_numpy()
+    right = np.flatnonzero(~asks)
+    against, size = values[right], n[right]
+    found = []
+    for x in np.flatnonzero(asks):
+        near = ((against == values[x]).sum(axis=1) >= AGREE) & (
+            np.minimum(size, n[x]) * 100 >= np.maximum(size, n[x]) * percent)
+        found.append((x, right[near]))
+    return _components(label, found)
+
+
+def similar_components(table: pa.Table, percent: int) -> pa.Table:
+    """Components of a block that have a pair of similar sets: rows (members, label, asks)."""
+    lists = table.column("members").combine_chunks()
+    bounds = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
+    _, code = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    label, asks, n = table.column("label").to_numpy(), table.column("asks").to_numpy(), np.diff(bounds)
+    right = np.flatnonzero(~asks)
+    if not len(right):
+        return _components(label, [])
+    against = np.concatenate([code[bounds[x]:bounds[x + 1]] for x in right])
+    start, size = np.cumsum(n[right]) - n[right], n[right]
+    mine = np.zeros(code.max() + 1, np.int32)
+    found = []
+    for x in np.flatnonzero(asks):
+        own = code[bounds[x]:bounds[x + 1]]
+        mine[own] = 1
+        both = np.add.reduceat(mine[against], start)
+        mine[own] = 0
+        found.append((x, right[both * 100 >= (size + n[x] - both) * percent]))
+    return _components(label, found)
+
+
+def whole_regions(crowd: DataFrame, nodes: DataFrame, sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """label (node, label) after the components are joined that have a pair in a crowded region: crowd (node, o)."""
+    first = F.expr(f"substring(concat(s, s), o * {2 * STRIDE} + 1, {2 * DEPTH})")
+    rows = crowd.join(nodes.select("node", "n", "s"), "node").join(label, "node").select(
+        "o", first.alias("p"), "node", "n", "s", "label")
+    near = compact(meetings(rows, ["o", "p"], F.lit(1), REGION).groupBy("o", "p", "i", "j").applyInArrow(
+        lambda t: alike_components(t, percent), "a long, b long").distinct())
+    if near.isEmpty():
+        return label
+    family = connected_components(near.select(F.col("a").alias("u"), F.col("b").alias("v")), rows_a_task=EDGES).select(
+        F.col("node").alias("label"), F.col("label").alias("family"))
+    whole = sets.join(label.join(family, "label"), "node").select("family", "node", "n", "members", "label")
+    links = compact(meetings(whole, ["family"], F.col("n"), BLOCK).groupBy("family", "i", "j").applyInArrow(
+        lambda t: similar_components(t, percent), "a long, b long").distinct())
+    return label if links.isEmpty() else merged(label, links)
+
+
 def near_dedup(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id of the component), kept (doc_id = component_id) of every
     row."""
@@ -236,9 +344,11 @@ def near_dedup(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     nodes = reliable_checkpoint(rows.where("n > 0").groupBy("k").agg(
         F.min("doc_id").alias("least"), F.max("n").alias("n"), F.max("s").alias("s")).withColumn(
         "node", F.monotonically_increasing_id()))
-    pairs = compact(candidates(nodes.select("node", "n", "s"), percent))
+    found = compact(candidates(nodes.select("node", "n", "s"), percent))
+    pairs, crowd = found.where("v is not null"), found.where("v is null").select(
+        F.col("u").alias("node"), F.col("alike").alias("o"))
 
-    ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    ends = found.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     alive = compact(nodes.select("node", "k").join(ends, "node"))
     sent = docs.sparkSession.sparkContext.broadcast(bloom_filter(alive, "k"))
 
@@ -256,8 +366,9 @@ def near_dedup(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
 
     sets = text.select("text").mapInArrow(whole, "k binary, members array<long>").join(alive, "k").dropDuplicates(
         ["node"]).select("node", F.size("members").cast("long").alias("n"), "members")
-    label = linked(pairs, reliable_checkpoint(sets), percent)
+    sets = reliable_checkpoint(sets)
     sent.unpersist()
+    label = whole_regions(crowd, nodes, sets, linked(pairs, sets, percent), percent)
 
     joined = nodes.select("node", "k", "least").join(label, "node", "left").withColumn(
         "label", F.coalesce("label", "node"))
